@@ -121,3 +121,21 @@ def score_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return documents.select("doc_id", "text", letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+
+
+def accepted_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
+    """The rows of ``documents``, all columns, whose language the model accepts: one pass, no join."""
+    schema = documents.schema
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.asarray(batch.column(len(names)))
+            if model.classes:
+                keep = keep & (model.probabilities(batch.column(names.index("text"))).max(1) >= model.threshold)
+            else:
+                keep = np.zeros(batch.num_rows, bool)
+            yield batch.select(list(range(len(names)))).filter(pa.array(keep))
+
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return documents.select("*", letters.alias("_letters")).mapInArrow(run, schema)

@@ -108,6 +108,6 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
                 short = 0
                 for x in h[a:b].tolist():
                     short = (short * 0xD6E8FEB86659FD93 + x) % (1 << 64)
-                yield first + i, mix(np.array([short + (b - a)], np.uint64))
+                yield first + i, mix(np.array([(short + int(b - a)) % (1 << 64)], np.uint64))
             else:
                 yield first + i, np.zeros(0, np.uint64)
