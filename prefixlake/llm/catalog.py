@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import linededup, mixing, neardup, packing, quality
-from prefixlake.llm.shared import table
+from prefixlake.llm import linededup, media, mixing, neardup, packing, quality
+from prefixlake.llm.shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, Jaccard 0.85 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@_query
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an MPEG audio stream in the shared folder, read back and described."""
+    stored = written(media.write_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    found = media.feature(media.read_media(stored))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
