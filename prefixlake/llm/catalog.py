@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import linededup, media, mixing, neardup, neighbours, packing, quality
+from prefixlake.llm import linededup, lm, media, mixing, neardup, neighbours, packing, quality
 from prefixlake.llm.shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of every hundredth vector, among all others."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@_query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document under a network trained on all of them."""
+    documents = table(spark, sf_dir, "documents")
+    return lm.score(documents, *lm.fit(documents))
