@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import linededup, lm, media, mixing, neardup, neighbours, packing, quality
+from prefixlake.llm import licences, linededup, lm, media, mixing, neardup, neighbours, packing, quality
 from prefixlake.llm.shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-log-likelihood of every document under a network trained on all of them."""
     documents = table(spark, sf_dir, "documents")
     return lm.score(documents, *lm.fit(documents))
+
+
+@_query
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence text found in every document: coverage and span."""
+    return licences.scan(table(spark, sf_dir, "documents"))
