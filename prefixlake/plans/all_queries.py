@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefixlake.plans import lookup_plans  # noqa: F401
+from prefixlake.plans import analytics_plans, lookup_plans, search_plans  # noqa: F401
 from prefixlake.plans.registry import ORACLES, QUERIES, Query
 
 
