@@ -35,16 +35,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def collect_sample(labelled: DataFrame, spec: Buckets, sample: Sample) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
-    """Sparse bags and labels of at most ``sample.rows`` rows of ``labelled`` (doc_id, text, label).
+def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Sparse bags and labels of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
 
-    The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable. Only
-    ids are ordered: the texts of the drawn rows are read in a second step, behind a broadcast of
-    the drawn ids, whose number is the bound.
+    The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable. Only ids
+    are ordered: texts are met in one scan behind a broadcast of the drawn ids, whose number is the
+    bound, and only drawn documents are shuffled (to take one of each id).
     """
     order = F.xxhash64(F.lit(sample.seed), "doc_id")
-    drawn = labelled.select("doc_id", "label").dropna().orderBy(order, "doc_id", "label").limit(sample.rows)
-    texts = labelled.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("label").cast("string").alias("label"), "text")
+    drawn = labels.select("doc_id", F.col("label").cast("string").alias("label")).dropna().orderBy(order, "doc_id", "label").limit(sample.rows)
+    drawn = drawn.dropDuplicates(["doc_id"])
+    texts = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +59,9 @@ def collect_sample(labelled: DataFrame, spec: Buckets, sample: Sample) -> tuple[
     return [(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(rows.ids, rows.weights, strict=True)], list(rows.label)
 
 
-def fit(labelled: DataFrame, spec: Buckets, sample: Sample = Sample(), **options: float) -> SubwordModel:  # noqa: B008
-    """A model of the labels of (doc_id, text, label) rows."""
-    bags, names = collect_sample(labelled, spec, sample)
+def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), **options: float) -> SubwordModel:  # noqa: B008
+    """A model of ``labels`` (doc_id, label) from the texts of ``documents`` (doc_id, text)."""
+    bags, names = collect_sample(documents, labels, spec, sample)
     classes = sorted(set(names))
     labels = np.array([classes.index(x) for x in names], np.int64)
     return train(bags, labels, classes, spec, **options)
@@ -73,7 +74,7 @@ LANGUAGE = Buckets(grams=1 << 16, words=1 << 15, pairs=1 << 10, orders=(2, 3, 4)
 def fit_quality(documents: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> SubwordModel:  # noqa: B008
     """Learn label 1 against 0 from ``labels`` (doc_id, quality) joined to whole texts."""
     marked = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
-    return fit(documents.select("doc_id", "text").join(marked, "doc_id"), QUALITY, sample)
+    return fit(documents, marked, QUALITY, sample)
 
 
 def score_quality(documents: DataFrame, model: SubwordModel) -> DataFrame:
@@ -93,7 +94,7 @@ def score_quality(documents: DataFrame, model: SubwordModel) -> DataFrame:
 
 def fit_language(documents: DataFrame, sample: Sample = Sample()) -> SubwordModel:  # noqa: B008
     """Learn the non-null ``lang`` of ``documents`` from its texts."""
-    return fit(documents.select("doc_id", "text", F.col("lang").alias("label")), LANGUAGE, sample)
+    return fit(documents, documents.select("doc_id", F.col("lang").alias("label")), LANGUAGE, sample)
 
 
 def score_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
