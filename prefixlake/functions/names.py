@@ -60,9 +60,8 @@ def name_struct(c: Column) -> Column:
     return F.struct(display.alias("display"), normalized.alias("normalized"), F.when(core == "", base).otherwise(core).alias("core"), initialism(F.filter(F.split(stripped, " "), lambda t: t != "")).alias("acronym"))
 
 
-def aliases(c: Column) -> Column:
-    """Other spellings worth indexing: no accents, core, acronym, ``&`` and and exchanged; distinct by comparison form."""
-    n = name_struct(c)
+def aliases(n: Column) -> Column:
+    """Other spellings worth indexing, from a :func:`name_struct` column: no accents, core, acronym, ``&`` and and exchanged; distinct by comparison form."""
     display = n["display"]
     plain, words = strip_accents(display), F.split(n["core"], " ")
     options = F.array(
