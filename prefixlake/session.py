@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -19,3 +20,20 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if _ROOT not in path:
         env["PYTHONPATH"] = ":".join([*path, _ROOT])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors see; a temporary one only where none is set."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='prefixlake-')}")
+        found = context.getCheckpointDir()
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder; its lineage ends there."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
