@@ -118,9 +118,15 @@ def build_index(templates: dict[str, str]) -> Index:
     return Index(names, words, np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
 
 
+def band_of(template: np.ndarray) -> int:
+    """Half the band's width: so far under a template's length that two occurrences never share a band."""
+    return max(1, min(BAND, len(template) // 3))
+
+
 def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Longest common subsequence inside the band |j - i - shift| <= BAND: (words, first, end) in ``text``."""
-    low, width = shift - BAND, 2 * BAND + 1
+    """Longest common subsequence inside the band around diagonal ``shift``: (words, first, end) in ``text``."""
+    band = band_of(template)
+    low, width = shift - band, 2 * band + 1
     score = [(0, -1, -1)] * (width + 1)  # best up to template row i, by diagonal; (words, -first, end)
     best = (0, 0, 0)
     for i, w in enumerate(template.tolist()):
@@ -146,12 +152,13 @@ def matches(words: np.ndarray, hits: list[tuple[int, int]], index: Index, min_co
     """(template, coverage, words matched, first word, end word) of one document's accepted matches."""
     found, tried = [], set()
     for template, shift in sorted(hits):
-        if (template, shift // BAND) in tried:
-            continue
-        tried.add((template, shift // BAND))
         own = index.words[template]
-        a = max(0, shift - BAND)
-        part = words[a : max(a, shift + len(own) + BAND)]
+        band = band_of(own)
+        if (template, shift // band) in tried:
+            continue
+        tried.add((template, shift // band))
+        a = max(0, shift - band)
+        part = words[a : max(a, shift + len(own) + band)]
         n, first, end = align(own, part, shift - a)
         if n and n >= min_coverage * len(own):
             found.append((template, n / len(own), n, a + first, a + end))
