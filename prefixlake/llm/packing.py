@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into fixed sequences, finished by swap-based local search.
 
 Tokenising works word by word: the tokeniser drops white space before it splits, so a text's ids are
-its words' ids in order, and a bounded per-worker table of words already met does most of the work.
+its words' ids in order, and a bounded per-worker table of words already met, looked up by 64-bit
+hash for whole chunks of text at once, does most of the work.
 Documents longer than a sequence are cut into pieces. Pieces are dealt by a hash of their contents
 to shards of about ``SHARD_PIECES``; each shard starts from best-fit decreasing and then exchanges
 pieces between underfull sequences (a move, one for one, two for one, one for two) whenever that
@@ -24,39 +25,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.llm.textarrays import chunks
+from prefixlake.llm.textarrays import chunks, span_hashes, word_spans
 
 CAPACITY = 4096
 END = 1
 SHARD_PIECES = 16_384
-WORDS_KEPT = 400_000
+WORDS_KEPT = 3_000_000
 TOKENIZER = "word_bpe_49k.json"
 
-_met: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_met: dict[str, WordTable] = {}
 
 
-def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
-    """The tokeniser of a file and the words it has met, kept between the tasks of one worker."""
-    if path not in _met:
-        from tokenizers import Tokenizer
+class WordTable:
+    """The ids of words already met by one Python worker: sorted hashes over one pool of ids.
 
-        _met[path] = (Tokenizer.from_file(path), {})
-    return _met[path]
+    About 30 bytes a word; past ``WORDS_KEPT`` words it starts afresh.
+    """
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def word_ids(words: list[bytes], path: str) -> dict[bytes, bytes]:
-    """A table with at least the ids (little-endian 32 bits each) of ``words``."""
-    tokenizer, table = _tokenizer(path)
-    new = list(set(words).difference(table))
-    if new:
-        if len(table) + len(new) > WORDS_KEPT:
-            table.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                table[word] = np.array(found.ids, np.uint32).tobytes()
-    return table
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode new words; ``hashes`` are distinct and not yet known."""
+        if len(self.hashes) + len(words) > WORDS_KEPT:
+            self.clear()
+        lengths, parts = [], []
+        for at in range(0, len(words), 20_000):
+            for found in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False):
+                parts.extend(found.ids)
+                lengths.append(len(found.ids))
+        ids, lengths = np.array(parts, np.uint32), np.array(lengths, np.int64)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.starts, self.lengths = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end, and where each text's ids begin (with the end).
+
+        Words are runs without white space; a single full stop or comma after a letter at a word's
+        end is a word of its own, as the tokeniser splits there too.
+        """
+        starts, ends, word = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        cut = ((last == 0x2E) | (last == 0x2C)) & (ends - starts > 1) & (before >= 0x61) & (before <= 0x7A)
+        index = np.repeat(np.arange(len(starts)), 1 + cut)
+        second = np.zeros(len(index), bool)
+        second[1:] = index[1:] == index[:-1]
+        ends, starts = np.where(cut[index] & ~second, ends[index] - 1, ends[index]), np.where(second, ends[index] - 1, starts[index])
+        word = np.concatenate([[0], np.cumsum(1 + cut)])[word]
+        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+        at, known = self.find(distinct)
+        if not known.all():
+            first = np.empty(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            raw = data.tobytes()
+
+            def texts(which: np.ndarray) -> list[str]:
+                return [raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+
+            new = np.flatnonzero(~known)
+            self.learn(distinct[new], texts(first[new]))
+            at, known = self.find(distinct)
+            if not known.all():  # the table started afresh
+                new = np.flatnonzero(~known)
+                self.learn(distinct[new], texts(first[new]))
+                at, known = self.find(distinct)
+        begin, length = self.starts[at][codes], self.lengths[at][codes]
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.pool[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
+        return ids, total[word]
 
 
 def tokenized(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -66,40 +124,32 @@ def tokenized(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = np.array([END], np.uint32).tobytes()
+        if tokenizer_path not in _met:
+            _met[tokenizer_path] = WordTable(tokenizer_path)
+        table, end = _met[tokenizer_path], np.array([END], np.uint32).tobytes()
         for batch in batches:
-            row, piece, length, ids = [], [], [], []
-            for first, data, offsets in chunks(batch.column("text")):
-                raw = data.tobytes()
-                table = word_ids(raw_words(raw, offsets), tokenizer_path)
+            for (first, plain, offsets), (_, folded, _) in zip(chunks(batch.column("text")), chunks(batch.column("text"), lower=True), strict=True):
+                # The tokeniser folds case itself; folding A-Z before makes fewer distinct words. Only
+                # where the text may name a special token, which is matched as written, is it left.
+                ids, begins = table.encode(plain if b"<|" in plain.tobytes() else folded, offsets)
+                row, piece, length, parts = [], [], [], []
                 for i in range(len(offsets) - 1):
-                    own = b"".join(map(table.__getitem__, raw[offsets[i] : offsets[i + 1]].split())) + end
+                    own = ids[begins[i] : begins[i + 1]].tobytes() + end
                     for k in range(0, len(own), 4 * capacity):
                         part = own[k : k + 4 * capacity]
                         row.append(first + i)
                         piece.append(k // (4 * capacity))
                         length.append(len(part) // 4)
-                        ids.append(part)
-                    if len(ids) >= 1000:
-                        yield emit(batch, row, piece, length, ids)
-                        row, piece, length, ids = [], [], [], []
-            yield emit(batch, row, piece, length, ids)
-
-    def emit(batch: pa.RecordBatch, row: list, piece: list, length: list, ids: list) -> pa.RecordBatch:
-        piece = np.array(piece, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-            names=["doc_id", "piece", "start", "length", "ids"],
-        )
+                        parts.append(part)
+                numbers = np.array(piece, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(parts, pa.binary())],
+                    names=["doc_id", "piece", "start", "length", "ids"],
+                )
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def raw_words(raw: bytes, offsets: np.ndarray) -> list[bytes]:
-    """The white-space separated words of a run of texts; a text's end also ends a word."""
-    return [w for i in range(len(offsets) - 1) for w in raw[offsets[i] : offsets[i + 1]].split()]
-
-
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Best-fit decreasing: item numbers by bin."""
     bins: list[list[int]] = []
