@@ -100,10 +100,10 @@ def _enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pipeline.enrich(*(frame(spark, sf_dir, n) for n in ("bx_bins", "bx_links", "bx_institutions", "bx_addresses", "bx_countries")))
 
 
-@query("enrich_country", oracle(f"with {_ENRICHED} select id, bin, country_id from done"))
+@query("enrich_country", oracle(f"with {_ENRICHED} select id, bin, coalesce(country_id, -1) as country_id from done"))
 def enrich_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries filled from current issuers."""
-    return _enriched(spark, sf_dir)[0].select("id", "bin", "country_id")
+    return _enriched(spark, sf_dir)[0].select("id", "bin", F.coalesce("country_id", F.lit(-1)).alias("country_id"))
 
 
 @query("enrich_currency", oracle(f"with {_ENRICHED} select done.id, c.currency_code as currency, case when network_id is null then case when bin like '4%' then 'visa' else 'diners' end end as scheme from done left join bx_countries c on c.id = done.country_id"))
@@ -169,7 +169,7 @@ def staging_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     "institution_resolver",
     oracle("""with v as (select query_id, case query_id % 4 when 0 then 'supplier 000000001' when 1 then 'alias 2' when 2 then 'alias x' else 'nobody' end as n from bx_queries)
     select query_id, case query_id % 4 when 0 then 'canonical' when 1 then 'alias' when 2 then 'conflict' else 'unknown' end as match_type,
-           cast(case query_id % 4 when 0 then (select min(id) from bx_institutions where normalized_name = 'supplier 000000001') when 1 then 2 end as bigint) as institution_id from v"""),
+           cast(case query_id % 4 when 0 then (select min(id) from bx_institutions where normalized_name = 'supplier 000000001') when 1 then 2 else -1 end as bigint) as institution_id from v"""),
 )
 def institution_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resolution ladder."""
@@ -177,7 +177,7 @@ def institution_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = frame(spark, sf_dir, "bx_queries").select("query_id", F.when(k == 0, "Supplier #000000001").when(k == 1, "Alias 2").when(k == 2, "ALIAS  X").otherwise("Nobody").alias("issuer"))
     inst = frame(spark, sf_dir, "bx_institutions").select(F.col("id").cast("bigint").alias("id"), "normalized_name")
     aliases = spark.createDataFrame([(2, "alias 2"), (3, "alias x"), (4, "alias x")], "institution_id long, normalized_alias string")
-    return pipeline.resolver_ladder(raw, inst, aliases).select("query_id", "match_type", "institution_id")
+    return pipeline.resolver_ladder(raw, inst, aliases).select("query_id", "match_type", F.coalesce("institution_id", F.lit(-1)).alias("institution_id"))
 
 
 @query("name_dedupe_pairs")
