@@ -201,3 +201,60 @@ def gap_proposals(bins: DataFrame, links: DataFrame, institutions: DataFrame) ->
     gaps = bins.where("country_id is null").select("id", "bin").join(links.select(F.col("bin_id").alias("id"), "institution_id"), "id").join(inst, "institution_id")
     best = gaps.groupBy("bin").agg(F.min_by("_c", "institution_id").alias("_c"))
     return best.select("bin", F.lit("country_id").alias("field"), F.col("_c").cast("string").alias("proposed_value"))
+
+
+def identities(raw: DataFrame, order: list[str]) -> DataFrame:
+    """(key columns, survivor): which institution each raw (name, country) is, decided for all rows at once (M7).
+
+    ``raw`` has issuer, iso2 and the order columns. A key is the normal form with its country; a key
+    without country belongs to the only country-bearing key of that name, if there is exactly one.
+    The survivor is the first row's ordinal of the key, so reruns and row order don't matter.
+    """
+    keyed = raw.where("issuer is not null").select("issuer", F.coalesce("iso2", F.lit("")).alias("iso2"), *order).withColumn("name", names.name_struct(F.col("issuer"))["normalized"]).where("name <> ''")
+    keys = keyed.groupBy("name", "iso2").agg(F.min(F.struct(*order)).alias("first"), F.min_by("issuer", F.struct(*order)).alias("display_name"), F.count(F.lit(1)).alias("rows"))
+    homes = keys.where("iso2 <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("iso2").alias("_home"))
+    placed = keys.join(homes, "name", "left").withColumn("home", F.when((F.col("iso2") == "") & (F.col("_n") == 1), F.col("_home")).otherwise(F.col("iso2")))
+    return placed.groupBy("name", "home").agg(F.min("first").alias("first"), F.min_by("display_name", "first").alias("display_name"), F.sum("rows").alias("rows"), F.sort_array(F.collect_set("iso2")).alias("countries"))
+
+
+def fuller_names(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, display_name, abbreviation): the fullest spelling met of each institution, the first one kept as alias.
+
+    Only spellings with the core of the first one compete; more words win, earlier rows among equals.
+    """
+    n = names.name_struct(F.col("display_name"))
+    first = rows.withColumn("core", n["core"]).groupBy(key).agg(F.min_by("core", F.struct(*order)).alias("_core"), F.min_by("display_name", F.struct(*order)).alias("_first"))
+    both = rows.withColumn("core", n["core"]).join(first, key).where(F.col("core") == F.col("_core"))
+    words = -F.size(F.split("display_name", " "))
+    best = both.groupBy(key).agg(F.min_by("display_name", F.struct(words, *order)).alias("display_name"), F.first("_first").alias("_first"))
+    return best.select(key, "display_name", F.when(F.col("_first") != F.col("display_name"), F.col("_first")).alias("abbreviation"))
+
+
+def survivors(pairs: DataFrame) -> DataFrame:
+    """(old, kept): institutions that merge away, and the least id of what they merge with (M8).
+
+    ``pairs`` is :func:`name_pairs`. Merging is transitive over pairs that may merge, which makes the
+    outcome independent of the order in which pairs are met.
+    """
+    from prefixlake.operators.components import connected_components
+
+    found = connected_components(pairs.where("can_merge").select("a", "b"))
+    return found.where("id <> component").select(F.col("id").alias("old"), F.col("component").alias("kept"))
+
+
+def conflict_proposals(conflicts: DataFrame) -> DataFrame:
+    """(subject_key, field, proposed_value): the losing side of open conflicts as proposals (I16)."""
+    return conflicts.where("status = 'open'").select(F.col("entity_key").alias("subject_key"), "field", F.col("value_b").alias("proposed_value")).distinct()
+
+
+def decide(ledger_rows: DataFrame, decisions: DataFrame, fields: tuple[str, ...] = ("country_id", "network_id", "currency_code", "website", "phone")) -> DataFrame:
+    """The ledger after decisions (id, approved), and automatic ones.
+
+    Only pending facts can be decided and only whitelisted fields approved. A pending fact fills a
+    blank by itself if its source is licensed and switched on (``auto``).
+    """
+    joined = ledger_rows.join(decisions.select("id", "approved"), "id", "left")
+    allowed = F.col("field").isin(*fields)
+    auto = F.coalesce("auto", F.lit(False)) & (F.coalesce("current_value", F.lit("")) == "") if "auto" in ledger_rows.columns else F.lit(False)
+    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("approved") & allowed, "approved").when(~F.col("approved"), "rejected").when(auto & allowed, "approved").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("approved")

@@ -201,3 +201,89 @@ def rewire_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links moved to the institutions that stay."""
     survivors = frame(spark, sf_dir, "bx_institutions").where("id % 2 = 1").select(F.col("id").alias("old"), (F.col("id") - 1).alias("kept"))
     return pipeline.rewire(frame(spark, sf_dir, "bx_links"), survivors).select("bin_id", "institution_id", "relationship_type", F.lit(True).alias("kept"))
+
+
+@query(
+    "institution_identity",
+    oracle("""with raw as (select c_custkey, 'bank ' || cast(c_custkey % 40 as varchar) as name, case when c_custkey % 3 = 0 then '' else 'C' || cast(c_custkey % 40 % 2 as varchar) end as iso2 from customer),
+    k as (select name, iso2, min(c_custkey) as first, count(*) as n from raw group by 1, 2), h as (select name, count(*) as c, min(iso2) as home from k where iso2 <> '' group by 1),
+    p as (select k.name, case when k.iso2 = '' and h.c = 1 then h.home else k.iso2 end as home, k.first, k.n from k left join h on h.name = k.name)
+    select name, home, min(first) as first_row, cast(sum(n) as bigint) as n_rows from p group by 1, 2"""),
+)
+def institution_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: institutions of raw rows, all at once."""
+    k = F.col("c_custkey")
+    raw = frame(spark, sf_dir, "customer").select(k, F.concat(F.lit("BANK  "), (k % 40).cast("string"), F.lit(".")).alias("issuer"), F.when(k % 3 == 0, None).otherwise(F.concat(F.lit("C"), (k % 40 % 2).cast("string"))).alias("iso2"))
+    done = pipeline.identities(raw, ["c_custkey"])
+    return done.select("name", "home", F.col("first.c_custkey").alias("first_row"), F.col("rows").alias("n_rows"))
+
+
+@query(
+    "fuller_names",
+    oracle("""select c_nationkey as institution, case when count(*) filter (c_custkey % 2 = 1) > 0 then 'The North Bank Ltd' else 'North Bank' end as display_name from customer group by 1"""),
+)
+def fuller_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fullest spelling of each institution."""
+    rows = frame(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("institution"), "c_custkey", F.when(F.col("c_custkey") % 2 == 1, "The North Bank Ltd").otherwise("North Bank").alias("display_name"))
+    return pipeline.fuller_names(rows, "institution", ["c_custkey"]).select("institution", "display_name")
+
+
+@query("merge_survivors")
+def merge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: institutions that merge away, from scored pairs (iterative: no SQL oracle)."""
+    inst = frame(spark, sf_dir, "bx_institutions").select("id", F.concat(F.lit("Bank "), F.floor(F.col("id") / 3).cast("string"), F.when(F.col("id") % 3 == 1, " Ltd").when(F.col("id") % 3 == 2, " plc").otherwise("")).alias("display_name"), F.lit(1).alias("country_id"))
+    links = frame(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 3).alias("bin_id"), F.col("s_suppkey").alias("institution_id"))
+    return pipeline.survivors(pipeline.name_pairs(inst, links))
+
+
+@query(
+    "ledger_decisions",
+    oracle("""with p as (select id, field, case when field = 'click' then 'country_id' else 'notes' end as f from bx_claims)
+    select id, case when id % 4 = 0 and f = 'country_id' then 'approved' when id % 4 = 1 then 'rejected' when id % 4 = 2 and f = 'country_id' then 'approved' else 'pending' end as status from p"""),
+)
+def ledger_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on pending facts, by hand and automatic."""
+    rows = frame(spark, sf_dir, "bx_claims").select(
+        "id", F.when(F.col("field") == "click", "country_id").otherwise("notes").alias("field"), F.lit("pending").alias("status"), (F.col("id") % 4 == 2).alias("auto"), F.lit(None).cast("string").alias("current_value")
+    )
+    decisions = rows.where(F.col("id") % 4 < 2).select("id", (F.col("id") % 4 == 0).alias("approved"))
+    return pipeline.decide(rows, decisions).select("id", "status")
+
+
+@query(
+    "watchlist_counts",
+    oracle("""with items as (select 'list ' || cast(bin_id % 5 as varchar) as watchlist, bin_id from bx_claims group by 1, 2), events as (select 'list ' || cast(bin_id % 7 as varchar) as watchlist, id % 3 = 0 as acknowledged from bx_claims)
+    select l.watchlist, coalesce(i.n, 0) as items, coalesce(e.n, 0) as unread from (select 'list ' || cast(x as varchar) as watchlist from range(8) t(x)) l
+    left join (select watchlist, count(*) as n from items group by 1) i on i.watchlist = l.watchlist left join (select watchlist, count(*) as n from events where not acknowledged group by 1) e on e.watchlist = l.watchlist"""),
+)
+def watchlist_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and unread events of each watch list."""
+    from prefixlake.operators import workspace
+
+    rows = frame(spark, sf_dir, "bx_claims")
+
+    def named(n: int):  # noqa: ANN202
+        return F.concat(F.lit("list "), (F.col("bin_id") % n).cast("string")).alias("watchlist")
+
+    lists = spark.range(8).select(F.concat(F.lit("list "), F.col("id").cast("string")).alias("watchlist"))
+    return workspace.watchlist_counts(lists, rows.select(named(5), "bin_id").distinct(), rows.select(named(7), (F.col("id") % 3 == 0).alias("acknowledged")))
+
+
+@query(
+    "history_cap",
+    oracle("""with h as (select user_id, event_type as q, max((ts, event_id)) as last_at from events group by 1, 2), r as (select user_id, q, row_number() over (partition by user_id order by last_at desc) as n from h) select user_id, q from r where n <= 2"""),
+)
+def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest two queries of each user."""
+    from prefixlake.operators import search
+
+    rows = frame(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("q")).agg(F.max(F.struct("ts", "event_id")).alias("at"))
+    return search.newest(rows, ["user_id"], F.desc("at"), 2).select("user_id", "q")
+
+
+@query("stream_latest", oracle("select cast(date_trunc('day', observed_at) as timestamp) as day, bin_id, field, count(*) as n from bx_claims group by 1, 2, 3"))
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.O: the day windows of the streaming façade, over a bounded input."""
+    rows = frame(spark, sf_dir, "bx_claims").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    counts = rows.groupBy(F.window("observed_at", "1 day"), "bin_id", "field").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "bin_id", "field", "n")
