@@ -100,3 +100,25 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence text found in every document: coverage and span."""
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op6_neardup"] = rf"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array({_FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2]) when len(w) > 0 then [array_to_string(w, chr(10))] else [] end) as g from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+edges as (select a, b from links union select b, a from links),
+reach as (select doc_id as id, doc_id as root from documents union select e.b, r.root from reach r join edges e on e.a = r.id)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, m.root as component_id, d.doc_id = m.root as kept
+from documents d left join sizes s on s.doc_id = d.doc_id join (select id, min(root) as root from reach group by id) m on m.id = d.doc_id"""
+
+ORACLES["op8_line_dedup"] = """
+with split as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from split),
+frequent as (select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(f.k) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.k is null), '')) as kept_sha256
+from keyed left join frequent f on f.k = keyed.k group by doc_id"""
