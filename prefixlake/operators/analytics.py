@@ -152,3 +152,27 @@ def shared_bins(links: DataFrame, most: int = 10_000) -> DataFrame:
 def status_counts(staging: DataFrame) -> DataFrame:
     """Staged records by batch and status."""
     return staging.groupBy("batch_id", "status").agg(F.count(F.lit(1)).alias("records"))
+
+
+def without_orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
+    """Rows whose key is null or names a parent (I14): what stays when orphans are deleted."""
+    known = child.join(parent.select(F.col(parent_key).alias(key)), key, "left_semi").select(*child.columns)
+    return known.unionByName(child.where(F.col(key).isNull()))
+
+
+def snapshot(bins: DataFrame, links: DataFrame, institutions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(metric, value): the headline figures of a scope in one pass over its prefixes."""
+    one = bins.agg(
+        F.count(F.lit(1)).alias("bins"),
+        F.countDistinct("country_id").alias("countries"),
+        F.countDistinct("network_id").alias("networks"),
+        F.count_if(F.col("card_type") == "credit").alias("credit"),
+        F.count_if(F.col("card_type") == "debit").alias("debit"),
+        F.count_if(F.col("card_type") == "charge").alias("charge"),
+        F.count_if("is_prepaid").alias("prepaid"),
+        F.count_if("is_commercial").alias("commercial"),
+    )
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+    scoped = links.join(bins.select(F.col("id").alias("bin_id")), "bin_id", "left_semi").agg(F.lit("institutions").alias("metric"), F.countDistinct("institution_id").alias("value"))
+    every = institutions.agg(F.lit("all_institutions").alias("metric"), F.count(F.lit(1)).alias("value"))
+    return rows.unionByName(scoped).unionByName(every).unionByName(ranges.agg(F.lit("ranges").alias("metric"), F.count(F.lit(1)).alias("value")))

@@ -231,3 +231,24 @@ def duplicate_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staging_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged records by status."""
     return an.status_counts(frame(spark, sf_dir, "bx_staging"))
+
+
+@query(
+    "analytics_snapshot",
+    oracle("""with s as (select * from bx_bins where status = 'active')
+    select 'bins' as metric, count(*) as value from s union all select 'countries', count(distinct country_id) from s union all select 'networks', count(distinct network_id) from s
+    union all select 'credit', count(*) from s where card_type = 'credit' union all select 'debit', count(*) from s where card_type = 'debit' union all select 'charge', count(*) from s where card_type = 'charge'
+    union all select 'prepaid', count(*) from s where is_prepaid union all select 'commercial', count(*) from s where is_commercial
+    union all select 'institutions', count(distinct institution_id) from bx_links where bin_id in (select id from s) union all select 'all_institutions', count(*) from bx_institutions union all select 'ranges', count(*) from bx_ranges"""),
+)
+def analytics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline figures of the active prefixes."""
+    bins = frame(spark, sf_dir, "bx_bins").where("status = 'active'")
+    return an.snapshot(bins, *(frame(spark, sf_dir, n) for n in ("bx_links", "bx_institutions", "bx_ranges")))
+
+
+@query("delete_orphans", oracle("select id, institution_id from bx_addresses where institution_id in (select id from bx_institutions where id % 9 <> 0)"))
+def delete_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses whose institution is still there."""
+    kept = frame(spark, sf_dir, "bx_institutions").where("id % 9 <> 0")
+    return an.without_orphans(frame(spark, sf_dir, "bx_addresses"), "institution_id", kept).select("id", "institution_id")

@@ -254,3 +254,15 @@ def name_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of institution names, on distinct names."""
     raw = frame(spark, sf_dir, "supplier").select(F.concat(F.lit("The "), F.initcap(F.replace("s_name", F.lit("#"), F.lit(" & "))), F.lit(" Natl Bk, N.A. (Head Office)")).alias("raw")).distinct()
     return raw.select("raw", names.name_struct(F.col("raw")).alias("n")).select("raw", "n.*", names.aliases(F.col("n")).alias("aliases"))
+
+
+@query(
+    "registered_functions",
+    oracle("""select query_id, cast(rpad(substr(q, 1, 8), 8, '0') as int) as lo, cast(rpad(substr(q, 1, 8), 8, '9') as int) as hi, 'visa' as scheme from bx_queries where q like '4%'"""),
+)
+def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.P: the session's SQL functions."""
+    from prefixlake.functions.registry import register
+
+    register(spark)
+    return spark.sql("select query_id, prefix_low(q) as lo, prefix_high(q) as hi, scheme_of(clean_digits(q)) as scheme from {queries} where q like '4%'", queries=frame(spark, sf_dir, "bx_queries"))
