@@ -1,15 +1,12 @@
-"""What the operators share on the Spark side: table paths, checkpoints and hot-group helpers."""
+"""What the operators share on the Spark side: input tables and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixlake.session import on_workers
-
-CHECKPOINT = "spark.checkpoint.dir"
+from prefixlake.session import on_workers, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,27 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: the session's checkpoint folder.
-
-    Only where none is set, as in local tests, is a new temporary one made and set.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get(CHECKPOINT, None) or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='prefixlake-')}")
-        found = context.getCheckpointDir()
-    return found
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; its lineage ends there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: columnar, so it is smaller than a checkpoint."""
     spark = df.sparkSession
