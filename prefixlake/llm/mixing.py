@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefixlake.llm.shared import written
 from prefixlake.llm.textarrays import chunks, word_spans
 
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4096
 BLOCK = 64
 FINE = 1 << 16
 
@@ -81,7 +82,7 @@ def plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float
     go to the sources by code point, null last, and repeat.
     """
     spark = documents.sparkSession
-    sized = documents.select("doc_id", "source", words(F.col("text")).alias("size"))
+    sized = written(documents.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")  # texts are read once
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in stats]

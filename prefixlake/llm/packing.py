@@ -31,15 +31,25 @@ CAPACITY = 4096
 END = 1
 SHARD_PIECES = 16_384
 WORDS_KEPT = 3_000_000
+RECENT = 1 << 17
+READ = 2 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 _met: dict[str, WordTable] = {}
 
 
+def word_table(path: str) -> WordTable:
+    """The table of a tokeniser file, kept by the Python worker from task to task."""
+    if path not in _met:
+        _met[path] = WordTable(path)
+    return _met[path]
+
+
 class WordTable:
     """The ids of words already met by one Python worker: sorted hashes over one pool of ids.
 
-    About 30 bytes a word; past ``WORDS_KEPT`` words it starts afresh.
+    New words go to a small sorted run first, which is merged into the large one when it is full.
+    About 30 bytes a word; past ``WORDS_KEPT`` words the table starts afresh.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,12 +59,13 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.runs = [none, none]  # (hashes, starts, lengths): the large run, the recent one
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode new words; ``hashes`` are distinct and not yet known."""
-        if len(self.hashes) + len(words) > WORDS_KEPT:
+        if sum(len(r[0]) for r in self.runs) + len(words) > WORDS_KEPT:
             self.clear()
         lengths, parts = [], []
         for at in range(0, len(words), 20_000):
@@ -67,16 +78,25 @@ class WordTable:
         self.pool[self.used : self.used + len(ids)] = ids
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.starts, self.lengths = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each hash, and whether it is known."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        self.runs[1] = self._merged(self.runs[1], (hashes, starts, lengths))
+        if len(self.runs[1][0]) > RECENT:
+            self.runs = [self._merged(*self.runs), tuple(x[:0] for x in self.runs[1])]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of each hash's ids in the pool, and whether it is known."""
+        start, length, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for held, starts, lengths in self.runs:
+            rest = np.flatnonzero(~known)
+            if len(held) and len(rest):
+                at = np.minimum(np.searchsorted(held, hashes[rest]), len(held) - 1)
+                hit = held[at] == hashes[rest]
+                start[rest[hit]], length[rest[hit]], known[rest[hit]] = starts[at[hit]], lengths[at[hit]], True
+        return start, length, known
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and where each text's ids begin (with the end).
@@ -95,7 +115,7 @@ class WordTable:
         ends, starts = np.where(cut[index] & ~second, ends[index] - 1, ends[index]), np.where(second, ends[index] - 1, starts[index])
         word = np.concatenate([[0], np.cumsum(1 + cut)])[word]
         codes, distinct = pd.factorize(span_hashes(data, starts, ends))
-        at, known = self.find(distinct)
+        start, size, known = self.find(distinct)
         if not known.all():
             first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -106,12 +126,12 @@ class WordTable:
 
             new = np.flatnonzero(~known)
             self.learn(distinct[new], texts(first[new]))
-            at, known = self.find(distinct)
+            start, size, known = self.find(distinct)
             if not known.all():  # the table started afresh
                 new = np.flatnonzero(~known)
                 self.learn(distinct[new], texts(first[new]))
-                at, known = self.find(distinct)
-        begin, length = self.starts[at][codes], self.lengths[at][codes]
+                start, size, known = self.find(distinct)
+        begin, length = start[codes], size[codes]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
         return ids, total[word]
@@ -124,11 +144,9 @@ def tokenized(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer_path not in _met:
-            _met[tokenizer_path] = WordTable(tokenizer_path)
-        table, end = _met[tokenizer_path], np.array([END], np.uint32).tobytes()
+        table, end = word_table(tokenizer_path), np.array([END], np.uint32).tobytes()
         for batch in batches:
-            for (first, plain, offsets), (_, folded, _) in zip(chunks(batch.column("text")), chunks(batch.column("text"), lower=True), strict=True):
+            for (first, plain, offsets), (_, folded, _) in zip(chunks(batch.column("text"), size=READ), chunks(batch.column("text"), lower=True, size=READ), strict=True):
                 # The tokeniser folds case itself; folding A-Z before makes fewer distinct words. Only
                 # where the text may name a special token, which is matched as written, is it left.
                 ids, begins = table.encode(plain if b"<|" in plain.tobytes() else folded, offsets)

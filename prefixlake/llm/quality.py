@@ -26,10 +26,13 @@ UNDETERMINED = "und"
 class Sample:
     """The bound on the training sample: rows, and the share of them that sets the calibration."""
 
-    rows: int = 6000
+    rows: int = 4000
     seed: int = 11
 
 
+LANGUAGE_SAMPLE = Sample(rows=2500)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -55,8 +58,19 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
                 names=["doc_id", "label", "ids", "weights"],
             )
 
-    rows = texts.mapInArrow(bags, "doc_id long, label string, ids binary, weights binary").toPandas().sort_values(["doc_id", "label"])
-    return [(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(rows.ids, rows.weights, strict=True)], list(rows.label)
+    rows = texts.mapInArrow(bags, "doc_id long, label string, ids binary, weights binary").toArrow()
+    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
+
+    def views(name: str, kind: type) -> list[np.ndarray]:
+        """Each row's values as views of one buffer."""
+        if not rows.num_rows:
+            return []
+        column = pa.concat_arrays(rows[name].chunks).cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+        values = np.frombuffer(column.buffers()[2] or b"", kind)
+        return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    return list(zip(views("ids", np.int32), views("weights", np.float32), strict=True)), rows["label"].to_pylist()
 
 
 def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), **options: float) -> SubwordModel:  # noqa: B008
@@ -92,7 +106,7 @@ def score_quality(documents: DataFrame, model: SubwordModel) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def fit_language(documents: DataFrame, sample: Sample = Sample()) -> SubwordModel:  # noqa: B008
+def fit_language(documents: DataFrame, sample: Sample = LANGUAGE_SAMPLE) -> SubwordModel:
     """Learn the non-null ``lang`` of ``documents`` from its texts."""
     return fit(documents, documents.select("doc_id", F.col("lang").alias("label")), LANGUAGE, sample)
 
