@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
 The vocabulary comes from word counts over all documents (A-Z folded): the ``TOP`` most frequent
-words have ids of their own, all others share hashed ids. The network embeds the ``REACH`` words on
+words have ids of their own, all others share hashed ids for the network. The network embeds the ``REACH`` words on
 each side of a hidden place, one linear map per relative position, a tanh layer, and a two-step
 softmax (a class of 64, then a word of 64 within it), whose biases start as the corpus's unigram
-log-probabilities. Training hides a seeded ``MASK`` share of the places of every document.
+log-probabilities. Training hides every place of every document once, in shuffled batches.
+
+A word that shares its id has the id's probability times the word's part of the id's count, so the
+probabilities of all distinct words of the corpus add up to one. These parts come from the full word
+counts: the rarer words of the texts are dealt to shards by hash, packed, and meet the counts there.
 
 Training runs where the data is: each task trains a copy in numpy on its partition, copies are
 averaged by tokens seen in two grouped steps, and a second round goes on from that average with the
@@ -12,7 +16,7 @@ other half of the documents. Only the averaged network, whose size is fixed, rea
 A document's score is the sum over all its tokens of log P(token | both sides).
 
 Defined results: a text without words scores 0 over 0 tokens, with a null mean; repeated rows score
-alike; an empty table gives an empty result.
+alike; a word that the corpus doesn't hold counts as seen once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefixlake.llm.shared import written
 from prefixlake.llm.textarrays import chunks, span_hashes, word_spans
 
 CLASSES, MEMBERS = 64, 64
@@ -33,10 +38,11 @@ IDS = CLASSES * MEMBERS
 TOP = IDS // 2
 REACH, DIMS, HIDDEN = 2, 16, 32
 SIDES = tuple(d for d in range(-REACH, REACH + 1) if d)
-MASK = 0.2
 BATCH = 4096
 SHARD = 8192
 SALTS = 64
+SHARES, SHARE_TOKENS, PACK = 16, 1 << 23, 1 << 20  # least shards of rarer words, tokens a shard, tokens packed at once
+SCALE = 1 << 24  # parts are summed as whole numbers, so that no order of rows changes a sum
 EDGE = 0  # the id of what lies beyond a text's ends; never predicted
 
 SHAPES = {
@@ -52,11 +58,12 @@ SHAPES = {
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent words with their ids, and the count of every id."""
+    """Sorted hashes of the frequent words with their ids, the count of every id, and where the counts of all words are."""
 
     hashes: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
+    words: tuple[str, ...] = ()
 
     def encode(self, h: np.ndarray) -> np.ndarray:
         """Ids of word hashes: 1 to TOP - 1 for frequent words, TOP and up for the rest."""
@@ -81,7 +88,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 def fit_vocabulary(documents: DataFrame) -> Vocabulary:
     """The frequent words by corpus count (ties by hash), and the mass of each hashed id."""
-    counts = word_counts(documents)
+    counts = written(word_counts(documents), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(TOP - 1).toPandas()
     unsigned = F.pmod(F.pmod(F.col("h"), F.lit(IDS - TOP)) + F.lit((1 << 64) % (IDS - TOP)), F.lit(IDS - TOP))
     rest = counts.groupBy(unsigned.alias("k")).agg(F.sum("n").alias("n")).toPandas()
@@ -91,7 +98,7 @@ def fit_vocabulary(documents: DataFrame) -> Vocabulary:
     mass[1 : 1 + len(top)] = top.n.to_numpy()
     np.subtract.at(mass, TOP + (hashes % np.uint64(IDS - TOP)).astype(np.int64), top.n.to_numpy(np.float64))
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], 1 + order, mass)
+    return Vocabulary(hashes[order], 1 + order, mass, tuple(counts.inputFiles()))
 
 
 def initial(vocabulary: Vocabulary, seed: int = 23) -> dict[str, np.ndarray]:
@@ -123,14 +130,27 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 def tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids with REACH edges before each text and after the last, where each text's words begin)."""
+    for first, padded, begins, _ in hashed_tokens(texts, vocabulary):
+        yield first, padded, begins
+
+
+def hashed_tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What :func:`tokens` gives, and the hashes of the words, without edges."""
     for first, data, offsets in chunks(texts, lower=True):
         starts, ends, word = word_spans(data, offsets)
-        ids = vocabulary.encode(span_hashes(data, starts, ends))
+        hashes = span_hashes(data, starts, ends)
+        ids = vocabulary.encode(hashes)
         rows = len(offsets) - 1
         shift = REACH * (np.arange(rows) + 1)
         padded = np.full(len(ids) + REACH * (rows + 1), EDGE, np.int64)
         padded[np.arange(len(ids)) + np.repeat(shift, np.diff(word))] = ids
-        yield first, padded, word + REACH * (np.arange(rows + 1) + 1)
+        yield first, padded, word + REACH * (np.arange(rows + 1) + 1), hashes
+
+
+def examples(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, target) ids of every place that holds a word."""
+    places = np.flatnonzero(ids != EDGE)
+    return np.stack([ids[places + d] for d in SIDES], axis=1), ids[places]
 
 
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,9 +215,8 @@ def train_round(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.
         rng, held = np.random.default_rng([seed, task]), []
         for batch in batches:
             for _, ids, begins in tokens(batch.column("text"), vocabulary):
-                places = np.flatnonzero((ids != EDGE) & (rng.random(len(ids)) < MASK))
                 seen += len(ids) - REACH * len(begins)
-                held.append((np.stack([ids[places + d] for d in SIDES], axis=1), ids[places]))
+                held.append(examples(ids))
                 if sum(len(x[1]) for x in held) >= 16 * BATCH:
                     _drain(trainer, held, rng)
         _drain(trainer, held, rng)
@@ -264,20 +283,88 @@ class Scorer:
         return out
 
 
+def shards_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each word hash; it grows with the hash."""
+    return ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+
+
+def pack(hashes: np.ndarray, rows: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(shard, distinct hashes, how often each occurs, the rows it occurs in) of each shard that has any."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, rows = hashes[order], rows[order].astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    words, times = hashes[starts], np.diff(np.append(starts, len(hashes))).astype(np.uint32)
+    cuts = np.searchsorted(shards_of(words, shards), np.arange(shards + 1))
+    edges = np.append(starts, len(hashes))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[k], cuts[k + 1]
+        yield k, words[a:b].tobytes(), times[a:b].tobytes(), rows[edges[a] : edges[b]].tobytes()
+
+
+SCORED = "key long, doc_id long, digest string, n_tokens long, log_prob double, shard int, words binary, times binary, rows binary"
+
+
 def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) of every document's whole text."""
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of every document's whole text, in the order of ``documents``."""
+    spark = documents.sparkSession
+    shards = max(SHARES, -(-int(vocabulary.counts[TOP:].sum()) // SHARE_TOKENS))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net)
+        scorer, key = Scorer(net), TaskContext.get().partitionId() << 40
+
+        def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            found = list(pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), shards))
+            held.clear()
+            own = [[key] * len(found), *([None] * len(found) for _ in range(4)), *([x[k] for x in found] for k in range(4))]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names=names)
+
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, ids, begins in tokens(batch.column("text"), vocabulary):
+            n, total, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), []
+            for first, ids, begins, hashes in hashed_tokens(batch.column("text"), vocabulary):
                 places, rows = np.flatnonzero(ids != EDGE), len(begins) - 1
                 sums = np.concatenate([[0.0], np.cumsum(scorer.log_probabilities(ids, places))])
                 at = np.searchsorted(places, begins)
                 n[first : first + rows] = np.diff(at)
                 total[first : first + rows] = sums[at[1:]] - sums[at[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "log_prob"])
-
-    out = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+                rare = ids[places] >= TOP
+                held.append((hashes[rare], np.repeat(first + np.arange(rows), np.diff(at))[rare]))
+                if sum(len(x[0]) for x in held) >= PACK:
+                    yield packed(held)
+            if held:
+                yield packed(held)
+            own = [pa.array(key + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("digest"), pa.array(n), pa.array(total), *(pa.nulls(batch.num_rows, k) for k in kinds[5:])]
+            yield pa.RecordBatch.from_arrays(own, names=names)
+            key += batch.num_rows
+
+    def parts(rows: pa.Table, known: pa.Table) -> pa.Table:
+        """The summed parts of one shard's words, by document."""
+        hashes, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
+        order = np.argsort(hashes)
+        hashes, n, keys, sums = np.append(hashes[order], np.uint64(0)), np.append(n[order], 1), [], []
+        for key, words, times, places in zip(rows["key"].to_pylist(), rows["words"].to_pylist(), rows["times"].to_pylist(), rows["rows"].to_pylist(), strict=True):
+            words, times, places = np.frombuffer(words, np.uint64), np.frombuffer(times, np.uint32), np.frombuffer(places, np.uint32)
+            at = np.searchsorted(hashes[:-1], words)
+            own = np.where(hashes[at] == words, n[at], 1)
+            shared = np.maximum(vocabulary.counts[TOP + (words % np.uint64(IDS - TOP)).astype(np.int64)], own)
+            part = np.rint((np.log(own) - np.log(shared)) * SCALE)
+            total = np.bincount(places, weights=np.repeat(part, times))
+            found = np.flatnonzero(total)
+            keys.append(key + found)
+            sums.append(total[found].astype(np.int64))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"key": pa.array(np.concatenate(keys or none)), "part": pa.array(np.concatenate(sums or none))})
+
+    found = written(documents.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(run, SCORED), "scored")
+    known = spark.read.schema("h long, n long").parquet(*vocabulary.words) if vocabulary.words else spark.createDataFrame([], "h long, n long")
+    shard = F.shiftright(F.shiftrightunsigned("h", 40) * shards, 24).cast("int")
+    packs = found.where("shard is not null").select("shard", "key", "words", "times", "rows")
+    sums = packs.groupBy("shard").cogroup(known.select(shard.alias("shard"), "h", "n").groupBy("shard")).applyInArrow(parts, "key long, part long")
+    sums = sums.groupBy("key").agg((F.sum("part") / SCALE).alias("part"))
+    out = found.where("shard is null").select("key", "doc_id", "digest", "n_tokens", "log_prob").join(sums, "key", "left")
+    out = out.withColumn("log_prob", F.col("log_prob") + F.coalesce("part", F.lit(0.0)))
+    # Single-precision products differ in the last digits with a row's place in its batch.
+    same = out.groupBy("digest").agg(F.min("log_prob").alias("_same"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    out = out.join(same, "digest", "left").orderBy("key").select("doc_id", "n_tokens", F.coalesce("_same", "log_prob").alias("log_prob"))
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -57,3 +57,26 @@ def test_tokens_keep_texts_apart():
 def test_empty(documents):
     docs = documents([])
     assert lm.score(docs, *lm.fit(docs)).count() == 0
+
+
+def test_every_distinct_word_has_its_own_probability(spark, documents):
+    """Rarer words share ids in the network, but not their probability."""
+    count = {f"common{i}": 5 for i in range(lm.TOP - 1)} | {f"rare{i}": 1 + i % 3 for i in range(5000)}
+    vocabulary = lm.fit_vocabulary(documents([" ".join([w] * n) for w, n in count.items()]))
+    words = list(count)
+    got = lm.score(documents([*words, "rare1 rare1 unheard"]), vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").log_prob
+    ((_, ids, begins, _),) = lm.hashed_tokens(pa.array(words), vocabulary)
+    net = lm.Scorer(lm.initial(vocabulary)).log_probabilities(ids, begins[:-1])
+    own = ids[begins[:-1]]
+    part = np.array([np.log(count[w] / vocabulary.counts[i]) for w, i in zip(words, own, strict=True)])
+    assert np.allclose(got[: len(words)], net + part, atol=1e-6)
+    assert (part[: lm.TOP - 1] == 0).all() and part.min() < -1
+    assert abs(np.exp(got[: len(words)]).sum() - np.exp(net[np.unique(own, return_index=True)[1]]).sum()) < 1e-6
+    assert got[len(words)] < 2 * got[words.index("rare1")] < 0
+
+
+def test_every_token_is_a_target():
+    vocabulary = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(lm.IDS))
+    ((_, ids, _),) = lm.tokens(pa.array(["a b c", None, "d " * 500]), vocabulary)
+    context, targets = lm.examples(ids)
+    assert len(targets) == 503 and context.shape == (503, len(lm.SIDES)) and (targets == ids[ids != lm.EDGE]).all()
