@@ -17,7 +17,8 @@
 
 A region or cluster above ``BLOCK`` members is dealt to blocks, each with the same few leaders (for
 clusters: those nearest to the cluster's modal signature). What doesn't connect to a leader in its
-block is then compared with every block of its group. So no task holds an unbounded group, and no
+block is then compared with every block of its group, and so is what hangs on leaders that the blocks
+together leave apart from the group's main component of leaders. So no task holds an unbounded group, and no
 link is lost to the dealing.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; fewer words
@@ -192,7 +193,7 @@ def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, ["grp", "block"]):
             ids, many, leads = batch.column("id").to_numpy(), batch.column("blocks").to_numpy(), batch.column("leads").to_numpy(zero_copy_only=False)
-            a, b, group, rest, open_groups, parts = [], [], [], [], np.arange(len(starts) - 1), None
+            a, b, group, rest, heads, kinds, open_groups, parts = [], [], [], [], [], [], np.arange(len(starts) - 1), None
             if presorted:
                 # Neighbours with the longest common prefix, over all groups of the batch at once.
                 labels = _label_matrix(batch.column("payload"))
@@ -218,23 +219,56 @@ def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness:
                     a.append(ids[i + x])
                     b.append(ids[i + y])
                 if many[i] > 1:
-                    led = np.isin(component, component[leads[i:j]])
-                    rest.append(ids[i:j][~led])
-                    group.append(np.full(int((~led).sum()), batch.column("grp")[int(i)].as_py()))
-            a, b, rest, group = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b, rest, group))
-            none = pa.nulls(len(rest), pa.int64())
+                    own, lead = ids[i:j], leads[i:j]
+                    head = np.full(component.max() + 1, -1)
+                    np.maximum.at(head, component[lead], own[lead])
+                    led = np.isin(component, component[lead])
+                    rest.append(own)
+                    heads.append(head[component])
+                    kinds.append(np.where(lead, 3, np.where(led, 2, 1)))
+                    group.append(np.full(j - i, batch.column("grp")[int(i)].as_py()))
+            a, b, rest, heads, kinds, group = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b, rest, heads, kinds, group))
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(a), pa.array(rest)]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(group)])],
-                names=["a", "b", "grp"],
+                [
+                    pa.array(np.concatenate([np.zeros(len(a), np.int64), kinds])),
+                    pa.concat_arrays([pa.array(a), pa.array(rest)]),
+                    pa.concat_arrays([pa.array(b), pa.array(heads)]),
+                    pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(group)]),
+                ],
+                names=["kind", "a", "b", "grp"],
             )
 
+    def outside(rows: pa.Table) -> pa.Table:
+        """The heads of one group that blocks don't connect with its main component, the one with most members."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        pairs = list(zip(rows["a"].to_pylist(), rows["b"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        for x, y, _ in pairs:
+            parent[root(x)] = root(y)
+        sizes: dict[int, int] = {}
+        for _, y, n in pairs:
+            sizes[root(y)] = sizes.get(root(y), 0) + n
+        main = max(sizes, key=lambda r: (sizes[r], r))
+        found = [x for x in list(parent) if root(x) != main]
+        return pa.table({"grp": pa.array([rows["grp"][0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
     order = ["grp", "block", "payload"] if presorted else ["grp", "block"]
-    found = written(dealt.repartition("grp", "block").sortWithinPartitions(*order).mapInArrow(search, "a long, b long, grp long"), "links")
-    links = found.where("b is not null").select("a", "b")
-    left = found.where("b is null").select("grp", F.col("a").alias("id")).distinct()
+    found = written(dealt.repartition("grp", "block").sortWithinPartitions(*order).mapInArrow(search, "kind long, a long, b long, grp long"), "links")
+    links = found.where("kind = 0").select("a", "b")
+    led = found.where("kind = 2")
+    ties = found.where("kind = 3").select("grp", "a", "b", F.lit(0).cast("long").alias("n")).distinct()
+    ties = ties.union(led.groupBy("grp", "b").agg(F.count(F.lit(1)).alias("n")).select("grp", F.col("b").alias("a"), "b", "n"))
+    apart = led.join(ties.groupBy("grp").applyInArrow(outside, "grp long, b long"), ["grp", "b"], "left_semi")
+    left = found.where("kind = 1").select("grp", "a").union(apart.select("grp", "a")).toDF("grp", "id").distinct()
+    left = written(left, "left")
     if left.isEmpty():
         return links
-    # What no leader reached is compared with every block of its group, in bounded pieces of both.
+    # What no leader reached, or only one outside the main component, is compared with every block of its group, in bounded pieces of both.
     pieces = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("pieces"))
     wide = dealt.where("not leads").join(pieces, "grp").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     wide = wide.select("grp", "block", "piece", "id", F.lit(False).alias("asks"), "payload")

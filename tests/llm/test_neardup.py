@@ -69,3 +69,17 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (20, 21), (21, 22), (22, 20), (5, 1)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9, 10: 9, 20: 20, 21: 20, 22: 20}
+
+
+@pytest.mark.parametrize("presorted", [False, True])
+def test_bridge_between_leaders_of_different_blocks(spark, presorted):
+    """Two versions hang on leaders that don't link; one pair in different blocks joins them."""
+    rows = {"x": "0" * 64, "y": "1" * 64, "a": "0" * 40 + "1" * 24, "b": "1" * 26 + "0" * 14 + "1" * 24}
+    rows = {k: bytes.fromhex(v) for k, v in rows.items()}
+    blocks = {r["id"]: r["block"] for r in spark.range(100).selectExpr("id", "pmod(xxhash64(id), 2) as block").collect()}
+    a, b = (next(i for i in range(10, 100) if blocks[i] == k) for k in (0, 1))
+    ids = {0: "x", 1: "y", 2: "x", 3: "x", 4: "y", a: "a", b: "b"}
+    members = spark.createDataFrame([(7, i, rows[k]) for i, k in ids.items()], "grp long, id long, payload binary")
+    leaders = members.where("id < 2")
+    links = neardup._links(members, spark.createDataFrame([(7, 2)], "grp long, blocks long"), leaders, neardup._Labels, presorted)
+    assert {r["component"] for r in connected_components(links).collect()} == {0}
