@@ -199,16 +199,15 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
 def read_stream(data: bytes) -> Stream:
     """Everything the frames and tags of ``data`` say; see the module's text."""
     out, pos, parts, sure = Stream(), 0, [], False
-    end = len(data)
-    if data[-128:-125] == b"TAG" and end >= 128:
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1"))
+    # A frame of the chain that ends where the data ends holds a "TAG" there as its own bytes.
+    whole = len(data)
+    end = whole - 128 if whole >= 128 and data[-128:-125] == b"TAG" else whole
     while pos < end:
         if _is_tag(data, pos):
             pos = _read_id3v2(data, pos, out.tags)
             continue
         h = parse_header(data[pos : pos + 4])
-        good = h is not None and pos + h.length <= end and (out.header is None or _alike(h, out.header))
+        good = h is not None and (pos + h.length <= end or (sure and pos + h.length == whole)) and (out.header is None or _alike(h, out.header))
         if good and not sure:
             # A first frame counts once the next header, a tag or the end confirms it.
             after = pos + h.length
@@ -235,6 +234,8 @@ def read_stream(data: bytes) -> Stream:
                     out.crc_bad += not right
                 parts.append(data[body + h.side : pos + h.length])
         pos += h.length
+    if pos <= end < whole:
+        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1"))
     size = out.tags.get(PAYLOAD_TAG, "")
     out.payload = b"".join(parts)[: int(size) if size.isdigit() else None]
     return out

@@ -48,3 +48,20 @@ def test_operator(spark, documents):
     assert got[3]["feature"] == got[4]["feature"]
     none = spark.createDataFrame([(1, 0, None), (2, 0, b"")], "doc_id long, n_bytes long, media binary")
     assert [(r["frames"], bytes(r["payload"])) for r in media.read_media(none).collect()] == [(0, b""), (0, b"")]
+
+
+def test_payload_that_looks_like_a_trailing_tag():
+    """The bytes of an ID3v1 tag inside the last frame are payload; after it they are a tag."""
+    for size in (64, 1004, 1024, 2048, 3000):
+        plain = media.write_stream(bytes(size))
+        at = len(plain) - 128
+        for k in range(size - 2):
+            payload = bytes(k) + b"TAG" + bytes(size - k - 3)
+            data = media.write_stream(payload)
+            if data[at : at + 3] == b"TAG":
+                assert media.read_stream(data).payload == payload
+                tagged = media.read_stream(data + (b"TAG" + b"title").ljust(128, b"\x00"))
+                assert tagged.payload == payload and tagged.tags["TIT2"] == "title" and tagged.skipped == 0
+                break
+        else:
+            assert size == 64
