@@ -10,9 +10,10 @@ A word that shares its id has the id's probability times the word's part of the
 probabilities of all distinct words of the corpus add up to one. These parts come from the full word
 counts: the rarer words of the texts are dealt to shards by hash, packed, and meet the counts there.
 
-Training runs where the data is: each task trains a copy in numpy on its partition, copies are
-averaged by tokens seen in two grouped steps, and a second round goes on from that average with the
-other half of the documents. Only the averaged network, whose size is fixed, reaches the driver.
+Training is distributed: the documents, as ids, are dealt by hash to parts of about ``PART_TOKENS``
+words in two halves; each part trains a copy in numpy in an order of its own, copies are averaged by
+words seen in a tree of bounded fan-in, and the second half goes on from that average. Nothing of it
+depends on files, tasks or executors. Only the averaged network, whose size is fixed, reaches the driver.
 A document's score is the sum over all its tokens of log P(token | both sides).
 
 Defined results: a text without words scores 0 over 0 tokens, with a null mean; repeated rows score
@@ -38,9 +39,10 @@ IDS = CLASSES * MEMBERS
 TOP = IDS // 2
 REACH, DIMS, HIDDEN = 2, 16, 32
 SIDES = tuple(d for d in range(-REACH, REACH + 1) if d)
-BATCH = 4096
+BATCH = 8192
 SHARD = 8192
-SALTS = 64
+FAN = 32  # copies merged at once
+PART_TOKENS = 1 << 21  # words a copy is trained on in a round
 SHARES, SHARE_TOKENS, PACK = 16, 1 << 23, 1 << 20  # least shards of rarer words, tokens a shard, tokens packed at once
 SCALE = 1 << 24  # parts are summed as whole numbers, so that no order of rows changes a sum
 EDGE = 0  # the id of what lies beyond a text's ends; never predicted
@@ -147,12 +149,6 @@ def hashed_tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int
         yield first, padded, word + REACH * (np.arange(rows + 1) + 1), hashes
 
 
-def examples(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, target) ids of every place that holds a word."""
-    places = np.flatnonzero(ids != EDGE)
-    return np.stack([ids[places + d] for d in SIDES], axis=1), ids[places]
-
-
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities and log of the normaliser; rows of ``z`` are consumed."""
     top = z.max(axis=1, keepdims=True)
@@ -182,79 +178,113 @@ class Trainer:
     def step(self, context: np.ndarray, ids: np.ndarray) -> None:
         """One batch: ``context`` (n, sides) ids around the hidden ``ids``."""
         net, n = self.net, len(ids)
-        seen = net["embed"][context]
-        hidden = np.tanh(np.einsum("nsd,sdh->nh", seen, net["side"], optimize=True) + net["bias"])
-        grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+        side = net["side"].reshape(-1, HIDDEN)
+        seen = net["embed"][context].reshape(n, -1)
+        hidden = np.tanh(seen @ side + net["bias"])
         p, _ = _softmax(hidden @ net["klass"] + net["klass_bias"])
         p[np.arange(n), ids // MEMBERS] -= 1
-        grad["klass"], grad["klass_bias"] = hidden.T @ p, p.sum(0)
+        member, member_bias = np.zeros(SHAPES["member"], np.float32), np.zeros(SHAPES["member_bias"], np.float32)
         back = p @ net["klass"].T
         for c, rows in _by_class(ids):
-            q, _ = _softmax(hidden[rows] @ net["member"][c] + net["member_bias"][c])
+            own = hidden[rows]
+            q, _ = _softmax(own @ net["member"][c] + net["member_bias"][c])
             q[np.arange(len(rows)), ids[rows] % MEMBERS] -= 1
-            grad["member"][c], grad["member_bias"][c] = hidden[rows].T @ q, q.sum(0)
+            member[c], member_bias[c] = own.T @ q, q.sum(0)
             back[rows] += q @ net["member"][c].T
         back *= 1 - hidden * hidden
-        grad["bias"] = back.sum(0)
-        for s in range(len(SIDES)):
-            grad["side"][s] = seen[:, s].T @ back
-            to = back @ net["side"][s].T
-            for d in range(DIMS):
-                grad["embed"][:, d] += np.bincount(context[:, s], weights=to[:, d], minlength=IDS).astype(np.float32)
-        for k, g in grad.items():
-            g /= n
-            self.squares[k] += g * g * n
-            net[k] -= self.rate * g * np.sqrt(n) / np.sqrt(self.squares[k])
-
-
-def train_round(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
-    """One pass over ``documents``: a copy of ``net`` per task, averaged by tokens seen."""
+        to = (back @ side.T).reshape(-1, DIMS)
+        met = context.ravel()
+        order = np.argsort(met.astype(np.uint16), kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(met[order]) > 0]))
+        self._move("klass", slice(None), hidden.T @ p, n)
+        self._move("klass_bias", slice(None), p.sum(0), n)
+        self._move("member", slice(None), member, n)
+        self._move("member_bias", slice(None), member_bias, n)
+        self._move("bias", slice(None), back.sum(0), n)
+        self._move("side", slice(None), (seen.T @ back).reshape(SHAPES["side"]), n)
+        self._move("embed", met[order[starts]], np.add.reduceat(to[order], starts, axis=0), n)
+
+    def _move(self, name: str, at: slice | np.ndarray, grad: np.ndarray, n: int) -> None:
+        """One step along ``grad``, summed over ``n`` places, for the rows ``at`` of a table."""
+        grad = grad * np.float32(1 / np.sqrt(n))
+        squares = self.squares[name][at] + grad * grad
+        self.squares[name][at] = squares
+        self.net[name][at] -= np.float32(self.rate) * grad / np.sqrt(squares)
+
+    def drain(self, padded: np.ndarray, rng: np.random.Generator) -> None:
+        """Train on every place of ``padded`` once, in shuffled batches."""
+        places = rng.permutation(np.flatnonzero(padded != EDGE))
+        for at in range(0, len(places), BATCH):
+            own = places[at : at + BATCH]
+            self.step(np.stack([padded[own + d] for d in SIDES], axis=1), padded[own])
+
+
+def training_parts(vocabulary: Vocabulary) -> int:
+    """How many parts a half of the documents is dealt to."""
+    return max(1, -(-int(vocabulary.counts.sum()) // (2 * PART_TOKENS)))
+
+
+def encoded(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(half, part, key, ids) of every document: its words' ids, two bytes each, with the edges after it.
+
+    Halves and parts come from a hash of id and text, and the number of parts from the number of
+    words, so what is trained together does not depend on how the table is split into files or tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, trainer, seen = TaskContext.get().partitionId(), Trainer(net), 0
-        rng, held = np.random.default_rng([seed, task]), []
         for batch in batches:
+            rows: list[bytes] = []
             for _, ids, begins in tokens(batch.column("text"), vocabulary):
-                seen += len(ids) - REACH * len(begins)
-                held.append(examples(ids))
-                if sum(len(x[1]) for x in held) >= 16 * BATCH:
-                    _drain(trainer, held, rng)
-        _drain(trainer, held, rng)
+                raw = ids.astype(np.uint16).tobytes()
+                rows += [raw[2 * a : 2 * b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.binary())], names=["key", "ids"])
+
+    parts = training_parts(vocabulary)
+    coded = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+    return coded.select(F.pmod("key", F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64(F.lit(41), "key"), F.lit(parts)).alias("part"), "key", "ids")
+
+
+def train_round(coded: DataFrame, parts: int, net: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
+    """One pass over ``coded`` rows: a copy of ``net`` for each part, averaged by words in a tree of ``FAN``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, trainer, seen, slab = rows["part"][0].as_py(), Trainer(net), 0, [b"\x00\x00" * REACH]
+        rng, texts, held = np.random.default_rng([seed, part]), rows["ids"], 0
+        for i in np.lexsort((rows["key"].to_numpy(),)).tolist():
+            own = texts[i].as_py()
+            slab.append(own)
+            held += len(own)
+            if held >= 32 * BATCH:
+                trainer.drain(np.frombuffer(b"".join(slab), np.uint16).astype(np.int64), rng)
+                slab, seen, held = [b"\x00\x00" * REACH], seen + held, 0
+        trainer.drain(np.frombuffer(b"".join(slab), np.uint16).astype(np.int64), rng)
         values = flat(trainer.net)
-        parts = [values[i : i + SHARD].tobytes() for i in range(0, len(values), SHARD)]
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([task % SALTS] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["shard", "salt", "n", "w"]
-            )
+        shards = [values[i : i + SHARD].tobytes() for i in range(0, len(values), SHARD)]
+        return pa.table({"shard": pa.array(range(len(shards)), pa.int32()), "node": pa.array([part] * len(shards), pa.int64()), "n": pa.array([float(seen + held)] * len(shards)), "w": pa.array(shards, pa.binary())})
 
     def merge(rows: pa.Table) -> pa.Table:
-        n = rows["n"].to_numpy()
-        mean = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(n / n.sum(), rows["w"].to_pylist(), strict=True))
-        return pa.table({"shard": rows["shard"].slice(0, 1), "salt": rows["salt"].slice(0, 1), "n": pa.array([n.sum()]), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "shard int, salt int, n double, w binary"
-    copies = documents.select("text").mapInArrow(run, schema)
-    found = copies.groupBy("shard", "salt").applyInArrow(merge, schema).groupBy("shard").applyInArrow(merge, schema).toPandas().sort_values("shard")
+        order = np.argsort(rows["node"].to_numpy(), kind="stable")
+        n, mean = rows["n"].to_numpy()[order], 0.0
+        for share, i in zip(n / max(n.sum(), 1.0), order.tolist(), strict=True):
+            mean = mean + share * np.frombuffer(rows["w"][i].as_py(), np.float32).astype(np.float64)
+        return pa.table({"shard": rows["shard"].slice(0, 1), "node": rows["up"].slice(0, 1), "n": pa.array([n.sum()]), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "shard int, node long, n double, w binary"
+    copies = coded.repartition(parts, "part").groupBy("part").applyInArrow(run, schema)
+    while parts > 1:
+        parts = -(-parts // FAN)
+        copies = copies.withColumn("up", F.floor(F.col("node") / FAN)).groupBy("shard", "up").applyInArrow(merge, schema)
+    found = copies.toPandas().sort_values("shard")
     return unflat(np.concatenate([np.frombuffer(w, np.float32) for w in found.w])) if len(found) else net
 
 
-def _drain(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator) -> None:
-    """Train on what is held, shuffled, in batches; leaves ``held`` empty."""
-    if held:
-        context, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        order = rng.permutation(len(ids))
-        for at in range(0, len(order), BATCH):
-            trainer.step(context[order[at : at + BATCH]], ids[order[at : at + BATCH]])
-        held.clear()
-
-
 def fit(documents: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and trained network of ``documents`` (doc_id, text)."""
     vocabulary = fit_vocabulary(documents)
     net = initial(vocabulary)
-    half = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(2))
+    coded = written(encoded(documents, vocabulary), "coded")
     for k in range(2):
-        net = train_round(documents.where(half == k), vocabulary, net, seed=k)
+        net = train_round(coded.where(F.col("half") == k), training_parts(vocabulary), net, seed=k)
     return vocabulary, net
 
 

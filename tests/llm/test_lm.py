@@ -78,5 +78,24 @@ def test_every_distinct_word_has_its_own_probability(spark, documents):
 def test_every_token_is_a_target():
     vocabulary = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(lm.IDS))
     ((_, ids, _),) = lm.tokens(pa.array(["a b c", None, "d " * 500]), vocabulary)
-    context, targets = lm.examples(ids)
-    assert len(targets) == 503 and context.shape == (503, len(lm.SIDES)) and (targets == ids[ids != lm.EDGE]).all()
+
+    class Recorder(lm.Trainer):
+        seen: list = []
+
+        def step(self, context, ids):
+            self.seen.append((context, ids))
+
+    recorder = Recorder(lm.initial(vocabulary))
+    recorder.drain(ids, np.random.default_rng(0))
+    targets = np.concatenate([x[1] for x in recorder.seen])
+    assert sorted(targets) == sorted(ids[ids != lm.EDGE]) and len(targets) == 503
+    assert all(x[0].shape[1] == len(lm.SIDES) for x in recorder.seen)
+
+
+def test_training_does_not_depend_on_partitions(documents, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 1500)  # many parts, and more than one level of merging
+    monkeypatch.setattr(lm, "FAN", 3)
+    docs = documents(texts())
+    _, one = lm.fit(docs.repartition(2))
+    _, two = lm.fit(docs.repartition(5))
+    assert all(np.array_equal(one[k], two[k]) for k in one)
