@@ -149,23 +149,40 @@ def hashed_tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int
         yield first, padded, word + REACH * (np.arange(rows + 1) + 1), hashes
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log of the normaliser; rows of ``z`` are consumed."""
-    top = z.max(axis=1, keepdims=True)
-    z -= top
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
+    """exp(z - shift), its row sums and the shift; rows of ``z`` are consumed.
+
+    One shift serves all rows while no row can vanish under it.
+    """
+    top, low = z.max(), z.min()
+    shift = z.max(axis=1, keepdims=True) if top - low > 60 else top
+    z -= shift
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return z, (np.log(total) + top)[:, 0]
+    return z, z @ _ONES[: z.shape[1]], shift[:, 0] if np.ndim(shift) else shift
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities; rows of ``z`` are consumed."""
+    z, total, _ = _exponentials(z)
+    z /= total[:, None]
+    return z
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """Log of the normaliser; rows of ``z`` are consumed."""
+    _, total, shift = _exponentials(z)
+    return np.log(total) + shift
 
 
-def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    klass = ids // MEMBERS
+def _class_order(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts each class's ids together, and (class, begin, end) of those met."""
+    klass = (ids // MEMBERS).astype(np.uint8)
     order = np.argsort(klass, kind="stable")
-    cuts = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c + 1] > cuts[c]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+    cuts = np.searchsorted(klass[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c + 1] > cuts[c]]
 
 
 class Trainer:
@@ -178,31 +195,39 @@ class Trainer:
     def step(self, context: np.ndarray, ids: np.ndarray) -> None:
         """One batch: ``context`` (n, sides) ids around the hidden ``ids``."""
         net, n = self.net, len(ids)
+        order, runs = _class_order(ids)
+        context, ids = context.take(order, axis=0), ids.take(order)
         side = net["side"].reshape(-1, HIDDEN)
-        seen = net["embed"][context].reshape(n, -1)
-        hidden = np.tanh(seen @ side + net["bias"])
-        p, _ = _softmax(hidden @ net["klass"] + net["klass_bias"])
-        p[np.arange(n), ids // MEMBERS] -= 1
+        seen = net["embed"].take(context.ravel(), axis=0).reshape(n, -1)
+        hidden = seen @ side
+        hidden += net["bias"]
+        np.tanh(hidden, out=hidden)
+        p = _softmax(hidden @ net["klass"] + net["klass_bias"])
         member, member_bias = np.zeros(SHAPES["member"], np.float32), np.zeros(SHAPES["member_bias"], np.float32)
+        places, inside = np.arange(n), ids % MEMBERS
+        p[places, ids // MEMBERS] -= 1
         back = p @ net["klass"].T
-        for c, rows in _by_class(ids):
-            own = hidden[rows]
-            q, _ = _softmax(own @ net["member"][c] + net["member_bias"][c])
-            q[np.arange(len(rows)), ids[rows] % MEMBERS] -= 1
+        for c, a, b in runs:
+            own = hidden[a:b]
+            q = own @ net["member"][c]
+            q += net["member_bias"][c]
+            q = _softmax(q)
+            q[places[: b - a], inside[a:b]] -= 1
             member[c], member_bias[c] = own.T @ q, q.sum(0)
-            back[rows] += q @ net["member"][c].T
+            back[a:b] += q @ net["member"][c].T
         back *= 1 - hidden * hidden
         to = (back @ side.T).reshape(-1, DIMS)
         met = context.ravel()
         order = np.argsort(met.astype(np.uint16), kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(met[order]) > 0]))
+        met = met.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], met[1:] > met[:-1]]))
         self._move("klass", slice(None), hidden.T @ p, n)
         self._move("klass_bias", slice(None), p.sum(0), n)
         self._move("member", slice(None), member, n)
         self._move("member_bias", slice(None), member_bias, n)
         self._move("bias", slice(None), back.sum(0), n)
         self._move("side", slice(None), (seen.T @ back).reshape(SHAPES["side"]), n)
-        self._move("embed", met[order[starts]], np.add.reduceat(to[order], starts, axis=0), n)
+        self._move("embed", met[starts], np.add.reduceat(np.ascontiguousarray(to.take(order, axis=0).T), starts, axis=1).T, n)
 
     def _move(self, name: str, at: slice | np.ndarray, grad: np.ndarray, n: int) -> None:
         """One step along ``grad``, summed over ``n`` places, for the rows ``at`` of a table."""
@@ -294,22 +319,30 @@ class Scorer:
     def __init__(self, net: dict[str, np.ndarray]) -> None:
         self.net = net
         self.sides = [net["embed"] @ net["side"][s] for s in range(len(SIDES))]
+        self.sides[0] = self.sides[0] + net["bias"]
 
     def log_probabilities(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log P(ids[place] | both sides) for each place."""
         net, out = self.net, np.empty(len(places))
-        for at in range(0, len(places), 8 * BATCH):
-            own = places[at : at + 8 * BATCH]
-            hidden = np.tanh(sum(t[ids[own + d]] for t, d in zip(self.sides, SIDES, strict=True)) + net["bias"])
-            target = ids[own]
-            z = hidden @ net["klass"] + net["klass_bias"]
-            right = z[np.arange(len(own)), target // MEMBERS].astype(np.float64)
-            part = right - _softmax(z)[1]
-            for c, rows in _by_class(target):
-                z = hidden[rows] @ net["member"][c] + net["member_bias"][c]
-                right = z[np.arange(len(rows)), target[rows] % MEMBERS].astype(np.float64)
-                part[rows] += right - _softmax(z)[1]
-            out[at : at + 8 * BATCH] = part
+        for at in range(0, len(places), 2 * BATCH):
+            own = places[at : at + 2 * BATCH]
+            order, runs = _class_order(ids[own])
+            own = own[order]
+            target, rows = ids[own], np.arange(len(own))
+            hidden = self.sides[0].take(ids.take(own + SIDES[0]), axis=0)
+            for table, d in zip(self.sides[1:], SIDES[1:], strict=True):
+                hidden += table.take(ids.take(own + d), axis=0)
+            np.tanh(hidden, out=hidden)
+            z = hidden @ net["klass"]
+            z += net["klass_bias"]
+            part = z[rows, target // MEMBERS].astype(np.float64)
+            part -= _log_sum(z)
+            for c, a, b in runs:
+                z = hidden[a:b] @ net["member"][c]
+                z += net["member_bias"][c]
+                part[a:b] += z[rows[: b - a], target[a:b] % MEMBERS]
+                part[a:b] -= _log_sum(z)
+            out[at + order] = part
         return out
 
 
