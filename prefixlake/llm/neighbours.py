@@ -1,24 +1,33 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on the driver from a bounded sample (``SAMPLE`` vectors drawn by hash), so its
-size is bounded, and every row is placed in a leaf. A query walks the tree with a priority queue of
-unvisited branches by distance to their centres, and so orders the leaves it would visit. How many
-it visits is calibrated: ``CALIBRATION`` sampled vectors are compared with all rows exactly, and
-visits widen until that share ``RECALL`` of their true neighbours lies in visited leaves.
+The top of the tree is fitted on the driver from a bounded sample (``SAMPLE`` vectors drawn by hash).
+Leaves of it that more than ``CELL`` points reach are split further inside the executors, each from
+a bounded sample of its own points, into about ``FANOUT`` leaves, so the number of leaves follows the
+rows up to a fixed bound, and every row is placed in a leaf. A query walks the tree with a priority
+queue of unvisited branches by distance to their centres, and so orders the leaves it would visit.
+How many it visits is calibrated: ``PROBES`` queries that the tree was not fitted on are compared
+with all rows exactly, and visits widen until that share ``RECALL`` of their true neighbours lies in
+visited leaves. Another ``PROBES`` queries then measure the recall of that width; it is a column of
+the result.
 
 Equal vectors are one point with its smallest ids, so copies cost nothing however many there are.
-Points of a leaf are dealt to blocks and visiting queries to groups, both of bounded size; each
-(leaf, block, group) is one piece of work, and the pieces' short lists are merged per query.
+Points of a leaf are dealt to blocks of bounded size. A block meets its queries as a sorted stream,
+so a task holds one block and one batch of queries, however many queries visit it.
+
+Distances are prefiltered by a matrix product of vectors less the sample's mean, with a bound on its
+rounding error, and whatever may be among the nearest is measured again on the original vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part, as query or candidate; ties go to the smaller id; a query with
-fewer candidates than ``k`` gets them all; an empty table gives an empty result; other columns are
-ignored.
+fewer candidates than ``k`` gets them all; rows repeated whole are one row; a query id with several
+vectors asks with the least of them by bytes; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +41,10 @@ from prefixlake.llm.shared import written
 SAMPLE = 20_000
 BRANCHES = 12
 LEAF = 48
-CALIBRATION = 96
-RECALL = 0.97
+CELL, FANOUT = 1024, 256  # points a top leaf holds before it is split, and into about how many leaves
+PROBES = 96
+RECALL = 0.96
 BLOCK = 4096
-GROUP = 2048
 
 
 @dataclass
@@ -81,14 +90,44 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None], 0)
 
 
-def fit_tree(vectors: np.ndarray, seed: int = 3) -> Tree:
-    """Split by k-means until a node holds at most ``LEAF`` sample vectors."""
+def graft(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """``tree`` with the leaves in ``parts`` replaced by trees; leaves are numbered anew."""
+    out, leaf = Tree(list(tree.centres), [], 0), 0
+
+    def fresh() -> int:
+        nonlocal leaf
+        leaf += 1
+        return -leaf
+
+    for children in tree.children:
+        own = []
+        for child in children:
+            if child >= 0:
+                own.append(child)
+            elif -1 - child in parts:
+                own.append(("part", -1 - child))
+            else:
+                own.append(fresh())
+        out.children.append(own)
+    for at, part in parts.items():
+        base = len(out.centres)
+        out.centres += part.centres
+        out.children += [[c + base if c >= 0 else fresh() for c in own] for own in part.children]
+        for own in out.children[: len(tree.children)]:
+            if ("part", at) in own:
+                own[own.index(("part", at))] = base
+    out.leaves = leaf
+    return out
+
+
+def fit_tree(vectors: np.ndarray, seed: int = 3, leaf: int = LEAF) -> Tree:
+    """Split by k-means until a node holds at most ``leaf`` sample vectors."""
     rng = np.random.default_rng(seed)
     tree = Tree([], [], 0)
 
     def grow(rows: np.ndarray) -> int:
         own = vectors[rows]
-        k = min(BRANCHES, max(2, -(-len(rows) // LEAF)))
+        k = min(BRANCHES, max(2, -(-len(rows) // leaf)))
         centres = own[rng.choice(len(rows), min(k, len(rows)), replace=False)]
         for _ in range(8):
             near = _squared(own, centres).argmin(axis=1)
@@ -99,7 +138,7 @@ def fit_tree(vectors: np.ndarray, seed: int = 3) -> Tree:
         tree.children.append([])
         for i in range(len(centres)):
             part = rows[near == i]
-            if len(part) > LEAF and len(part) < len(rows):
+            if len(part) > leaf and len(part) < len(rows):
                 child = grow(part)
             else:
                 child = -1 - tree.leaves
@@ -107,7 +146,7 @@ def fit_tree(vectors: np.ndarray, seed: int = 3) -> Tree:
             tree.children[node].append(child)
         return node
 
-    if len(vectors) > LEAF:
+    if len(vectors) > leaf:
         grow(np.arange(len(vectors)))
     else:
         tree = Tree([vectors.mean(axis=0, keepdims=True)], [[-1]], 1)
@@ -134,76 +173,101 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return some.where(F.size("e") == dims).mapInArrow(pack, "vec_id long, v binary"), dims
 
 
+def closest(query: np.ndarray, points: np.ndarray, query_at: np.ndarray, points_at: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query: the points that may be among the ``most`` nearest with all ties, and their exact distances.
+
+    ``query_at`` and ``points_at`` are the same vectors less a common offset; they serve the matrix product.
+    """
+    size, own = (points_at * points_at).sum(1), (query_at * query_at).sum(1)
+    # Rounding of three sums over the components, each of terms no larger than these.
+    slack = np.finfo(np.float64).eps * (2 * query.shape[1] + 8) * (own[:, None] + size[None])
+    away = own[:, None] - 2 * (query_at @ points_at.T) + size[None]
+    most, found = min(most, len(points)), []
+    for q, d, e in zip(query, away, slack, strict=True):
+        near = np.flatnonzero(d - e <= np.partition(d + e, most - 1)[most - 1])
+        exact = np.sqrt(((points[near] - q) ** 2).sum(axis=1))
+        tie = exact <= np.partition(exact, most - 1)[most - 1]
+        found.append((near[tie], exact[tie]))
+    return found
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row with ``is_query``.
+    """(query_id, rank, vec_id, score, measured_recall): the ``k`` nearest rows found for every row with ``is_query``.
 
     ``vectors`` has vec_id and embedding; ``is_query`` may use vec_id. Score is Euclidean distance.
+    ``measured_recall`` is what fresh queries found in this run; null where there were none.
     """
     rows, dims = usable(vectors)
     rows = written(rows, "vectors")
-    total = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    spark, total = rows.sparkSession, rows.count()
+    schema = "query_id long, rank int, vec_id long, score double, measured_recall double"
     if not total:
-        return rows.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     keep = k + 1
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(29), "vec_id"), F.lit(total)) < SAMPLE).limit(2 * SAMPLE).orderBy("vec_id").select("v").toArrow()["v"].combine_chunks()
+    drawn_share = F.pmod(F.xxhash64(F.lit(29), "vec_id"), F.lit(total))
+    fitted = drawn_share < min(SAMPLE, max(1, total // 2))
+    drawn = rows.where(fitted).limit(2 * SAMPLE).orderBy("vec_id").select("v").toArrow()["v"].combine_chunks()
     sample = np.unique(_matrix(drawn, dims), axis=0)
     sample = sample[np.random.default_rng(3).permutation(len(sample))] if len(sample) else np.zeros((1, dims))
-    tree = fit_tree(sample)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column("v").to_pylist()
-            # Copies inside a batch: only the smallest ids of a vector can ever be answers.
-            order = sorted(range(len(v)), key=lambda i: (v[i], batch.column("vec_id")[i].as_py()))
-            seen, own = 0, []
-            for at, i in enumerate(order):
-                seen = seen + 1 if at and v[i] == v[order[at - 1]] else 0
-                if seen < keep:
-                    own.append(i)
-            part = batch.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.place(_matrix(part.column("v"), dims)))], names=["vec_id", "v", "leaf"])
-
-    placed = rows.mapInArrow(place, "vec_id long, v binary, leaf long").groupBy("v").agg(F.first("leaf").alias("leaf"), F.slice(F.sort_array(F.collect_list("vec_id")), 1, keep).alias("ids"))
-    points = written(placed, "points")
+    middle = sample.mean(axis=0)
+    tree = fit_tree(sample - middle)
+
+    def placed(rows: DataFrame, tree: Tree) -> DataFrame:
+        """(v, leaf, ids): every distinct vector, its leaf, and its ``keep`` smallest ids."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v, ids = batch.column("v").to_pylist(), batch.column("vec_id").to_pylist()
+                # Copies inside a batch: only the smallest ids of a vector can ever be answers.
+                order, seen, own = sorted(range(len(v)), key=lambda i: (v[i], ids[i])), 0, []
+                for at, i in enumerate(order):
+                    new = not at or v[i] != v[order[at - 1]]
+                    if not new and ids[i] == ids[order[at - 1]]:
+                        continue
+                    seen = 0 if new else seen + 1
+                    if seen < keep:
+                        own.append(i)
+                part = batch.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.place(_matrix(part.column("v"), dims) - middle))], names=["vec_id", "v", "leaf"])
+
+        found = rows.mapInArrow(place, "vec_id long, v binary, leaf long")
+        return found.groupBy("v").agg(F.first("leaf").alias("leaf"), F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
+
+    points = written(placed(rows, tree), "points")
     sizes = {r["leaf"]: (r["n"], r["m"]) for r in points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
+    large = {leaf: n for leaf, (n, _) in sizes.items() if n > CELL}
+    if large:
+        scale = 1 << 30
+        share = F.create_map(*[F.lit(x).cast("long") for leaf, n in large.items() for x in (leaf, min(scale, scale * FANOUT * LEAF // n))])
+        some = points.where(F.pmod(F.xxhash64(F.lit(31), "v"), F.lit(scale)) < share[F.col("leaf")])
+
+        def split(key: tuple, own: pa.Table) -> pa.Table:
+            x = _matrix(own["v"].combine_chunks(), dims) - middle
+            part = fit_tree(x[np.lexsort(x.T)], seed=5, leaf=max(LEAF, 4 * len(x) // FANOUT))
+            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([pickle.dumps(part)], pa.binary())})
+
+        parts = some.groupBy("leaf").applyInArrow(split, "leaf long, part binary").collect()
+        tree = graft(tree, {r["leaf"]: pickle.loads(r["part"]) for r in sorted(parts, key=lambda r: r["leaf"])})
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(tree.place(_matrix(batch.column("v"), dims) - middle)), batch.column("ids")], names=["v", "leaf", "ids"])
+
+        points = written(points.select("v", "leaf", "ids").mapInArrow(again, "v binary, leaf long, ids array<long>"), "points")
+        sizes = {r["leaf"]: (r["n"], r["m"]) for r in points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
     blocks = {leaf: -(-n // BLOCK) for leaf, (n, _) in sizes.items()}
 
-    # Calibration: exact neighbours of a few sampled vectors, and where the search meets their leaves.
-    probes = sample[:CALIBRATION]
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in probes]
-        for batch in batches:
-            own, leaf = _matrix(batch.column("v"), dims), batch.column("leaf").to_numpy()
-            away = _squared(probes, own)
-            for i in range(len(probes)):
-                top = np.argpartition(away[i], min(keep, len(own)) - 1)[:keep]
-                best[i] = sorted([*best[i], *((float(away[i][j]), int(leaf[j])) for j in top)])[:keep]
-        rows = [(i, d, leaf) for i, own in enumerate(best) for d, leaf in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["p", "d", "leaf"])
-
-    near = points.select("v", "leaf").mapInArrow(exact, "p long, d double, leaf long")
-    near = near.groupBy("p").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leaf"))), 1, keep).alias("x")).collect()
-    places = []
-    for r in near:
-        at = {leaf: n for n, leaf in enumerate(tree.visits(probes[r["p"]]))}
-        places += [at[x["leaf"]] for x in r["x"][1:]]  # the first is the probe itself
-    width = 1
-    while places and np.mean(np.array(places) < width) < RECALL:
-        width += 1
-
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    distinct = asked.select("v").distinct()
-    groups = max(1, -(-distinct.count() * width // (tree.leaves * GROUP)))
+    asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    fresh = rows.where(is_query).where(~fitted).select("v").distinct().orderBy(F.xxhash64(F.lit(37), "v"), "v").limit(2 * PROBES).toArrow()["v"].combine_chunks()
+    probes = _matrix(fresh, dims)
+    width, recall = calibrate(points, tree, probes, middle, keep) if len(probes) else (tree.leaves, None)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v").to_pylist()
-            row, leaf, block = [], [], []
+            v, row, leaf, block = batch.column("v").to_pylist(), [], [], []
             for i, q in enumerate(v):
                 met, reach = 0, 0
-                for n in tree.visits(np.frombuffer(q, np.float64)):
+                for n in tree.visits(np.frombuffer(q, np.float64) - middle):
                     if met >= width and reach > k:
                         break
                     met += 1
@@ -212,32 +276,77 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                         row.append(i)
                         leaf.append(n)
                         block.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(row, pa.int64())), pa.array(leaf, pa.int64()), pa.array(block, pa.int64())], names=["v", "leaf", "block"])
-
-    bins = F.create_map(*[F.lit(x).cast("long") for pair in blocks.items() for x in pair]) if max(blocks.values()) > 1 else None
-    block = F.pmod(F.xxhash64("v"), bins[F.col("leaf")]) if bins is not None else F.lit(0).cast("long")
-    group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
-    left = distinct.mapInArrow(visit, "v binary, leaf long, block long").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(groups)))
-    right = points.select("v", "ids", "leaf", block.alias("block"), group.alias("part"))
-
-    def search(asks: pa.Table, own: pa.Table) -> pa.Table:
-        queries, found = asks["v"].to_pylist(), []
-        if own.num_rows and queries:
-            q, p, ids = _matrix(asks["v"].combine_chunks(), dims), _matrix(own["v"].combine_chunks(), dims), own["ids"].to_pylist()
-            some = min(keep + 8, len(p))
-            for at in range(0, len(q), 256):
-                away = _squared(q[at : at + 256], p)
-                tops = np.argpartition(away, some - 1, axis=1)[:, :some]
-                for i, top in enumerate(tops):
-                    d = np.sqrt(((p[top] - q[at + i]) ** 2).sum(axis=1))
-                    found.append(sorted((float(x), n) for x, j in zip(d, top, strict=True) for n in ids[j])[:keep])
-        else:
-            found = [[] for _ in queries]
-        return pa.table({"v": asks["v"], "found": pa.array([[{"d": d, "id": n} for d, n in x] for x in found], pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))})
-
-    keys = ["leaf", "block", "part"]
-    lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "v binary, found array<struct<d: double, id: long>>")
-    merged = lists.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
+            none = pa.nulls(len(row), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(row, pa.int64())), pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), none], names=["v", "leaf", "block", "ids"])
+
+    own_block = F.lit(0).cast("long")
+    if max(blocks.values()) > 1:
+        many = F.create_map(*[F.lit(x).cast("long") for leaf, n in blocks.items() if n > 1 for x in (leaf, n)])
+        own_block = F.pmod(F.xxhash64("v"), F.coalesce(many[F.col("leaf")], F.lit(1).cast("long")))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    visits = asked.select("v").distinct().repartition(tasks, "v").mapInArrow(visit, "v binary, leaf long, block long, ids array<long>")
+    dealt = visits.union(points.select("v", "leaf", own_block.alias("block"), "ids")).withColumn("asks", F.col("ids").isNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of points, each followed by the queries that visit it."""
+        here, held, ready = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy() for n in ("leaf", "block")], axis=1)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | (asks[1:] != asks[:-1])])).tolist()
+            for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                key, part = tuple(keys[i].tolist()), batch.slice(i, j - i)
+                if key != here:
+                    here, held, ready = key, [], None
+                if not asks[i]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    p = np.concatenate([_matrix(x.column("v"), dims) for x in held])
+                    ready = (p, p - middle, [x for y in held for x in y.column("ids").to_pylist()])
+                p, p_at, ids = ready
+                q = _matrix(part.column("v"), dims)
+                for at in range(0, len(q), 128):
+                    found = closest(q[at : at + 128], p, q[at : at + 128] - middle, p_at, keep)
+                    lists = [sorted((float(x), n) for x, m in zip(d, near, strict=True) for n in ids[m])[:keep] for near, d in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("v").slice(at, len(lists)), pa.array([[{"d": d, "id": n} for d, n in x] for x in lists], pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], names=["v", "found"]
+                    )
+
+    pieces = max(tasks, sum(blocks.values()) // 64)
+    lists = dealt.repartition(pieces, "leaf", "block").sortWithinPartitions("leaf", "block", "asks", "v").mapInArrow(search, "v binary, found array<struct<d: double, id: long>>")
+    merged = lists.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found"))
     merged = written(merged, "found")
     answers = asked.join(merged, "v").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
-    return answers.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
+    answers = answers.select("query_id", F.posexplode("found").alias("rank", "x"))
+    return answers.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"), F.lit(recall).cast("double").alias("measured_recall"))
+
+
+def calibrate(points: DataFrame, tree: Tree, probes: np.ndarray, middle: np.ndarray, keep: int) -> tuple[int, float | None]:
+    """How many leaves a query visits, and the recall measured with probes that did not set it."""
+    dims = probes.shape[1]
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int]]] = [[] for _ in probes]
+        for batch in batches:
+            own, leaf = _matrix(batch.column("v"), dims), batch.column("leaf").to_numpy()
+            for i, (near, d) in enumerate(closest(probes, own, probes - middle, own - middle, keep)) if len(own) else ():
+                best[i] = sorted([*best[i], *zip(d.tolist(), leaf[near].tolist(), strict=True)])[:keep]
+        rows = [(i, d, leaf) for i, own in enumerate(best) for d, leaf in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["p", "d", "leaf"])
+
+    near = points.select("v", "leaf").mapInArrow(exact, "p long, d double, leaf long")
+    near = near.groupBy("p").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leaf"))), 1, keep).alias("x")).collect()
+    places: dict[int, list[int]] = {}
+    for r in near:
+        at = {leaf: n for n, leaf in enumerate(tree.visits(probes[r["p"]] - middle))}
+        places[r["p"]] = [at[x["leaf"]] for x in r["x"][1:]]  # the first is the probe itself
+    half = -(-len(probes) // 2)
+    setting = np.array([x for p, own in places.items() if p < half for x in own])
+    checking = np.array([x for p, own in places.items() if p >= half for x in own])
+    width = 1
+    while len(setting) and (setting < width).mean() < RECALL:
+        width += 1
+    return width, float((checking < width).mean()) if len(checking) else None

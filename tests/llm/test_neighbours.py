@@ -9,14 +9,15 @@ from prefixlake.llm import neighbours
 
 def test_recall_copies_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
-    monkeypatch.setattr(neighbours, "GROUP", 8)
+    monkeypatch.setattr(neighbours, "CELL", 100)  # top leaves are split in the executors
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     points = (centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.3).astype(np.float32)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
     rows += [(1000 + i, rows[0][1]) for i in range(60)]  # copies of one vector, some of them queries
+    repeated = rows[:3]
     odd = [(2000, None), (2100, [0.0] * 8), (2200, [float("nan")] * 8), (2300, [1.0, None] * 4), (2400, [1.0] * 3), (2500, [float("inf")] + [1.0] * 7)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
+    df = spark.createDataFrame(rows + odd + repeated, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
     got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     queries = [i for i in ids if i % 100 == 0]
@@ -39,3 +40,36 @@ def test_few_vectors(spark, n):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") == 0).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, n))
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(40)]) for i in range(40)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0).toPandas().sort_values("rank")
+    assert list(got.vec_id) == list(range(1, 11)) and got.score.nunique() == 1
+
+
+@pytest.mark.parametrize(("shift", "spread"), [(1e8, 1.0), (0.0, 1.0), (-3e5, 1e-3)])
+def test_recall_far_from_the_origin_and_without_clusters(spark, monkeypatch, shift, spread):
+    monkeypatch.setattr(neighbours, "LEAF", 12)
+    x = shift + spread * np.random.default_rng(4).normal(size=(1200, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 10 == 0).toPandas()
+    found = 0
+    for q, own in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = own.sort_values("rank")
+        assert list(own.score) == list(d[own.vec_id])
+        found += len(set(np.argsort(d, kind="stable")[:10]) & set(own.vec_id))
+    assert found >= 0.9 * 10 * 120 and got.measured_recall.iloc[0] >= 0.85
+
+
+def test_graft_keeps_every_leaf_reachable():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    tree = neighbours.fit_tree(x, leaf=60)
+    leaf = tree.place(x)
+    parts = {n: neighbours.fit_tree(x[leaf == n], leaf=8) for n in range(0, tree.leaves, 2)}
+    grown = neighbours.graft(tree, parts)
+    assert sorted(grown.visits(x[0])) == list(range(grown.leaves)) and grown.leaves > tree.leaves
+    assert next(iter(grown.visits(x[0]))) == grown.place(x[:1])[0] or len(set(grown.place(x))) > tree.leaves
