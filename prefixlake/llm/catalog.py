@@ -68,9 +68,11 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as an MPEG audio stream in the shared folder, read back and described."""
+    """Every text stored as an MPEG audio stream in the shared folder, read back and described; a lost payload is an error."""
     stored = written(media.write_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
     found = media.feature(media.read_media(stored))
+    lost = F.raise_error(F.concat(F.lit("payload of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" is not whole")))
+    found = found.withColumn("payload", F.when(F.col("complete"), F.col("payload")).otherwise(lost.cast("binary")))
     return found.select(
         "doc_id",
         "n_bytes",
@@ -80,6 +82,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
+        "duration",
+        "frame_offsets",
     )
 
 

@@ -11,7 +11,9 @@ It reads Xing, Info and VBRI tables, verifies the CRC-16 of layer III frames tha
 returns the exact duration (samples over rate), every frame's byte offset, and the payload.
 
 Defined results: null or empty media has no frames and an empty payload; equal bytes give equal
-values; free-format frames are not followed.
+values, so ties and repeated rows need no order; a null text is written as an empty one; a stream
+whose payload is shorter than its tag says is not ``complete``; free-format frames are not followed;
+an empty table gives an empty result; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -261,7 +263,7 @@ def write_media(documents: DataFrame) -> DataFrame:
 
 
 FOUND = (
-    "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, version string, layer int, sample_rate int, channels int, frames long, samples long, duration double, "
+    "doc_id long, n_bytes long, payload binary, complete boolean, media_bytes long, media_sha256 string, version string, layer int, sample_rate int, channels int, frames long, samples long, duration double, "
     "vbr_table string, vbr_frames long, crc_good long, crc_bad long, skipped long, frame_offsets array<long>"
 )
 
@@ -285,6 +287,7 @@ def read_media(media: DataFrame) -> DataFrame:
                     "doc_id": part.column("doc_id"),
                     "n_bytes": part.column("n_bytes"),
                     "payload": pa.array([s.payload for s in found], pa.binary()),
+                    "complete": pa.array([len(s.payload) == int(s.tags[PAYLOAD_TAG]) if s.tags.get(PAYLOAD_TAG, "").isdigit() else None for s in found], pa.bool_()),
                     "media_bytes": pa.array(sizes[at:to], pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(x or b"").hexdigest() for x in part.column("media").to_pylist()], pa.string()),
                     "version": pa.array([{3: "1", 2: "2", 0: "2.5"}[h.version] if h else None for h in heads], pa.string()),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,3 +66,12 @@ def test_payload_that_looks_like_a_trailing_tag():
                 break
         else:
             assert size == 64
+
+
+@pytest.mark.parametrize("mark", [b"TAG", b"ID3\x04\x00\x00\x00\x00\x00\x05", b"\xff\xfa\x18\xc0", b"\xff\xfb\x18\xc0", b"Xing\x00\x00\x00\x07", b"VBRI"])
+@pytest.mark.parametrize("size", [64, 192, 1024, 1472, 2880])
+def test_any_mark_anywhere_in_a_payload_comes_back(mark, size):
+    for at in range(max(0, size - 1440), size - len(mark) + 1):
+        payload = bytes(at) + mark + b"a" * (size - at - len(mark))
+        found = media.read_stream(media.write_stream(payload))
+        assert found.payload == payload and found.skipped == 0 and found.crc_bad == 0 and len(found.offsets) == -(-size // 1417)
