@@ -26,11 +26,11 @@ UNDETERMINED = "und"
 class Sample:
     """The bound on the training sample: rows, and the share of them that sets the calibration."""
 
-    rows: int = 4000
+    rows: int = 6000
     seed: int = 11
 
 
-LANGUAGE_SAMPLE = Sample(rows=2500)
+LANGUAGE_SAMPLE = Sample(rows=6000)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -38,8 +38,8 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
-    """Sparse bags and labels of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
+def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]:
+    """Sparse bags, labels and lengths of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
 
     The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable. Only ids
     are ordered: texts are met in one scan behind a broadcast of the drawn ids, whose number is the
@@ -54,11 +54,11 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
         for batch in batches:
             found = list(sparse_bags(batch.column("text"), spec))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([x[1].tobytes() for x in found], pa.binary()), pa.array([x[2].tobytes() for x in found], pa.binary())],
-                names=["doc_id", "label", "ids", "weights"],
+                [batch.column("doc_id"), batch.column("label"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].tobytes() for x in found], pa.binary()), pa.array([x[2].tobytes() for x in found], pa.binary())],
+                names=["doc_id", "label", "length", "ids", "weights"],
             )
 
-    rows = texts.mapInArrow(bags, "doc_id long, label string, ids binary, weights binary").toArrow()
+    rows = texts.mapInArrow(bags, "doc_id long, label string, length long, ids binary, weights binary").toArrow()
     rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
 
     def views(name: str, kind: type) -> list[np.ndarray]:
@@ -70,15 +70,18 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
         values = np.frombuffer(column.buffers()[2] or b"", kind)
         return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
-    return list(zip(views("ids", np.int32), views("weights", np.float32), strict=True)), rows["label"].to_pylist()
+    return list(zip(views("ids", np.int32), views("weights", np.float32), strict=True)), rows["label"].to_pylist(), rows["length"].to_numpy()
 
 
-def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), **options: float) -> SubwordModel:  # noqa: B008
-    """A model of ``labels`` (doc_id, label) from the texts of ``documents`` (doc_id, text)."""
-    bags, names = collect_sample(documents, labels, spec, sample)
+def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), rejects: bool = False) -> SubwordModel:  # noqa: B008
+    """A model of ``labels`` (doc_id, label) from the texts of ``documents`` (doc_id, text).
+
+    With ``rejects`` it also learns how familiar a text must be to belong to any class.
+    """
+    bags, names, lengths = collect_sample(documents, labels, spec, sample)
     classes = sorted(set(names))
     labels = np.array([classes.index(x) for x in names], np.int64)
-    return train(bags, labels, classes, spec, **options)
+    return train(bags, labels, classes, spec, lengths=lengths if rejects else None)
 
 
 QUALITY = Buckets(grams=1 << 17, words=1 << 15, pairs=1 << 15, orders=(2, 3, 4))
@@ -108,14 +111,15 @@ def score_quality(documents: DataFrame, model: SubwordModel) -> DataFrame:
 
 def fit_language(documents: DataFrame, sample: Sample = LANGUAGE_SAMPLE) -> SubwordModel:
     """Learn the non-null ``lang`` of ``documents`` from its texts."""
-    return fit(documents, documents.select("doc_id", F.col("lang").alias("label")), LANGUAGE, sample)
+    return fit(documents, documents.select("doc_id", F.col("lang").alias("label")), LANGUAGE, sample, rejects=True)
 
 
 def score_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
     """doc_id, lang_pred, score and accepted for every row of ``documents``.
 
     ``lang_pred`` is ``und`` and ``score`` 0 if the text is null or has no letter; those rows, and
-    rows whose calibrated confidence is under the model's threshold, are not ``accepted``.
+    rows whose calibrated confidence is under the model's threshold, or whose features are too
+    little those of the language predicted, are not ``accepted``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +127,13 @@ def score_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
         for batch in batches:
             letters = np.asarray(batch.column("letters"))
             if model.classes:
-                p = model.probabilities(batch.column("text"))
-                best, score = p.argmax(1), p.max(1)
+                best, score, fine = model.judged(batch.column("text"))
             else:
-                best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
+                best, score, fine = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             best = np.where(letters, best, len(model.classes))
             score = np.where(letters & bool(model.classes), score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array((score >= model.threshold) & (best < len(model.classes)))],
+                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(fine & (best < len(model.classes)))],
                 names=["doc_id", "lang_pred", "score", "accepted"],
             )
 
@@ -147,7 +150,7 @@ def accepted_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
         for batch in batches:
             keep = np.asarray(batch.column(len(names)))
             if model.classes:
-                keep = keep & (model.probabilities(batch.column(names.index("text"))).max(1) >= model.threshold)
+                keep = keep & model.judged(batch.column(names.index("text")))[2]
             else:
                 keep = np.zeros(batch.num_rows, bool)
             yield batch.select(list(range(len(names)))).filter(pa.array(keep))

@@ -72,8 +72,8 @@ def _grams(points: np.ndarray, docs: np.ndarray, spec: Buckets) -> Iterator[tupl
         yield (h ^ (h >> np.uint32(13))) & np.uint32(spec.grams - 1), good
 
 
-def _bags(texts: pa.Array, spec: Buckets) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """(first row, rows, bags); a bag is (bucket of each feature, offsets of each row's features)."""
+def _bags(texts: pa.Array, spec: Buckets) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(first row, code points of each row, bags); a bag is (bucket of each feature, offsets of each row's features)."""
     for first, data, offsets in chunks(texts):
         points, docs = _characters(data, offsets, spec.fold_case)
         found, where = [], []
@@ -93,14 +93,14 @@ def _bags(texts: pa.Array, spec: Buckets) -> Iterator[tuple[int, int, list[tuple
         bags = [(b, w) for b, w in zip(found, where, strict=True)]
         bags.append((words + np.uint32(spec.grams), word))
         bags.append((pairs[inside] + np.uint32(spec.grams + spec.words), np.searchsorted(inside, word)))
-        yield first, len(offsets) - 1, bags
+        yield first, np.diff(docs), bags
 
 
 def sparse_bags(texts: pa.Array, spec: Buckets) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, distinct buckets, weights adding to at most 1): the training form of a document."""
-    for first, rows, bags in _bags(texts, spec):
+    """(code points, distinct buckets, weights adding to at most 1): the training form of a document."""
+    for _, points, bags in _bags(texts, spec):
         share = 1.0 / len(bags)
-        for i in range(rows):
+        for i, n_points in enumerate(points.tolist()):
             ids, weights = [], []
             for buckets, at in bags:
                 own = buckets[at[i] : at[i + 1]]
@@ -109,39 +109,65 @@ def sparse_bags(texts: pa.Array, spec: Buckets) -> Iterator[tuple[int, np.ndarra
                     ids.append(distinct)
                     weights.append(n * (share / len(own)))
             if ids:
-                yield first + i, np.concatenate(ids).astype(np.int32), np.concatenate(weights).astype(np.float32)
+                yield n_points, np.concatenate(ids).astype(np.int32), np.concatenate(weights).astype(np.float32)
             else:
-                yield first + i, np.zeros(0, np.int32), np.zeros(0, np.float32)
+                yield n_points, np.zeros(0, np.int32), np.zeros(0, np.float32)
 
 
 @dataclass
 class SubwordModel:
-    """A trained classifier folded to one logit per bucket and class."""
+    """A trained classifier folded to one logit per bucket and class.
+
+    ``familiar`` holds, per class and bucket, the log share of the class's training features that fall
+    there; a document's mean of it says how much its features are those of the class. A document is
+    accepted if its calibrated probability reaches ``threshold`` and that mean, with ``slack`` over the
+    root of its length, reaches ``least_familiar``.
+    """
 
     classes: list[str]
     spec: Buckets
-    table: np.ndarray  # buckets x classes
+    table: np.ndarray  # classes x buckets
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: np.ndarray | None = None  # classes x buckets
+    slack: float = 0.0
+    least_familiar: float = -np.inf
     notes: dict = field(default_factory=dict)
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
-        """rows x classes, before the temperature; a text without features has the bias alone."""
-        out = np.zeros((len(texts), len(self.classes)), np.float64)
-        for first, rows, bags in _bags(texts, self.spec):
+    def _read(self, texts: pa.Array, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows x tables, the mean over the bags of each bag's mean entry; and each row's code points."""
+        out, length = np.zeros((len(texts), len(tables)), np.float64), np.zeros(len(texts), np.int64)
+        for first, points, bags in _bags(texts, self.spec):
+            length[first : first + len(points)] = points
             for buckets, at in bags:
                 n = np.diff(at)
                 if not len(buckets):
                     continue
                 full = np.flatnonzero(n)
-                for k in range(len(self.classes)):
-                    values = self.table[:, k][buckets]
-                    out[first + full, k] += np.add.reduceat(values, at[full], dtype=np.float64) / n[full] / len(bags)
-        return out + self.bias
+                for k, table in enumerate(tables):
+                    out[first + full, k] += np.add.reduceat(table.take(buckets), at[full], dtype=np.float64) / n[full] / len(bags)
+        return out, length
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
-        return softmax(self.logits(texts) / self.temperature)
+        """Rows x classes; a text without features has the bias alone."""
+        return softmax((self._read(texts, list(self.table))[0] + self.bias) / self.temperature)
+
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's best class, its probability, and whether that is accepted."""
+        both = [*self.table, *(self.familiar if self.familiar is not None else ())]
+        read, length = self._read(texts, both)
+        p = softmax((read[:, : len(self.classes)] + self.bias) / self.temperature)
+        best, score = p.argmax(1), p.max(1)
+        fine = score >= self.threshold
+        if self.familiar is not None:
+            fine &= familiarity(read[np.arange(len(best)), len(self.classes) + best], length, self.slack) >= self.least_familiar
+        return best, score, fine
+
+
+def familiarity(mean: np.ndarray, length: np.ndarray, slack: float) -> np.ndarray:
+    """Mean log share of a document's features, raised by what chance alone may take from one of its length."""
+    return mean + slack / np.sqrt(np.maximum(length, 1))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -161,13 +187,17 @@ def train(
     seed: int = 7,
     held: float = 0.15,
     keep: float = 0.999,
+    lengths: np.ndarray | None = None,
 ) -> SubwordModel:
     """Fit by stochastic gradient descent (per-bucket adaptive steps), then calibrate.
 
     ``bags`` are :func:`sparse_bags` rows, ``labels`` class numbers. A ``held`` share of the sample
     is kept from the fit and sets the temperature (least negative log-likelihood) and the rejection
     threshold: the confidence that a share ``keep`` of its rightly classified documents exceeds.
-    With no rows, or one class, the model is constant.
+    With ``lengths`` (code points) it also sets what a document must share with its class: every
+    class is left out in turn, its held-out documents are judged by the best of the other classes, and
+    the bound lies a third of the way from those to the share ``keep`` of rightly judged documents
+    where the two are apart, else at that share. With no rows, or one class, the model is constant.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.5 / np.sqrt(dims), (spec.total, dims)).astype(np.float32)
@@ -193,10 +223,10 @@ def train(
             steps[ids] += w * w * float(back @ back)
             vectors[ids] = own - (rate * 0.2 * w / np.sqrt(steps[ids]))[:, None] * back
     used = steps > 1e-6  # a bucket that training never met says nothing
-    table = np.where(used[:, None], vectors @ output, 0).astype(np.float32)
+    table = np.ascontiguousarray(np.where(used[:, None], vectors @ output, 0).astype(np.float32).T)
     model = SubwordModel(classes, spec, table, bias.astype(np.float64))
     if len(check):
-        z = np.stack([w @ table[ids] + bias for ids, w in (bags[j] for j in check)]).astype(np.float64)
+        z = np.stack([table[:, ids] @ w + bias for ids, w in (bags[j] for j in check)]).astype(np.float64)
         y = labels[check]
         grid = np.geomspace(0.25, 8, 41)
         loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -206,4 +236,31 @@ def train(
         model.notes = {"held": len(y), "accuracy": float(right.mean())}
         if right.any():
             model.threshold = float(min(0.5, np.quantile(p.max(1)[right], 1 - keep)))
+        if lengths is not None:
+            _fit_familiar(model, bags, labels, lengths, fit, check, z, keep)
     return model
+
+
+def _fit_familiar(model: SubwordModel, bags: list, labels: np.ndarray, lengths: np.ndarray, fit: np.ndarray, check: np.ndarray, z: np.ndarray, keep: float) -> None:
+    """Set ``familiar``, ``slack`` and ``least_familiar`` from the rows ``fit`` and ``check``."""
+    mass = np.full((len(model.classes), model.spec.total), 1e-3, np.float64)
+    for j in fit.tolist():
+        np.add.at(mass[labels[j]], bags[j][0], bags[j][1])
+    share = mass / mass.sum(1, keepdims=True)
+    model.familiar = np.log(share).astype(np.float32)
+    mean = (share * model.familiar).sum(1, keepdims=True)
+    model.slack = float(np.sqrt((share * (model.familiar - mean) ** 2).sum(1)).max())
+    own = np.stack([model.familiar[:, bags[j][0]] @ bags[j][1] for j in check])
+    right = z.argmax(1) == labels[check]
+    known = familiarity(own[np.arange(len(check)), labels[check]], lengths[check], model.slack)[right]
+    if not len(known):
+        return
+    low = float(np.quantile(known, 1 - keep))
+    if len(model.classes) > 1:
+        other = z.copy()
+        other[np.arange(len(check)), labels[check]] = -np.inf
+        strange = familiarity(own[np.arange(len(check)), other.argmax(1)], lengths[check], model.slack)
+        high = float(np.quantile(strange, 0.95))
+        model.notes |= {"familiar": low, "strange": high, "strange_under_bound": float((strange < min(low, low / 3 + high * 2 / 3)).mean())}
+        low = min(low, low / 3 + high * 2 / 3)
+    model.least_familiar = low

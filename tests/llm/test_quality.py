@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prefixlake.llm import catalog, quality
-from prefixlake.llm.subword import Buckets, sparse_bags, train
+from prefixlake.llm.subword import Buckets, softmax, sparse_bags, train
 from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.01"
@@ -52,5 +52,26 @@ def test_folded_table_equals_the_network():
     spec = Buckets(grams=1 << 10, words=1 << 8, pairs=1 << 8)
     bags = [(i, w) for _, i, w in sparse_bags(texts, spec)]
     model = train(bags, np.array([0, 1, 0, 1]), ["a", "b"], spec, held=0.0)
-    direct = np.stack([w.astype(np.float64) @ model.table[i] + model.bias for i, w in bags])
-    assert np.allclose(model.logits(texts), direct, atol=1e-5)
+    direct = np.stack([model.table[:, i] @ w.astype(np.float64) + model.bias for i, w in bags])
+    assert np.allclose(model.probabilities(texts), softmax(direct), atol=1e-5)
+
+
+STRANGE = [
+    "これは日本語の文章です。今日は天気がいいので散歩に行きます。",
+    "Het weer is vandaag erg mooi en wij gaan met de kinderen naar het strand om te zwemmen.",
+    "Dette er en norsk setning om været i dag og alt som skjer i byen.",
+    "Это предложение на русском языке о погоде и прогулке.",
+    "Ez egy magyar mondat az időjárásról és a városban történtekről.",
+]
+
+
+def test_languages_never_learnt_are_rejected(spark):
+    """Real languages outside the sample, and each language of the sample left out in turn."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
+    assert quality.accepted_language(strange, quality.fit_language(docs)).count() == 0
+    for left_out in ("de", "es"):
+        model = quality.fit_language(docs.where(F.col("lang") != left_out))
+        share = quality.score_language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy(F.col("lang") == left_out).agg(F.avg(F.col("accepted").cast("double"))).collect()
+        accepted = dict(tuple(r) for r in share)
+        assert accepted[True] < 0.3 and accepted[False] > 0.98, (left_out, accepted)
