@@ -23,10 +23,15 @@ def on_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors see; a temporary one only where none is set."""
+    """The session's checkpoint folder, which all executors see.
+
+    In local mode a temporary one serves where none is set; a cluster without the setting is an error.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='prefixlake-')}")
         found = context.getCheckpointDir()
     return found
