@@ -3,23 +3,28 @@
 1. Each document becomes the set of its word shingles (64-bit hashes), a 128-bit key of the set and
    ``LABELS`` minima. Documents with equal sets are one class; only the class's least
    document goes on, so a third of the table being copies costs one row.
-2. The forest has ``TREES`` sorted orders of the signature. A region is a run with ``DEPTH`` equal
-   leading labels. Inside a region neighbours with the longest common prefix are compared first;
-   where they don't connect the region, the comparison goes on at the region's own, shallower depth
-   until no two parts are left unlinked. Two documents at Jaccard 0.8 share no region with
-   probability (1 - 0.8 ** 3) ** 20 < 1e-6, at 0.85 under 1e-8.
-3. Comparing means: of ``LABELS`` 4-bit labels at least ``LIKELY`` agree, which a pair at Jaccard
+2. The forest has ``TREES`` trees. A tree is one sorted order of all signatures: its own ``DEPTH`` whole
+   minima, then its own permutation of all ``LABELS`` 4-bit labels. The orders are range-partitioned
+   and walked as sorted streams, so a region, which is a run with a common prefix, is never gathered.
+   Neighbours with the longest common prefix are candidates first. A region starts at ``DEPTH``
+   minima; where its neighbours leave parts apart, the parts are compared if that takes no more than
+   ``WORK`` comparisons, else the region deepens by one label, each subregion for itself.
+3. Depth costs recall, so a document whose regions deepened in ``DEEP_TREES`` trees or more goes into
+   ``MORE_TREES`` further trees, which start at ``MORE_DEPTH`` labels and deepen alike. Two documents at
+   Jaccard 0.8 share no region with probability (1 - 0.8 ** 3) ** 20 < 1e-6 in the first trees, and
+   with all trees under 1e-6 at a depth of 6, 1e-5 at 8 and 1e-3 at 10; at 0.85 under 1e-8, 1e-8 and 1e-5.
+4. Comparing means: of ``LABELS`` 4-bit labels at least ``LIKELY`` agree, which a pair at Jaccard
    0.8 fails in about three cases of a million, one at 0.85 in fewer than one of ten million. The components of these likely links are clusters:
    every true link lies inside one.
-4. Inside each cluster links are confirmed on the full shingle sets, by a breadth-first search that
+5. Inside each cluster links are confirmed on the full shingle sets, by a breadth-first search that
    leaves a member only when it was compared with all that may still link. Components of confirmed
    links are the answer.
 
-A region or cluster above ``BLOCK`` members is dealt to blocks, each with the same few leaders (for
-clusters: those nearest to the cluster's modal signature). What doesn't connect to a leader in its
-block is then compared with every block of its group, and so is what hangs on leaders that the blocks
-together leave apart from the group's main component of leaders. So no task holds an unbounded group, and no
-link is lost to the dealing.
+A cluster above ``BLOCK`` members is dealt to blocks, each with the same few leaders, those nearest to
+the cluster's modal signature. What doesn't connect to a leader in its block is then compared with
+every block of its group, and so is what hangs on leaders that the blocks together leave apart from
+the group's main component of leaders. So no task holds an unbounded group, and no link of a cluster
+is lost to the dealing.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; fewer words
 than a shingle make one shingle; repeated rows are one class; an empty table gives an empty result;
@@ -41,8 +46,11 @@ from prefixlake.llm.shared import written
 from prefixlake.llm.textarrays import mix, shingle_sets
 
 TREES, DEPTH = 20, 3
+DEEP_TREES, MORE_TREES, MORE_DEPTH = 3, 44, 6
 LABELS = 64
 LIKELY = 38
+WORK = 1 << 20
+HELD = 1 << 16  # rows of one region that a task holds at once; a longer region is walked in pieces
 BLOCK = 2048
 LEADERS = 16
 BROADCAST_ROWS = 1_000_000
@@ -50,6 +58,11 @@ BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(5)
 _MULTIPLY = (_rng.integers(0, 1 << 31, LABELS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _XOR = _rng.integers(0, 1 << 32, LABELS, dtype=np.uint32)[:, None]
+# Each tree's order of labels; the first trees begin with the labels of their own minima.
+_ORDERS = []
+for _t in range(TREES + MORE_TREES):
+    _own = list(range(_t * DEPTH, _t * DEPTH + DEPTH)) if _t < TREES else []
+    _ORDERS.append(np.array(_own + [int(x) for x in _rng.permutation(LABELS) if x not in _own]))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -150,13 +163,160 @@ def _label_matrix(payload: pa.Array) -> np.ndarray:
 class _Labels:
     """Likeness of label rows."""
 
-    def __init__(self, payload: pa.Array) -> None:
-        self.rows = _label_matrix(payload)
+    def __init__(self, rows: np.ndarray) -> None:
+        self.rows = rows
 
     def __call__(self, x: int, others: np.ndarray) -> np.ndarray:
         return (self.rows[others] == self.rows[x]).sum(axis=1) >= LIKELY
 
 
+def _packed(labels: np.ndarray) -> pa.Array:
+    """Rows of 4-bit labels as binary values that sort like the rows."""
+    raw = np.ascontiguousarray(labels[:, ::2] << 4 | labels[:, 1::2])
+    offsets = np.arange(len(raw) + 1, dtype=np.int32) * (LABELS // 2)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+ORDERED = "tree int, grp long, seq binary, id long"
+
+
+def first_trees(classes: DataFrame) -> DataFrame:
+    """The rows ``ORDERED`` of the first trees for (id, regions, labels)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                regions = batch.column("regions").flatten().to_numpy().reshape(-1, TREES)
+                labels = _label_matrix(batch.column("labels"))
+                for t in range(TREES):
+                    tree = pa.array(np.full(batch.num_rows, t, np.int32))
+                    yield pa.RecordBatch.from_arrays([tree, pa.array(np.ascontiguousarray(regions[:, t])), _packed(labels[:, _ORDERS[t]]), batch.column("id")], names=["tree", "grp", "seq", "id"])
+
+    return classes.select("id", "regions", "labels").mapInArrow(run, ORDERED)
+
+
+def more_trees(classes: DataFrame) -> DataFrame:
+    """The rows ``ORDERED`` of the further trees for (id, labels)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                labels = _label_matrix(batch.column("labels"))
+                for t in range(TREES, TREES + MORE_TREES):
+                    own = labels[:, _ORDERS[t]]
+                    grp = np.zeros(len(own), np.int64)
+                    for k in range(MORE_DEPTH):
+                        grp = grp << 4 | own[:, k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(grp), _packed(own), batch.column("id")], names=["tree", "grp", "seq", "id"])
+
+    return classes.select("id", "labels").mapInArrow(run, ORDERED)
+
+
+def _walk(labels: np.ndarray, parts: np.ndarray, depth: int, work: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Links that join the ``parts`` of one region, and the depth each of its rows went to.
+
+    ``labels`` are the region's rows in sorted order, equal in the first ``depth`` labels; ``work`` bounds
+    the comparisons of one region.
+    """
+    links, deepest, waiting = [], np.full(len(labels), depth), [(0, len(labels), depth)]
+    while waiting:
+        a, b, at = waiting.pop()
+        own = parts[a:b]
+        sizes = np.bincount(own - own[0])
+        if len(sizes) < 2:
+            continue
+        if ((b - a) ** 2 - (sizes.astype(np.int64) ** 2).sum()) // 2 <= work or at == LABELS:
+            found, _ = _search(b - a, _Labels(labels[a:b]), own)
+            if found:
+                links.append(np.array(found) + a)
+            continue
+        deepest[a:b] = at + 1
+        cuts = [a, *(a + 1 + np.flatnonzero(np.diff(labels[a:b, at].astype(np.int64)))).tolist(), b]
+        waiting += [(x, y, at + 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return links, deepest
+
+
+def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
+    """(kind, a, b, tree, grp, seq): likely links a-b (kind 0) and rows whose regions deepened (kind 1: id, tree).
+
+    Where a partition of the sorted order ends inside a region, its last row and the next one's first
+    are compared as well; what else such a border cuts apart meets in the other trees.
+    """
+    keys = ["tree", "grp", "seq", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        last, first_row = None, True
+
+        def walked(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            ids, labels = rows.column("id").to_numpy(), _label_matrix(rows.column("seq"))
+            inside = np.ones(rows.num_rows, bool)
+            inside[starts[:-1]] = False
+            near = np.zeros(rows.num_rows, bool)
+            near[1:] = (labels[1:] == labels[:-1]).sum(axis=1) >= LIKELY
+            near &= inside
+            at, parts = np.flatnonzero(near), np.cumsum(~near)
+            a, b, deep, trees = [ids[at - 1]], [ids[at]], [], []
+            loose = np.add.reduceat((inside & ~near).astype(np.int64), starts[:-1])
+            for g in np.flatnonzero(loose).tolist():
+                i, j = int(starts[g]), int(starts[g + 1])
+                links, deepest = _walk(labels[i:j], parts[i:j], depth, WORK)
+                for pair in links:
+                    a.append(ids[i + pair[:, 0]])
+                    b.append(ids[i + pair[:, 1]])
+                went = np.flatnonzero(deepest > depth)
+                if len(went):
+                    deep.append(ids[i + went])
+                    trees.append(np.full(len(went), rows.column("tree")[i].as_py()))
+            return _found(0, np.concatenate(a), np.concatenate(b), None) if not deep else pa.concat_batches([_found(0, np.concatenate(a), np.concatenate(b), None), _found(1, np.concatenate(deep), np.concatenate(trees), None)])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if first_row:
+                yield _found(2, batch.column("id").to_numpy()[:1], np.zeros(1, np.int64), batch.slice(0, 1))
+                first_row = False
+            last = batch.slice(batch.num_rows - 1)
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            tree, grp = batch.column("tree").to_numpy(), batch.column("grp").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (grp[1:] != grp[:-1])]))
+            if len(starts) > 1:
+                yield walked(batch.slice(0, int(starts[-1])), starts)
+            held = batch.slice(int(starts[-1]))
+            if held.num_rows > HELD:
+                yield walked(held, np.array([0, held.num_rows]))
+                held = held.slice(held.num_rows - 1)
+        if held is not None:
+            yield walked(held, np.array([0, held.num_rows]))
+            yield _found(2, last.column("id").to_numpy(), np.zeros(1, np.int64), last)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: pa.RecordBatch | None = None
+        for batch in batches:
+            rows = batch if before is None else pa.concat_batches([before, batch])
+            if rows.num_rows:
+                tree, grp, labels, ids = rows.column("tree").to_numpy(), rows.column("grp").to_numpy(), _label_matrix(rows.column("seq")), rows.column("a").to_numpy()
+                same = (tree[1:] == tree[:-1]) & (grp[1:] == grp[:-1]) & ((labels[1:] == labels[:-1]).sum(axis=1) >= LIKELY) & (ids[1:] != ids[:-1])
+                at = np.flatnonzero(same)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[at + 1])], names=["a", "b"])
+                before = rows.slice(rows.num_rows - 1)
+
+    spark = ordered.sparkSession
+    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    walks = ordered.repartitionByRange(pieces, *keys).sortWithinPartitions(*keys).mapInArrow(run, "kind int, a long, b long, tree int, grp long, seq binary")
+    found = written(walks, "forest")
+    # Two rows a partition: the sorted borders of all of them are one small stream.
+    ends = found.where("kind = 2").select("tree", "grp", "seq", "a").repartition(1).sortWithinPartitions("tree", "grp", "seq", "a")
+    tied = ends.mapInArrow(borders, "a long, b long").select(F.lit(0).alias("kind"), "a", "b")
+    return found.where("kind < 2").select("kind", "a", "b").union(tied)
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray, at: pa.RecordBatch | None) -> pa.RecordBatch:
+    place = [at.column(n) for n in ("tree", "grp", "seq")] if at is not None else [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *place], names=["kind", "a", "b", "tree", "grp", "seq"])
+
+
 class _Sets:
     """Likeness of full shingle sets: 100 * common >= percent * together."""
 
@@ -178,7 +338,7 @@ class _Sets:
         return out
 
 
-def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness: Callable[[pa.Array], Callable], presorted: bool) -> DataFrame:
+def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness: Callable[[pa.Array], Callable]) -> DataFrame:
     """(a, b) links that connect, within every group, exactly what ``likeness`` connects.
 
     ``members`` (grp, id, payload), ``counts`` (grp, blocks) for the groups of more than one block,
@@ -193,27 +353,13 @@ def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, ["grp", "block"]):
             ids, many, leads = batch.column("id").to_numpy(), batch.column("blocks").to_numpy(), batch.column("leads").to_numpy(zero_copy_only=False)
-            a, b, group, rest, heads, kinds, open_groups, parts = [], [], [], [], [], [], np.arange(len(starts) - 1), None
-            if presorted:
-                # Neighbours with the longest common prefix, over all groups of the batch at once.
-                labels = _label_matrix(batch.column("payload"))
-                inside = np.ones(batch.num_rows, bool)
-                inside[starts[:-1]] = False
-                near = np.zeros(batch.num_rows, bool)
-                near[1:] = (labels[1:] == labels[:-1]).sum(axis=1) >= LIKELY
-                near &= inside
-                at = np.flatnonzero(near)
-                a.append(ids[at - 1])
-                b.append(ids[at])
-                parts = np.cumsum(~near)
-                loose = np.add.reduceat((inside & ~near).astype(np.int64), starts[:-1])
-                open_groups = np.flatnonzero((loose > 0) | (many[starts[:-1]] > 1))
-            for g in open_groups.tolist():
+            a, b, group, rest, heads, kinds = [], [], [], [], [], []
+            for g in range(len(starts) - 1):
                 i, j = starts[g], starts[g + 1]
                 if j - i < 2 and many[i] == 1:
                     continue
                 own = batch.column("payload").slice(i, j - i)
-                links, component = _search(j - i, likeness(own), None if parts is None else parts[i:j])
+                links, component = _search(j - i, likeness(own))
                 if links:
                     x, y = np.array(links).T
                     a.append(ids[i + x])
@@ -257,8 +403,7 @@ def _links(members: DataFrame, counts: DataFrame, leaders: DataFrame, likeness:
         found = [x for x in list(parent) if root(x) != main]
         return pa.table({"grp": pa.array([rows["grp"][0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    order = ["grp", "block", "payload"] if presorted else ["grp", "block"]
-    found = written(dealt.repartition("grp", "block").sortWithinPartitions(*order).mapInArrow(search, "kind long, a long, b long, grp long"), "links")
+    found = written(dealt.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(search, "kind long, a long, b long, grp long"), "links")
     links = found.where("kind = 0").select("a", "b")
     led = found.where("kind = 2")
     ties = found.where("kind = 3").select("grp", "a", "b", F.lit(0).cast("long").alias("n")).distinct()
@@ -323,11 +468,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = marks.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regions").alias("regions"), F.first("labels").alias("labels"))
     classes = written(classes, "classes")
 
-    regions = classes.select(F.explode("regions").alias("grp"), "id", F.col("labels").alias("payload"))
-    large = written(_blocks(regions), "regions")
-    part = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
-    first = regions.join(large.select("grp"), "grp", "left_semi").groupBy("grp", part.alias("part")).agg(F.min_by(F.struct("id", "payload"), F.xxhash64("id")).alias("x"))
-    likely = _links(regions, large, first.select("grp", "x.id", "x.payload"), _Labels, presorted=True)
+    found = forest_links(first_trees(classes), DEPTH)
+    deep = found.where("kind = 1").groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("n")).where(F.col("n") >= DEEP_TREES).select("id")
+    likely = found.where("kind = 0").select("a", "b")
+    deep = written(deep, "deep")
+    if not deep.isEmpty():
+        likely = likely.union(forest_links(more_trees(classes.select("id", "labels").join(deep, "id", "left_semi")), MORE_DEPTH).where("kind = 0").select("a", "b"))
     clusters = written(connected_components(likely), "clusters")
 
     members = clusters.select(F.col("component").alias("grp"), "id")
@@ -343,7 +489,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     many = written(_blocks(members), "large-clusters")
     leaders = _modal_leaders(members.join(classes.select("id", "labels"), "id"), many)
     leaders = full.join(leaders, ["grp", "id"]).dropDuplicates(["grp", "id"])
-    links = _links(full, many, leaders, lambda payload: _Sets(payload, percent), presorted=False)
+    links = _links(full, many, leaders, lambda payload: _Sets(payload, percent))
     parts = connected_components(links)
 
     named = classes.select("set_key", "id").join(parts, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))

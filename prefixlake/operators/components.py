@@ -18,14 +18,14 @@ HOT_KEYS = 20_000  # keys above a piece that can exist at all: what is broadcast
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``facts`` on ``key``, with the rows of frequent keys spread over salts.
 
-    ``facts`` has one row per key and ``count``, how many of the ``total`` rows hold it; ``count`` is
+    A row's salt is a hash of the row, so a task that runs again deals its rows alike. ``facts`` has one row per key and ``count``, how many of the ``total`` rows hold it; ``count`` is
     dropped. Keys above ``total / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so their list is broadcast.
     """
     piece = max(PIECE, -(-total // HOT_KEYS))
     hot = facts.where(F.col(count) > piece).select(F.col(key).alias("_hot"), F.ceil(F.col(count) / piece).alias("_salts"))
     names = [c for c in facts.columns if c not in (key, count)]
     salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
-    salted = salted.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.floor(F.rand(97) * F.col("_salts"))).otherwise(0).cast("long")).drop("_salts")
+    salted = salted.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(F.lit(97), *rows.columns), F.col("_salts"))).otherwise(0).cast("long")).drop("_salts")
     every = F.sequence(F.lit(0).cast("long"), F.when(F.col(count) > piece, F.ceil(F.col(count) / piece) - 1).otherwise(0).cast("long"))
     held = facts.select(F.col(key).alias("_key"), *names, F.explode(every).alias("_at"))
     return salted.join(held, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_at")), how).drop("_key", "_salt", "_at")

@@ -45,9 +45,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 2048), (2, 2)])
-def test_against_brute_force(spark, documents, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "work"), [(1, 2048, 1 << 20), (2, 2, 1)])
+def test_against_brute_force(spark, documents, monkeypatch, seed, block, work):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "WORK", work)
     texts = corpus(seed)
     got = neardup.near_duplicates(documents(texts), 3, 85).orderBy("doc_id").collect()
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute(texts, 3, 85)
@@ -71,15 +72,50 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9, 10: 9, 20: 20, 21: 20, 22: 20}
 
 
-@pytest.mark.parametrize("presorted", [False, True])
-def test_bridge_between_leaders_of_different_blocks(spark, presorted):
+def test_bridge_between_leaders_of_different_blocks(spark):
     """Two versions hang on leaders that don't link; one pair in different blocks joins them."""
-    rows = {"x": "0" * 64, "y": "1" * 64, "a": "0" * 40 + "1" * 24, "b": "1" * 26 + "0" * 14 + "1" * 24}
-    rows = {k: bytes.fromhex(v) for k, v in rows.items()}
+    x, a, b, y = (set(range(k, k + 40)) for k in (0, 4, 8, 12))  # neighbours of this row link at 80 percent
     blocks = {r["id"]: r["block"] for r in spark.range(100).selectExpr("id", "pmod(xxhash64(id), 2) as block").collect()}
-    a, b = (next(i for i in range(10, 100) if blocks[i] == k) for k in (0, 1))
-    ids = {0: "x", 1: "y", 2: "x", 3: "x", 4: "y", a: "a", b: "b"}
-    members = spark.createDataFrame([(7, i, rows[k]) for i, k in ids.items()], "grp long, id long, payload binary")
-    leaders = members.where("id < 2")
-    links = neardup._links(members, spark.createDataFrame([(7, 2)], "grp long, blocks long"), leaders, neardup._Labels, presorted)
+    i, j = (next(i for i in range(10, 100) if blocks[i] == k) for k in (0, 1))
+    sets = {0: x, 1: y, 2: x, 3: x, 4: y, i: a, j: b}
+    rows = [(7, k, np.array(sorted(v), np.uint64).tobytes()) for k, v in sets.items()]
+    members = spark.createDataFrame(rows, "grp long, id long, payload binary")
+    links = neardup._links(members, spark.createDataFrame([(7, 2)], "grp long, blocks long"), members.where("id < 2"), lambda payload: neardup._Sets(payload, 80))
     assert {r["component"] for r in connected_components(links).collect()} == {0}
+
+
+def label_rows(rng, n, groups):
+    """Signatures that share their first labels in every order, as boilerplate makes them, in groups of near copies."""
+    base = rng.integers(0, 16, (groups, neardup.LABELS)).astype(np.uint8)
+    rows = base[rng.integers(0, groups, n)]
+    noise = rng.random(rows.shape) < 0.08
+    rows = np.where(noise, rng.integers(0, 16, rows.shape), rows).astype(np.uint8)
+    rows[:, :12] = base[0, :12]
+    return rows
+
+
+@pytest.mark.parametrize(("work", "held"), [(1 << 20, 1 << 16), (200, 1 << 16), (200, 64)])
+def test_forest_finds_the_likely_components(spark, monkeypatch, work, held):
+    """Regions that deepen, regions walked in pieces and borders of partitions lose no component."""
+    monkeypatch.setattr(neardup, "WORK", work)
+    monkeypatch.setattr(neardup, "HELD", held)
+    rows = label_rows(np.random.default_rng(work + held), 400, 25)
+    packed = [(r[::2] << 4 | r[1::2]).astype(np.uint8).tobytes() for r in rows]
+    regions = [[t] * 1 for t in range(neardup.TREES)]
+    frame = spark.createDataFrame([(i, [x[0] for x in regions], p) for i, p in enumerate(packed)], "id long, regions array<long>, labels binary").repartition(3)
+    found = neardup.forest_links(neardup.first_trees(frame), neardup.DEPTH)
+    more = neardup.forest_links(neardup.more_trees(frame), neardup.MORE_DEPTH)
+    if work == 200:
+        assert found.where("kind = 1").count() > 0
+    links = found.where("kind = 0").select("a", "b").union(more.where("kind = 0").select("a", "b"))
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in links.collect()}
+    like = (rows[:, None, :] == rows[None, :, :]).sum(axis=2) >= neardup.LIKELY
+    assert all(like[a, b] for a, b in pairs)
+    got = {r["id"]: r["component"] for r in connected_components(links).collect()}
+    want = connected_components(spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(like) if a < b], "a long, b long"))
+    assert got == {r["id"]: r["component"] for r in want.collect()}
+
+
+def test_every_tree_has_its_own_order():
+    orders = {tuple(o) for o in neardup._ORDERS}
+    assert len(orders) == neardup.TREES + neardup.MORE_TREES and all(sorted(o) == list(range(neardup.LABELS)) for o in orders)
