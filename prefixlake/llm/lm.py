@@ -16,8 +16,9 @@ words seen in a tree of bounded fan-in, and the second half goes on from that av
 depends on files, tasks or executors. Only the averaged network, whose size is fixed, reaches the driver.
 A document's score is the sum over all its tokens of log P(token | both sides).
 
-Defined results: a text without words scores 0 over 0 tokens, with a null mean; repeated rows score
-alike; a word that the corpus doesn't hold counts as seen once; an empty table gives an empty result.
+Defined results: a null text counts as empty; a text without words scores 0 over 0 tokens, with a null
+mean; repeated rows, and so ties, score alike; a word that the corpus doesn't hold counts as seen once; an
+empty table gives an empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixlake.llm.shared import written
+from prefixlake.operators.components import spread_join
 from prefixlake.llm.textarrays import chunks, span_hashes, word_spans
 
 CLASSES, MEMBERS = 64, 64
@@ -368,7 +370,7 @@ SCORED = "key long, doc_id long, digest string, n_tokens long, log_prob double,
 
 
 def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) of every document's whole text, in the order of ``documents``."""
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of every document's whole text."""
     spark = documents.sparkSession
     shards = max(SHARES, -(-int(vocabulary.counts[TOP:].sum()) // SHARE_TOKENS))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -428,6 +430,6 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarra
     out = found.where("shard is null").select("key", "doc_id", "digest", "n_tokens", "log_prob").join(sums, "key", "left")
     out = out.withColumn("log_prob", F.col("log_prob") + F.coalesce("part", F.lit(0.0)))
     # Single-precision products differ in the last digits with a row's place in its batch.
-    same = out.groupBy("digest").agg(F.min("log_prob").alias("_same"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    out = out.join(same, "digest", "left").orderBy("key").select("doc_id", "n_tokens", F.coalesce("_same", "log_prob").alias("log_prob"))
+    same = out.groupBy("digest").agg(F.min("log_prob").alias("_same"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = spread_join(out, same, "digest", "_n", found.where("shard is null").count(), how="left").select("doc_id", "n_tokens", F.coalesce("_same", "log_prob").alias("log_prob"))
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
