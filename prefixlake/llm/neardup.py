@@ -212,8 +212,8 @@ def more_trees(classes: DataFrame) -> DataFrame:
     return classes.select("id", "labels").mapInArrow(run, ORDERED)
 
 
-def _walk(labels: np.ndarray, parts: np.ndarray, depth: int, work: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Links that join the ``parts`` of one region, and the depth each of its rows went to.
+def _walk(ids: np.ndarray, labels: np.ndarray, parts: np.ndarray, depth: int, work: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(row, its component's least id) for one row of each part that joins others, and each row's depth.
 
     ``labels`` are the region's rows in sorted order, equal in the first ``depth`` labels; ``work`` bounds
     the comparisons of one region.
@@ -221,14 +221,17 @@ def _walk(labels: np.ndarray, parts: np.ndarray, depth: int, work: int) -> tuple
     links, deepest, waiting = [], np.full(len(labels), depth), [(0, len(labels), depth)]
     while waiting:
         a, b, at = waiting.pop()
-        own = parts[a:b]
-        sizes = np.bincount(own - own[0])
+        own = parts[a:b] - parts[a]
+        sizes = np.bincount(own)
         if len(sizes) < 2:
             continue
         if ((b - a) ** 2 - (sizes.astype(np.int64) ** 2).sum()) // 2 <= work or at == LABELS:
-            found, _ = _search(b - a, _Labels(labels[a:b]), own)
-            if found:
-                links.append(np.array(found) + a)
+            _, component = _search(b - a, _Labels(labels[a:b]), own)
+            heads = np.minimum.reduceat(ids[a:b], np.flatnonzero(np.diff(own, prepend=-1)))
+            joined = component[np.flatnonzero(np.diff(own, prepend=-1))]
+            least = np.full(joined.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, joined, heads)
+            links.append((heads, least[joined]))
             continue
         deepest[a:b] = at + 1
         cuts = [a, *(a + 1 + np.flatnonzero(np.diff(labels[a:b, at].astype(np.int64)))).tolist(), b]
@@ -237,8 +240,9 @@ def _walk(labels: np.ndarray, parts: np.ndarray, depth: int, work: int) -> tuple
 
 
 def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
-    """(kind, a, b, tree, grp, seq): likely links a-b (kind 0) and rows whose regions deepened (kind 1: id, tree).
+    """(kind, a, b): links that join what is likely (kind 0), and rows whose regions deepened (kind 1: id, tree).
 
+    A part is linked as a star on its least id, so a row has at most two links a tree.
     Where a partition of the sorted order ends inside a region, its last row and the next one's first
     are compared as well; what else such a border cuts apart meets in the other trees.
     """
@@ -255,20 +259,24 @@ def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
             near = np.zeros(rows.num_rows, bool)
             near[1:] = (labels[1:] == labels[:-1]).sum(axis=1) >= LIKELY
             near &= inside
-            at, parts = np.flatnonzero(near), np.cumsum(~near)
-            a, b, deep, trees = [ids[at - 1]], [ids[at]], [], []
+            parts = np.cumsum(~near)
+            least = np.minimum.reduceat(ids, np.flatnonzero(~near))[parts - 1]
+            a, b, deep, trees = [ids[ids != least]], [least[ids != least]], [], []
             loose = np.add.reduceat((inside & ~near).astype(np.int64), starts[:-1])
             for g in np.flatnonzero(loose).tolist():
                 i, j = int(starts[g]), int(starts[g + 1])
-                links, deepest = _walk(labels[i:j], parts[i:j], depth, WORK)
-                for pair in links:
-                    a.append(ids[i + pair[:, 0]])
-                    b.append(ids[i + pair[:, 1]])
+                links, deepest = _walk(ids[i:j], labels[i:j], parts[i:j], depth, WORK)
+                for x, y in links:
+                    a.append(x[x != y])
+                    b.append(y[x != y])
                 went = np.flatnonzero(deepest > depth)
                 if len(went):
                     deep.append(ids[i + went])
                     trees.append(np.full(len(went), rows.column("tree")[i].as_py()))
-            return _found(0, np.concatenate(a), np.concatenate(b), None) if not deep else pa.concat_batches([_found(0, np.concatenate(a), np.concatenate(b), None), _found(1, np.concatenate(deep), np.concatenate(trees), None)])
+            found = [_found(0, np.concatenate(a), np.concatenate(b), None)]
+            if deep:
+                found.append(_found(1, np.concatenate(deep), np.concatenate(trees), None))
+            return pa.concat_batches(found)
 
         for batch in batches:
             if not batch.num_rows:
@@ -312,6 +320,16 @@ def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
     return found.where("kind < 2").select("kind", "a", "b").union(tied)
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """(a, b) links with the same components: each row hangs on its least neighbour alone, and its other
+    neighbours hang there too, which in a group of copies are the same few rows for all.
+    """
+    stars = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = stars.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))
+    stars = written(stars, "stars")
+    return stars.select("a", F.col("m").alias("b")).union(stars.select(F.explode("all").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+
+
 def _found(kind: int, a: np.ndarray, b: np.ndarray, at: pa.RecordBatch | None) -> pa.RecordBatch:
     place = [at.column(n) for n in ("tree", "grp", "seq")] if at is not None else [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *place], names=["kind", "a", "b", "tree", "grp", "seq"])
@@ -474,7 +492,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     deep = written(deep, "deep")
     if not deep.isEmpty():
         likely = likely.union(forest_links(more_trees(classes.select("id", "labels").join(deep, "id", "left_semi")), MORE_DEPTH).where("kind = 0").select("a", "b"))
-    clusters = written(connected_components(likely), "clusters")
+    clusters = written(connected_components(contracted(likely)), "clusters")
 
     members = clusters.select(F.col("component").alias("grp"), "id")
     small = clusters.count() <= BROADCAST_ROWS

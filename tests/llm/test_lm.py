@@ -23,8 +23,8 @@ def texts():
 def test_training_beats_unigrams_and_order_matters(spark, documents):
     docs = documents([*texts(), *ODD])
     vocabulary, net = lm.fit(docs)
-    plain = lm.score(docs, vocabulary, lm.initial(vocabulary)).toPandas()
-    trained = lm.score(docs, vocabulary, net).toPandas().set_index("doc_id")
+    plain = lm.score(docs, vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").sort_index()
+    trained = lm.score(docs, vocabulary, net).toPandas().set_index("doc_id").sort_index()
     assert trained.log_prob[:400].sum() > plain.log_prob[:400].sum() + 0.2 * plain.n_tokens[:400].sum()
     assert (trained.n_tokens[:400] == 60).all()
     first = 400
@@ -64,7 +64,7 @@ def test_every_distinct_word_has_its_own_probability(spark, documents):
     count = {f"common{i}": 5 for i in range(lm.TOP - 1)} | {f"rare{i}": 1 + i % 3 for i in range(5000)}
     vocabulary = lm.fit_vocabulary(documents([" ".join([w] * n) for w, n in count.items()]))
     words = list(count)
-    got = lm.score(documents([*words, "rare1 rare1 unheard"]), vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").log_prob
+    got = lm.score(documents([*words, "rare1 rare1 unheard"]), vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").sort_index().log_prob
     ((_, ids, begins, _),) = lm.hashed_tokens(pa.array(words), vocabulary)
     net = lm.Scorer(lm.initial(vocabulary)).log_probabilities(ids, begins[:-1])
     own = ids[begins[:-1]]
