@@ -52,10 +52,18 @@ RELATIONSHIPS = ("issuer", "program_issuer", "former_issuer", "processor", "spon
 
 
 def _resolve(key: Column, table: dict[str, str], shortest: int = 1) -> Column:
-    """Exact alias, else the longest alias that the key contains, earlier ones first among equals; else unknown."""
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
-    inside = [F.when(key.contains(a), F.lit(table[a])) for a in sorted(table, key=len, reverse=True) if len(a) >= shortest]
-    return F.when(key == "", "unknown").otherwise(F.coalesce(exact, *inside, F.lit("unknown")))
+    """Exact alias, else the longest alias that the key contains, earlier ones first among equals; else unknown.
+
+    The key is bound to a variable, so that it is computed once however many aliases there are.
+    """
+    codes = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    parts = F.array(*[F.lit(a) for a in sorted(table, key=len, reverse=True) if len(a) >= shortest])
+
+    def found(k: Column) -> Column:
+        inside = F.try_element_at(codes, F.get(F.filter(parts, lambda a: k.contains(a)), F.lit(0)))
+        return F.when(k == "", "unknown").otherwise(F.coalesce(F.try_element_at(codes, k), inside, F.lit("unknown")))
+
+    return F.element_at(F.transform(F.array(key), found), 1)
 
 
 def network(c: Column) -> Column:

@@ -16,6 +16,7 @@ COUNTRY_ALIASES = {
     "CONGO KINSHASA": "CD", "CONGO BRAZZAVILLE": "CG", "DEUTSCHLAND": "DE", "ESPANA": "ES", "ITALIA": "IT", "NIPPON": "JP", "NIHON": "JP", "BRASIL": "BR", "MEXICO": "MX", "SUISSE": "CH",
     "SCHWEIZ": "CH", "SVIZZERA": "CH", "SVERIGE": "SE", "NORGE": "NO", "DANMARK": "DK", "SUOMI": "FI", "NEDERLAND": "NL", "OSTERREICH": "AT", "POLSKA": "PL", "CESKA REPUBLIKA": "CZ",
     "CESKO": "CZ", "MAGYARORSZAG": "HU", "ELLADA": "GR", "HELLAS": "GR", "PORTUGAL": "PT", "EIRE": "IE",
+    "BOLIVIA PLURINATIONAL STATE OF": "BO", "MOLDOVA REPUBLIC OF": "MD", "TANZANIA UNITED REPUBLIC OF": "TZ", "MICRONESIA FEDERATED STATES OF": "FM",
 }
 PARTICLES = ("of", "the", "de", "del", "la", "le", "du", "van", "der", "am", "an")
 # Postal formats, as a pattern over letters and digits and its layout.
@@ -34,9 +35,10 @@ POSTAL_FORMATS = {
 def resolve_countries(values: DataFrame, column: str, countries: DataFrame) -> DataFrame:
     """``values`` with ``iso2`` of the free-text ``column``.
 
-    ``countries`` (iso2, name, and iso3 and numeric_code where known) is a dimension of some hundred
-    rows. Codes are tried first, then aliases, then the name, then a prefix of at least four
-    characters that fits one name only. Distinct values are resolved once and joined back.
+    ``countries`` has iso2 and name, and iso3 and numeric_code where known. Codes are tried first, then
+    aliases, then the name, then a prefix of at least four characters that fits one name only. Every
+    rung is the same equi-join, on (rung, key); prefixes meet on their first four characters. Distinct
+    values are resolved once and joined back.
     """
     names = countries.columns
     distinct = values.select(column).distinct().where(F.col(column).isNotNull())
@@ -44,15 +46,23 @@ def resolve_countries(values: DataFrame, column: str, countries: DataFrame) -> D
     keyed = distinct.select(column, upper.alias("_u"), collapse(F.regexp_replace(strip_accents(upper), "[^A-Z0-9]", " ")).alias("_a"), squash(F.col(column)).alias("_s"))
     alias = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES.items() for x in pair])
     keyed = keyed.withColumn("_alias", F.coalesce(F.try_element_at(alias, F.col("_a")), F.try_element_at(alias, F.replace(F.col("_a"), F.lit(" "), F.lit("")))))
-    land = countries.select("iso2", squash(F.col("name")).alias("_name"), *[F.col(c).alias(f"_{c}") for c in ("iso3", "numeric_code") if c in names])
-    rank = F.when(F.col("_u") == F.col("iso2"), 0)
-    if "iso3" in names:
-        rank = rank.when(F.col("_u") == F.col("_iso3"), 1)
-    if "numeric_code" in names:
-        rank = rank.when(F.col("_u").rlike("^[0-9]{1,3}$") & (F.lpad("_u", 3, "0") == F.col("_numeric_code")), 2)
-    rank = rank.when(F.col("_alias") == F.col("iso2"), 3).when(F.col("_s") == F.col("_name"), 4).when((F.length("_s") >= 4) & F.col("_name").startswith(F.col("_s")), 5)
-    pairs = keyed.join(F.broadcast(land), rank.isNotNull()).withColumn("_rank", rank)  # a dimension of fixed size
-    best = pairs.groupBy(column).agg(F.min("_rank").alias("_r"), F.min_by("iso2", F.struct("_rank", "iso2")).alias("iso2"), F.count_if(F.col("_rank") == 5).alias("_n"))
+
+    def rungs(*keys: Column | None) -> Column:
+        every = [F.struct(F.lit(rung).alias("rung"), key.alias("key")) for rung, key in enumerate(keys) if key is not None]
+        return F.explode(F.filter(F.array(*every), lambda x: x["key"].isNotNull())).alias("_k")
+
+    number = F.when(F.col("_u").rlike("^[0-9]{1,3}$"), F.lpad("_u", 3, "0"))
+    asked = keyed.select(column, "_s", rungs(F.col("_u"), F.col("_u"), number, F.col("_alias"), F.col("_s"), F.when(F.length("_s") >= 4, F.substring("_s", 1, 4))))
+    name = squash(F.col("name"))
+    land = countries.select(
+        "iso2",
+        name.alias("_name"),
+        rungs(F.col("iso2"), F.col("iso3") if "iso3" in names else None, F.col("numeric_code") if "numeric_code" in names else None, F.col("iso2"), name, F.substring(name, 1, 4)),
+    )
+    land = land.select("iso2", "_name", F.col("_k").alias("_l"))
+    pairs = asked.join(land, (F.col("_k.rung") == F.col("_l.rung")) & (F.col("_k.key") == F.col("_l.key"))).where((F.col("_k.rung") < 5) | F.col("_name").startswith(F.col("_s")))
+    rung = F.col("_k.rung")
+    best = pairs.groupBy(column).agg(F.min(rung).alias("_r"), F.min_by("iso2", F.struct(rung, "iso2")).alias("iso2"), F.countDistinct(F.when(rung == 5, F.col("iso2"))).alias("_n"))
     best = best.where((F.col("_r") < 5) | (F.col("_n") == 1)).select(F.col(column).alias("_value"), "iso2")
     return values.join(best, values[column] == best["_value"], "left").drop("_value")
 

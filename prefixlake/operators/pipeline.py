@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from prefixlake.functions import cards, digits, names
 from prefixlake.functions.text import squash
@@ -38,29 +44,54 @@ def merge_fields(rows: DataFrame, key: str, order: list[str], fields: list[str])
 
     ``rows`` carry the fields, ``confidence`` and ``current`` (whether the row's claim is in the
     present). Blanks are filled; a disagreement is recorded, and the newcomer wins if its claim is
-    current and better evidenced, or as good while no current issuer is known yet. The fold is an
-    array expression over the key's rows in order; a key is one prefix, whose rows are few.
+    current and better evidenced, or as good while no current issuer is known yet. Rows of a key
+    stream through one task in order, and the task holds only the merged record and its distinct
+    disagreements, however many rows a key has.
     """
-    state = F.struct(*[F.lit(None).cast("string").alias(f) for f in fields], F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("issued"), F.array().cast("array<struct<field:string,value_a:string,value_b:string>>").alias("conflicts"))
-    row = F.struct(*order, *[F.col(f).cast("string").alias(f) for f in fields], F.col("confidence").cast("double").alias("confidence"), "current")
-
-    def blank(c: Column) -> Column:
-        return c.isNull() | c.isin("", "unknown")
-
-    def step(acc: Column, r: Column) -> Column:
-        # Fields are merged one after the other, as each win raises the record's confidence.
-        level, out, met = F.coalesce(acc["confidence"], r["confidence"]), [], acc["conflicts"]
-        for f in fields:
-            a, b = acc[f], r[f]
-            fight = ~blank(a) & ~blank(b) & (a != b)
-            wins = fight & r["current"] & ((r["confidence"] > level) | ((r["confidence"] == level) & ~acc["issued"]))
-            out.append(F.when(blank(b), a).when(blank(a) | wins, b).otherwise(a).alias(f))
-            met = F.when(fight, F.array_union(met, F.array(F.struct(F.lit(f).alias("field"), a.alias("value_a"), b.alias("value_b"))))).otherwise(met)
-            level = F.when(wins, r["confidence"]).otherwise(level)
-        return F.struct(*out, level.alias("confidence"), (acc["issued"] | r["current"]).alias("issued"), met.alias("conflicts"))
-
-    folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    return folded.select(key, F.aggregate("_rows", state, step).alias("m")).select(key, "m.*").drop("issued")
+    kind = rows.schema[key].dataType
+    sorted_rows = rows.select(key, *order, *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)], F.col("confidence").cast("double").alias("_confidence"), F.col("current").alias("_current"))
+    sorted_rows = sorted_rows.repartition(key).sortWithinPartitions(key, *order, *[f"_f{i}" for i in range(len(fields))], "_confidence", "_current")
+    sorted_rows = sorted_rows.select(key, *[f"_f{i}" for i in range(len(fields))], "_confidence", "_current")
+    schema = StructType([StructField(key, kind), *[StructField(f, StringType()) for f in fields], StructField("confidence", DoubleType())])
+    met = StructType([StructField(n, StringType()) for n in ("field", "value_a", "value_b")])
+    schema = schema.add("conflicts", ArrayType(met))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[list] = []
+        record: list | None = None  # key, values, confidence, issued, conflicts
+        wanted = to_arrow_schema(schema)
+
+        def flush() -> pa.RecordBatch:
+            found = [{wanted.names[0]: r[0], **dict(zip(fields, r[1], strict=True)), "confidence": r[2], "conflicts": [{"field": f, "value_a": a, "value_b": b} for f, a, b in r[4]]} for r in ready]
+            ready.clear()
+            return pa.RecordBatch.from_pylist(found, schema=wanted)
+
+        for batch in batches:
+            for k, *values, confidence, current in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if record is None or k != record[0]:
+                    if record is not None:
+                        ready.append(record)
+                    record = [k, [None] * len(fields), confidence, False, {}]
+                level = record[2] if record[2] is not None else confidence
+                for i, new in enumerate(values):
+                    old = record[1][i]
+                    if new is None or new in ("", "unknown"):
+                        continue
+                    if old is None or old in ("", "unknown"):
+                        record[1][i] = new
+                    elif old != new:
+                        record[4][fields[i], old, new] = True
+                        # Fields merge one after the other, as each win raises the record's confidence.
+                        if current and confidence is not None and level is not None and (confidence > level or (confidence == level and not record[3])):
+                            record[1][i], level = new, confidence
+                record[2], record[3] = level, record[3] or bool(current)
+            if len(ready) >= 4096:
+                yield flush()
+        if record is not None:
+            ready.append(record)
+        yield flush()
+
+    return sorted_rows.mapInArrow(fold, schema)
 
 
 def enrich(bins: DataFrame, links: DataFrame, institutions: DataFrame, addresses: DataFrame, countries: DataFrame, networks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,15 +170,23 @@ def name_pairs(institutions: DataFrame, links: DataFrame) -> DataFrame:
 
     Keys are the core name, its first word, and acronyms of three letters and more. A weak key that
     more than ``WEAK_BLOCK`` institutions share no longer discriminates and is not compared, as its
-    definition says; core keys always are, as a chain from the least id, which is enough to connect
-    them. The sequence ratio runs once per distinct pair of core names.
+    definition says. Core keys always are, at any size: as whether two names merge depends on their
+    countries and shared prefixes, every holder is compared with the least one of the name, of the name
+    in its country, of the name without country and of the name on each of its prefixes, which connects
+    whatever any pair of holders would connect. The sequence ratio runs once per distinct pair of core names.
     """
     n = names.name_struct(F.col("display_name"))
     own = institutions.select("id", "display_name", "country_id", n.alias("n"))
     keys = F.array(F.concat(F.lit("core:"), F.col("n.core")), F.concat(F.lit("lead:"), F.split("n.core", " ")[0]), F.when(F.length("n.acronym") >= 3, F.concat(F.lit("acronym:"), F.col("n.acronym"))))
     blocks = own.select("id", F.explode(F.filter(F.array_distinct(keys), lambda k: k.isNotNull())).alias("k"))
     sizes = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    strong = blocks.join(sizes.where("k like 'core:%'"), "k").where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    core = blocks.where("k like 'core:%'").join(own.select("id", "country_id"), "id")
+    nowhere = core.where("country_id is null").groupBy("k").agg(F.min("id").alias("least"))
+    placed = core.groupBy("k", "country_id").agg(F.min("id").alias("least"))
+    on_bins = core.join(links.select(F.col("institution_id").alias("id"), "bin_id").distinct(), "id")
+    on_bins = on_bins.join(on_bins.groupBy("k", "bin_id").agg(F.min("id").alias("least")), ["k", "bin_id"])
+    reach = [core.join(sizes.select("k", "least"), "k"), core.join(nowhere, "k"), core.join(placed, ["k", "country_id"]), on_bins]
+    strong = reduce(DataFrame.union, [x.select("least", "id") for x in reach]).where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
     weak = blocks.join(sizes.where((F.col("n") <= WEAK_BLOCK) & (F.col("n") > 1) & ~F.col("k").like("core:%")).select("k"), "k", "left_semi")
     weak = weak.select("k", F.col("id").alias("a")).join(weak.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b")
     pairs = strong.union(weak).distinct()

@@ -43,14 +43,14 @@ VIEWS: dict[str, str] = {
                max(l_returnflag) <> 'R' as is_current, l_suppkey % 3 <> 0 as is_primary,
                min(l_shipdate) as effective_from, case when max(l_returnflag) = 'R' then max(l_shipdate) end as effective_to,
                cast(50 + (l_partkey + l_suppkey) % 50 as int) as confidence_pct
-        from {lineitem} where l_linenumber = 1 and l_orderkey % 7 = 0 group by l_partkey, l_suppkey""",
+        from {lineitem} group by l_partkey, l_suppkey""",
     "bx_ranges": """
         select id, low_int as range_low_int, low_int + width - 1 as range_high_int, width - 1 as span, range_type, institution_id
         from (select o_orderkey as id, cast((400000 + o_custkey) * 100 + (o_orderkey % 5) * 10 as int) as low_int,
                 case substr(o_orderpriority, 1, 1) when '1' then 10 when '2' then 10 when '3' then 100 else 1000 end as width,
                 case when substr(o_orderpriority, 1, 1) <= '2' then 'account_range' else 'issuer_range' end as range_type,
                 o_custkey % 10 as institution_id
-              from {orders} where o_orderkey % 20 = 0) t""",
+              from {orders}) t""",
     "bx_queries": """
         select o_orderkey as query_id, case when o_orderkey % 3 = 0 then cast(400000 + o_custkey as string)
                else cast(400000 + o_custkey as string) || lpad(cast(o_orderkey % 100 as string), 2, '0') end as q

@@ -89,21 +89,21 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(f"""with v as ({_PRODUCTS}) select p_partkey,
       case when raw = 'VISA Gold Credit Card' then 'credit' when raw = 'Master-Card Prepaid' or raw = 'gift' then 'prepaid' when raw = 'china unionpay debit' then 'debit' when raw = 'Deferred  Debit' then 'deferred_debit' when raw = 'PagoBancomat' or raw = '' or raw = 'Cartes Bancaires' then 'unknown'
         when lower(raw) like '%credit%' then 'credit' else 'unknown' end as card_type,
-      case when raw = 'VISA Gold Credit Card' or raw = 'Deferred  Debit' then 'credit' when raw = 'Master-Card Prepaid' or raw = 'gift' then 'prepaid' when raw = 'china unionpay debit' then 'debit' else 'unknown' end as funding_type from v where p_partkey % 9 < 8"""),
+      case when raw = 'VISA Gold Credit Card' or raw = 'Deferred  Debit' then 'credit' when raw = 'Master-Card Prepaid' or raw = 'gift' then 'prepaid' when raw = 'china unionpay debit' then 'debit' else 'unknown' end as funding_type from v"""),
 )
 def normalize_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """card and funding types of free text."""
     kind = cards.card_type(F.col("raw"))
-    return _products(spark, sf_dir).where("p_partkey % 9 < 8").select("p_partkey", kind.alias("card_type"), cards.funding_type(F.col("raw"), kind).alias("funding_type"))
+    return _products(spark, sf_dir).select("p_partkey", kind.alias("card_type"), cards.funding_type(F.col("raw"), kind).alias("funding_type"))
 
 
 @query(
     "normalize_network",
-    oracle(f"""with v as ({_PRODUCTS}) select p_partkey, case raw when 'VISA Gold Credit Card' then 'visa' when 'Master-Card Prepaid' then 'mastercard' when 'china unionpay debit' then 'unionpay' when 'Cartes Bancaires' then 'cartes_bancaires' else 'unknown' end as network from v where p_partkey % 9 < 8"""),
+    oracle(f"""with v as ({_PRODUCTS}) select p_partkey, case raw when 'VISA Gold Credit Card' then 'visa' when 'Master-Card Prepaid' then 'mastercard' when 'china unionpay debit' then 'unionpay' when 'Cartes Bancaires' then 'cartes_bancaires' else 'unknown' end as network from v"""),
 )
 def normalize_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """networks of free text."""
-    return _products(spark, sf_dir).where("p_partkey % 9 < 8").select("p_partkey", cards.network(F.col("raw")).alias("network"))
+    return _products(spark, sf_dir).select("p_partkey", cards.network(F.col("raw")).alias("network"))
 
 
 @query(

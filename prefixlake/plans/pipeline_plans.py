@@ -281,9 +281,15 @@ def history_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.newest(rows, ["user_id"], F.desc("at"), 2).select("user_id", "q")
 
 
-@query("stream_latest", oracle("select cast(date_trunc('day', observed_at) as timestamp) as day, bin_id, field, count(*) as n from bx_claims group by 1, 2, 3"))
+@query("stream_latest", oracle("select cast(date_trunc('day', observed_at) as timestamp) as day, bin_id, field, arg_max(value, (observed_at, id)) as value from bx_claims group by 1, 2, 3"))
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.O: the day windows of the streaming façade, over a bounded input."""
-    rows = frame(spark, sf_dir, "bx_claims").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    counts = rows.groupBy(F.window("observed_at", "1 day"), "bin_id", "field").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "bin_id", "field", "n")
+    """2.O: the newest claim of each day, through the streaming façade."""
+    from uuid import uuid4
+
+    from prefixlake.session import shared_folder
+    from prefixlake.streaming import facade
+
+    feed = facade.read_feed(spark, f"{sf_dir}/events.parquet*", frame(spark, sf_dir, "events").schema, "parquet")
+    claims = feed.select(F.col("event_id").alias("id"), F.col("user_id").alias("bin_id"), F.col("event_type").alias("field"), F.floor("value").cast("int").cast("string").alias("value"), F.col("ts").alias("observed_at"))
+    rows = facade.drained(facade.latest_claims(claims), f"{shared_folder(spark)}/stream-{uuid4().hex}")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "bin_id", "field", "value")

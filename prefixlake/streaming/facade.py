@@ -16,8 +16,8 @@ def read_feed(spark: SparkSession, path: str, schema: StructType, kind: str = "j
 
 
 def latest_claims(claims: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The newest value of each (bin, field) in event time; the state of a day past is let go."""
-    return claims.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", delay).groupBy(F.window("observed_at", "1 day"), "bin_id", "field").agg(F.max_by("value", "observed_at").alias("value"))
+    """The newest value of each (bin, field) and day in event time, ties to the greater id; the state of a day past is let go."""
+    return claims.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", delay).groupBy(F.window("observed_at", "1 day"), "bin_id", "field").agg(F.max_by("value", F.struct("observed_at", "id")).alias("value"))
 
 
 def monthly_growth(rows: DataFrame, delay: str = "31 days") -> DataFrame:
@@ -34,3 +34,14 @@ def request_budget(requests: DataFrame, per_hour: int = 5) -> DataFrame:
 def stage_batches(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run a batch operator on every micro-batch; ``checkpoint`` is a shared folder."""
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """All that an aggregating stream gives for the input there is now, as a table under ``path``, a shared folder."""
+    spark = stream.sparkSession
+
+    def write(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows")

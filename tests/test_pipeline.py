@@ -93,3 +93,19 @@ def test_stream_of_claims(spark, tmp_path, sf_dir):
     q = facade.stage_batches(stream, lambda df, n: seen.append(df.count()), f"file://{tmp_path}/cp")
     q.awaitTermination()
     assert sum(seen) == frame(spark, sf_dir, "bx_claims").count()
+
+
+def test_core_names_merge_on_their_own_evidence_whatever_the_least_id_is(spark):
+    """The least id of a name is in another country; the two others share a prefix and are one institution."""
+    rows = [(1, "First Union Bank", 1), (2, "First Union Bank Ltd", 2), (3, "First Union Bank plc", 2)]
+    inst = spark.createDataFrame([(i, n, c) for i, n, c in rows], "id long, display_name string, country_id int")
+    links = spark.createDataFrame([(7, 2), (7, 3), (8, 1)], "bin_id long, institution_id long")
+    pairs = {(r["a"], r["b"]): r["can_merge"] for r in pipeline.name_pairs(inst, links).collect()}
+    assert pairs[2, 3] and not pairs[1, 2]
+    assert [tuple(r) for r in pipeline.survivors(pipeline.name_pairs(inst, links)).collect()] == [(3, 2)]
+
+
+def test_merge_keeps_one_key_with_very_many_rows(spark):
+    df = spark.range(20000).selectExpr("0 as bin", "id as line", "cast(id % 3 as string) as network", "50.0 as confidence", "false as current")
+    (r,) = pipeline.merge_fields(df, "bin", ["line"], ["network"]).collect()
+    assert r["network"] == "0" and {(c["value_a"], c["value_b"]) for c in r["conflicts"]} == {("0", "1"), ("0", "2")}
