@@ -20,7 +20,7 @@ rounding error, and whatever may be among the nearest is measured again on the o
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part, as query or candidate; ties go to the smaller id; a query with
 fewer candidates than ``k`` gets them all; rows repeated whole are one row; a query id with several
-vectors asks with the least of them by bytes; an empty table gives an empty result; other columns
+vectors asks with the least of them by bytes and is a candidate with each of them; an empty table gives an empty result; other columns
 are ignored, whatever their names.
 """
 
@@ -317,7 +317,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     pieces = max(tasks, sum(blocks.values()) // 64)
     lists = dealt.repartition(pieces, "leaf", "block").sortWithinPartitions("leaf", "block", "asks", "v").mapInArrow(search, "v binary, found array<struct<d: double, id: long>>")
-    merged = lists.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found"))
+    merged = lists.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
     merged = written(merged, "found")
     answers = asked.join(merged, "v").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
     answers = answers.select("query_id", F.posexplode("found").alias("rank", "x"))
