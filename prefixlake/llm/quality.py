@@ -59,18 +59,20 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
             )
 
     rows = texts.mapInArrow(bags, "doc_id long, label string, length long, ids binary, weights binary").toArrow()
-    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
-
-    def views(name: str, kind: type) -> list[np.ndarray]:
-        """Each row's values as views of one buffer."""
-        if not rows.num_rows:
-            return []
-        column = pa.concat_arrays(rows[name].chunks).cast(pa.large_binary())
-        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
-        values = np.frombuffer(column.buffers()[2] or b"", kind)
-        return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-    return list(zip(views("ids", np.int32), views("weights", np.float32), strict=True)), rows["label"].to_pylist(), rows["length"].to_numpy()
+    bags: list[tuple[int, np.ndarray, np.ndarray, str, int]] = []
+    for batch in rows.to_batches():  # views of what arrived: the sample is held once
+        ids, weights = _views(batch.column("ids"), np.int32), _views(batch.column("weights"), np.float32)
+        bags += zip(batch.column("doc_id").to_pylist(), ids, weights, batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)
+    bags.sort(key=lambda x: x[0])
+    return [(x[1], x[2]) for x in bags], [x[3] for x in bags], np.array([x[4] for x in bags], np.int64)
+
+
+def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """Each row's values, four bytes each, as views of the column's buffer."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int32)
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    values = values[: len(values) // 4 * 4].view(kind)
+    return [values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), rejects: bool = False) -> SubwordModel:  # noqa: B008
