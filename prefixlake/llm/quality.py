@@ -63,6 +63,7 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
     for batch in rows.to_batches():  # views of what arrived: the sample is held once
         ids, weights = _views(batch.column("ids"), np.int32), _views(batch.column("weights"), np.float32)
         bags += zip(batch.column("doc_id").to_pylist(), ids, weights, batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)
+    del rows
     bags.sort(key=lambda x: x[0])
     return [(x[1], x[2]) for x in bags], [x[3] for x in bags], np.array([x[4] for x in bags], np.int64)
 
@@ -83,7 +84,10 @@ def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample =
     bags, names, lengths = collect_sample(documents, labels, spec, sample)
     classes = sorted(set(names))
     labels = np.array([classes.index(x) for x in names], np.int64)
-    return train(bags, labels, classes, spec, lengths=lengths if rejects else None)
+    model = train(bags, labels, classes, spec, lengths=lengths if rejects else None)
+    del bags
+    pa.default_memory_pool().release_unused()  # else the sample's pages stay with the driver while later stages run
+    return model
 
 
 QUALITY = Buckets(grams=1 << 17, words=1 << 15, pairs=1 << 15, orders=(2, 3, 4))
