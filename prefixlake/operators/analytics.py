@@ -138,11 +138,10 @@ def ratio_score(count: Column, total: Column, tolerance: float) -> Column:
     return F.when(count <= 0, 1.0).when(total <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - count / total / tolerance))
 
 
-def shared_bins(links: DataFrame, most: int = 10_000) -> DataFrame:
+def shared_bins(links: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of institutions that hold the same prefixes.
 
-    A prefix has a handful of holders; one with more than ``most`` would be a data fault, and is
-    compared in the join all the same, as nothing is dropped.
+    The pairs are the result itself: a prefix with n holders stands for n (n - 1) / 2 of them.
     """
     own = links.select("bin_id", "institution_id").distinct()
     left, right = own.withColumnRenamed("institution_id", "a"), own.withColumnRenamed("institution_id", "b")
@@ -176,3 +175,12 @@ def snapshot(bins: DataFrame, links: DataFrame, institutions: DataFrame, ranges:
     scoped = links.join(bins.select(F.col("id").alias("bin_id")), "bin_id", "left_semi").agg(F.lit("institutions").alias("metric"), F.countDistinct("institution_id").alias("value"))
     every = institutions.agg(F.lit("all_institutions").alias("metric"), F.count(F.lit(1)).alias("value"))
     return rows.unionByName(scoped).unionByName(every).unionByName(ranges.agg(F.lit("ranges").alias("metric"), F.count(F.lit(1)).alias("value")))
+
+
+def statistics(bins: DataFrame) -> DataFrame:
+    """(scope, key, value): figures of all prefixes and of each country's (A13), in one grouping that combines map-side."""
+    scopes = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("country:"), F.col("country_id").cast("string"))))
+    one = bins.select(F.explode(scopes).alias("scope"), "network_id", "is_prepaid", "status").groupBy("scope")
+    one = one.agg(F.count(F.lit(1)).alias("bins"), F.countDistinct("network_id").alias("networks"), F.count_if("is_prepaid").alias("prepaid"), F.count_if(F.col("status") == "active").alias("active"))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in one.columns[1:]]))
+    return one.select("scope", rows.alias("r")).select("scope", "r.*")

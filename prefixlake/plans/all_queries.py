@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefixlake.plans import analytics_plans, function_plans, lookup_plans, pipeline_plans, search_plans, source_plans  # noqa: F401
+from prefixlake.plans import analytics_plans, function_plans, ingest_plans, lookup_plans, pipeline_plans, search_plans, source_plans  # noqa: F401
 from prefixlake.plans.registry import ORACLES, QUERIES, Query
 
 

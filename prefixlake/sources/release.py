@@ -84,12 +84,11 @@ class Releases:
     def rollback(self, at: str) -> str:
         """Publish the release before the live one again."""
         history = self._history()
-        versions = [r["version"] for r in history.orderBy(F.desc("published_at")).select("version").limit(1000).collect()] if history is not None else []
-        before = next((v for v in versions if v != versions[0]), None)
-        if before is None:
+        row = history.where(F.col("version") != self.live()).orderBy(F.desc("published_at")).first() if history is not None else None
+        if row is None:
             raise ValueError("there is no release to go back to")
-        self.publish(before, at)
-        return before
+        self.publish(row["version"], at)
+        return row["version"]
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{version or self.live()}/{name}")
