@@ -9,6 +9,7 @@ columns beyond those named are ignored, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]:
-    """Sparse bags, labels and lengths of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
+def sampled_bags(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> DataFrame:
+    """(doc_id, label, length, ids, weights): sparse bags of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
 
     The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable. Only ids
     are ordered: texts are met in one scan behind a broadcast of the drawn ids, whose number is the
@@ -58,14 +59,7 @@ def collect_sample(documents: DataFrame, labels: DataFrame, spec: Buckets, sampl
                 names=["doc_id", "label", "length", "ids", "weights"],
             )
 
-    rows = texts.mapInArrow(bags, "doc_id long, label string, length long, ids binary, weights binary").toArrow()
-    bags: list[tuple[int, np.ndarray, np.ndarray, str, int]] = []
-    for batch in rows.to_batches():  # views of what arrived: the sample is held once
-        ids, weights = _views(batch.column("ids"), np.int32), _views(batch.column("weights"), np.float32)
-        bags += zip(batch.column("doc_id").to_pylist(), ids, weights, batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)
-    del rows
-    bags.sort(key=lambda x: x[0])
-    return [(x[1], x[2]) for x in bags], [x[3] for x in bags], np.array([x[4] for x in bags], np.int64)
+    return texts.mapInArrow(bags, "doc_id long, label string, length long, ids binary, weights binary")
 
 
 def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -79,15 +73,27 @@ def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
 def fit(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample = Sample(), rejects: bool = False) -> SubwordModel:  # noqa: B008
     """A model of ``labels`` (doc_id, label) from the texts of ``documents`` (doc_id, text).
 
-    With ``rejects`` it also learns how familiar a text must be to belong to any class.
+    With ``rejects`` it also learns how familiar a text must be to belong to any class. The sample's bags
+    go to one task, which trains; only the finished model, whose size ``spec`` and the classes fix, comes
+    to the driver, and a lost executor means that the task runs again on the same rows.
     """
-    bags, names, lengths = collect_sample(documents, labels, spec, sample)
-    classes = sorted(set(names))
-    labels = np.array([classes.index(x) for x in names], np.int64)
-    model = train(bags, labels, classes, spec, lengths=lengths if rejects else None)
-    del bags
-    pa.default_memory_pool().release_unused()  # else the sample's pages stay with the driver while later stages run
-    return model
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, np.ndarray, np.ndarray, str, int]] = []
+        for batch in batches:  # views of what arrived: the sample is held once
+            ids, weights = _views(batch.column("ids"), np.int32), _views(batch.column("weights"), np.float32)
+            rows += zip(batch.column("doc_id").to_pylist(), ids, weights, batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)
+        rows.sort(key=lambda x: x[0])
+        classes = sorted({x[3] for x in rows})
+        numbers = np.array([classes.index(x[3]) for x in rows], np.int64)
+        lengths = np.array([x[4] for x in rows], np.int64)
+        model = train([(x[1], x[2]) for x in rows], numbers, classes, spec, lengths=lengths if rejects else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = sampled_bags(documents, labels, spec, sample).repartition(1).mapInArrow(learn, "model binary").collect()
+    if not made:  # no partition at all: nothing to learn from
+        return train([], np.zeros(0, np.int64), [], spec)
+    return pickle.loads(made[0]["model"])
 
 
 QUALITY = Buckets(grams=1 << 17, words=1 << 15, pairs=1 << 15, orders=(2, 3, 4))
