@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import licences, linededup, lm, media, mixing, neardup, neighbours, packing, quality
+from prefixlake.llm import licences, linededup, lm, media, mixing, neardup, neighbours, packing, periods, quality, resampling, toxicity
 from prefixlake.llm.shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,38 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the rank of the drawn twentieth."""
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after loops are planted in one of ten."""
+    documents = table(spark, sf_dir, "documents")
+    found = periods.find_runs(documents.select("doc_id", periods.looped(F.col("doc_id"), F.col("text")).alias("text")))
+    best = periods.strongest(F.col("runs"))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), line.alias("lines"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        "best.*",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt from labelled documents outside fold 1 of 3."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(quality.fold_of(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (quality.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "passage_start", "passage_words")
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op6_neardup"] = rf"""
