@@ -2,11 +2,12 @@
 
 A word is the mean of the vectors of its hashed character n-grams, borders included, so a misspelling
 that training never met still shares vectors with the word it stands for. A passage is the mean of its
-words, and a linear softmax reads the two classes from it. A document is judged by its worst passage:
-every stretch of ``WORDS`` consecutive words of the whole text is scored (or all of a shorter text), so a
-few words count as much in a long text as in a short one. Training fits vectors and output layer
-together; a labelled document is represented by the passage that the current model finds worst, and a
-clean one by a passage drawn at random besides, so that clean texts are clean everywhere.
+words, and a linear softmax reads the two classes from it. Every stretch of ``WORDS`` consecutive words
+of the whole text is scored (or all of a shorter text), and a document is judged by the mean log odds of
+its ``PASSAGES`` worst ones that share no word, so a few words count as much in a long text as in a short
+one, and one word that is toxic by chance does not decide. Training fits vectors and output layer
+together; a toxic document is represented by the passages that the current model finds worst, a clean
+one by its worst and one drawn at random, so that clean texts are clean everywhere.
 
 The fit reads a bounded sample of labelled documents (``Sample.rows``) and runs in one task; the table
 that scoring needs, one number a bucket, has a fixed size.
@@ -34,7 +35,8 @@ from prefixlake.llm.subword import Buckets, _characters, _grams, softmax
 from prefixlake.llm.textarrays import chunks
 
 SUBWORDS = Buckets(grams=1 << 18, words=0, pairs=0, orders=(3, 4, 5), fold_case=True)
-WORDS = 24
+WORDS = 3
+PASSAGES = 2
 
 
 def word_grams(texts: pa.Array, spec: Buckets = SUBWORDS) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -53,18 +55,23 @@ def word_grams(texts: pa.Array, spec: Buckets = SUBWORDS) -> Iterator[tuple[int,
         yield first, words, grams
 
 
-def worst_passages(values: np.ndarray, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of word values: the greatest mean over ``width`` consecutive words (all of a shorter row), where it begins, and of how many words."""
+def worst_passages(values: np.ndarray, words: np.ndarray, width: int = WORDS, most: int = PASSAGES) -> list[list[tuple[float, int, int]]]:
+    """For each row of word values, its ``most`` stretches of ``width`` words with the greatest means that
+    share no word, worst first: (mean, first word, words). A shorter row is one stretch, an empty one has mean 0."""
     upto = np.concatenate([[0.0], np.cumsum(values)])
-    n = np.diff(words)
-    best, begin, size = np.zeros(len(n)), np.zeros(len(n), np.int64), np.minimum(n, width)
-    short = (n > 0) & (n <= width)
-    best[short] = (upto[words[1:][short]] - upto[words[:-1][short]]) / n[short]
-    for i in np.flatnonzero(n > width).tolist():
-        sums = upto[words[i] + width : words[i + 1] + 1] - upto[words[i] : words[i + 1] - width + 1]
-        begin[i] = int(sums.argmax())
-        best[i] = sums[begin[i]] / width
-    return best, begin, size
+    out: list[list[tuple[float, int, int]]] = []
+    for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
+        n = b - a
+        if n <= width:
+            out.append([(float(upto[b] - upto[a]) / n if n else 0.0, 0, n)])
+            continue
+        means = (upto[a + width : b + 1] - upto[a : b - width + 1]) / width
+        found = []
+        while len(found) < most and means[i := int(means.argmax())] > -np.inf:
+            found.append((float(means[i]), i, width))
+            means[max(0, i - width + 1) : i + width] = -np.inf
+        out.append(found)
+    return out
 
 
 @dataclass
@@ -77,6 +84,7 @@ class ToxicityModel:
     shift: float = 0.0
     spec: Buckets = SUBWORDS
     width: int = WORDS
+    most: int = PASSAGES
 
     def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each row's probability of label 1, and its worst passage (first word, number of words)."""
@@ -87,8 +95,8 @@ class ToxicityModel:
             for bucket, word in grams:
                 each += np.bincount(word, self.odds[bucket], total)
                 n += np.bincount(word, minlength=total)
-            rows = slice(first, first + len(words) - 1)
-            z[rows], begin[rows], size[rows] = worst_passages(each / np.maximum(n, 1), words, self.width)
+            for i, found in enumerate(worst_passages(each / np.maximum(n, 1), words, self.width, self.most), first):
+                z[i], begin[i], size[i] = sum(x[0] for x in found) / len(found), *found[0][1:]
         return 1 / (1 + np.exp(-np.clip(self.slope * (z + self.bias) + self.shift, -700, 700))), begin, size
 
 
@@ -124,11 +132,11 @@ def _documents(texts: pa.Array, labels: list[int], spec: Buckets) -> list[_Docum
     return out
 
 
-def train(documents: list[_Document], spec: Buckets = SUBWORDS, *, width: int = WORDS, dims: int = 8, epochs: int = 8, rate: float = 0.1, drop: float = 0.3, seed: int = 7, held: float = 0.15) -> ToxicityModel:
+def train(documents: list[_Document], spec: Buckets = SUBWORDS, *, width: int = WORDS, most: int = PASSAGES, dims: int = 8, epochs: int = 16, rate: float = 0.6, drop: float = 0.2, seed: int = 7, held: float = 0.15) -> ToxicityModel:
     """Fit vectors and output layer together by stochastic gradient descent with adaptive steps, then calibrate.
 
-    The first epoch reads whole documents, the others each document's worst passage under the model so
-    far and one random passage of the clean. A share ``drop`` of a passage's n-grams is left out at each
+    The first epoch reads whole documents, the others the worst passages under the model so far (of the
+    toxic ``most``, of the clean one) and one random passage of the clean. A share ``drop`` of a passage's n-grams is left out at each
     step, so that no single n-gram carries a word. A ``held`` share of the documents stays out of the fit
     and sets slope and shift by logistic regression with smoothed targets.
     """
@@ -136,7 +144,7 @@ def train(documents: list[_Document], spec: Buckets = SUBWORDS, *, width: int =
     labels = np.array([d.label for d in documents], np.int64)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
-        return ToxicityModel(np.zeros(spec.grams, np.float32), float(np.log(share / (1 - share))), spec=spec, width=width)
+        return ToxicityModel(np.zeros(spec.grams, np.float32), float(np.log(share / (1 - share))), spec=spec, width=width, most=most)
     vectors = rng.normal(0, 0.5 / np.sqrt(dims), (spec.grams, dims)).astype(np.float32)
     output, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
     steps, out_steps, bias_steps = np.full(spec.grams, 1e-6, np.float32), np.full_like(output, 1e-6), np.full_like(bias, 1e-6)
@@ -156,43 +164,59 @@ def train(documents: list[_Document], spec: Buckets = SUBWORDS, *, width: int =
         output -= 0.1 * by_output / np.sqrt(out_steps)
         bias -= 0.02 * grad / np.sqrt(bias_steps)
         steps[ids] += w * w * float(by_vector @ by_vector)
-        vectors[ids] = own - (rate * w / np.sqrt(steps[ids]))[:, None] * by_vector
+        vectors[ids] = own - (pace * w / np.sqrt(steps[ids]))[:, None] * by_vector
 
     def odds() -> np.ndarray:
         """What training never met says nothing."""
         return np.where(steps > 1e-6, vectors @ (output[:, 1] - output[:, 0]), 0).astype(np.float32)
 
-    def worst(d: _Document, by: np.ndarray) -> tuple[float, int, int]:
-        best, begin, size = worst_passages(d.values(by), np.array([0, d.words]), width)
-        return float(best[0]), int(begin[0]), int(size[0])
+    def worst(d: _Document, by: np.ndarray, most: int) -> list[tuple[float, int, int]]:
+        return worst_passages(d.values(by), np.array([0, d.words]), width, most)[0]
 
+    pace = rate
     order = rng.permutation(len(documents))
     check, fit = order[: int(held * len(order))], order[int(held * len(order)) :]
     for epoch in range(epochs):
-        by = odds()
+        by, pace = odds(), rate * (1 - epoch / epochs)
         for j in rng.permutation(fit).tolist():
             d = documents[j]
-            begin, size = worst(d, by)[1:] if epoch else (0, d.words)
-            learn(*d.passage(begin, size), d.label)
-            if epoch and not d.label and d.words > width:
+            if not epoch:
+                learn(*d.passage(0, d.words), d.label)
+                continue
+            for _, begin, size in worst(d, by, most if d.label else 1):
+                learn(*d.passage(begin, size), d.label)
+            if not d.label and d.words > width:
                 learn(*d.passage(int(rng.integers(d.words - width + 1)), width), 0)
-    model = ToxicityModel(odds(), float(bias[1] - bias[0]), spec=spec, width=width)
+    model = ToxicityModel(odds(), float(bias[1] - bias[0]), spec=spec, width=width, most=most)
     y = labels[check]
     if len(y) and y.min() < y.max():
-        z = np.array([worst(documents[j], model.odds)[0] for j in check.tolist()]) + model.bias
+        z = np.array([np.mean([x[0] for x in worst(documents[j], model.odds, most)]) for j in check.tolist()]) + model.bias
         model.slope, model.shift = calibration(z, y)
     return model
 
 
 def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic regression of ``y`` on ``z`` by Newton steps, targets smoothed by class size."""
+    """Slope and shift of a logistic regression of ``y`` on ``z`` by damped Newton steps, targets smoothed by class size.
+
+    Both classes weigh the same, so the probability is that of a text as likely to be toxic as not.
+    """
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     x = np.stack([z, np.ones_like(z)], 1)
-    fitted = np.array([1.0, 0.0])
+    prior = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        odds = x @ at
+        return float((weight * (np.logaddexp(0, odds) - target * odds)).sum() + 0.005 * ((at - prior) ** 2).sum())
+
+    fitted = prior
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ fitted, -30, 30)))
-        slope = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        fitted = fitted - np.clip(np.linalg.solve(slope, x.T @ (p - target) + 1e-4 * (fitted - [1, 0])), -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(x @ fitted, -700, 700)))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        step = np.linalg.solve(curve, x.T @ (weight * (p - target)) + 0.01 * (fitted - prior))
+        while loss(fitted - step) > loss(fitted) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        fitted = fitted - step
     return max(1e-3, float(fitted[0])), float(fitted[1])
 
 
@@ -222,7 +246,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> T
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, passage_start, passage_words) of every row of ``documents``: its calibrated
-    probability of label 1 and the passage, in words, that it comes from."""
+    probability of label 1 and its worst passage, in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
