@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def model(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").where(quality.fold_of(F.col("doc_id"), 3) != 1)
-    return toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(quality.fold_of(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels)
 
 
 def test_held_out_toxicity(spark):
