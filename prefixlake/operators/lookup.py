@@ -1,9 +1,11 @@
 """Prefix lookup: which allocation answers a query, how well it is supported, and who disagrees.
 
 Inputs are frames of one row per allocation: prefixes (id, bin, span_low, span_high) and ranges
-(id, range_low_int, range_high_int, range_type, institution_id). Relationships of an allocation are
-an array of structs, gathered once per allocation, so everything after the candidate joins is one
-grouping by query and array expressions: no second pass over candidates and no Python.
+(id, range_low_int, range_high_int, range_type, institution_id, is_current, effective_from, effective_to,
+confidence_pct). A query meets its prefixes on equality, at most one a length, and its ranges through one
+elementary interval, where the best range and what every institution claims there are known beforehand;
+so a distinct query is a few rows, not one for every range that contains it. Relationships of a prefix
+are an array of structs; ranking, disagreement, settlement and scoring are array expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixlake.functions import digits
+from prefixlake.operators.intervals import cut, locate
 from prefixlake.operators.joins import children_join, prefix_join, range_join
 
 # Precedence of match kinds, and the score each starts from.
@@ -19,7 +22,7 @@ SPECIFICITY = {"exact_8_digit": 6, "exact_assigned_bin": 6, "account_range": 5,
 BASE_SCORE = {"exact_8_digit": 0.97, "exact_assigned_bin": 0.97, "account_range": 0.93, "exact_6_digit": 0.97, "broader_range": 0.76, "root_prefix": 0.76}
 CONFIDENCE_MARGIN = 0.15
 
-RELATION = "struct<id:bigint,name:string,relationship:string,is_primary:boolean,is_current:boolean,confidence:double,effective_from:timestamp>"
+RELATION = "struct<id:bigint,name:string,relationship:string,is_primary:boolean,is_current:boolean,confidence:double,effective_from:timestamp,effective_to:timestamp>"
 
 
 def _pick(strategy: Column, table: dict) -> Column:
@@ -40,6 +43,7 @@ def relations(links: DataFrame, institutions: DataFrame) -> DataFrame:
         "is_current",
         (F.col("confidence_pct") / 100.0).alias("confidence"),
         F.col("effective_from").cast("timestamp").alias("effective_from"),
+        F.col("effective_to").cast("timestamp").alias("effective_to"),
     )
     return named.groupBy("bin_id").agg(F.sort_array(F.collect_list(one)).alias("relations"))
 
@@ -61,35 +65,94 @@ def range_candidates(queries: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def candidates(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataFrame, institutions: DataFrame) -> DataFrame:
-    """Every allocation that contains a query, with specificity, currency and relationships."""
-    held = relations(links, institutions)
-    prefixes = prefix_candidates(queries, bins).join(held, F.col("id") == F.col("bin_id"), "left").drop("bin_id")
-    owner = institutions.select(F.col("id").alias("_i"), F.col("display_name").alias("_name"))
-    owned = range_candidates(queries, ranges).join(ranges.select(F.col("id").alias("_r"), "institution_id"), F.col("id") == F.col("_r")).join(owner, F.col("institution_id") == F.col("_i"), "left")
+def range_cover(ranges: DataFrame, institutions: DataFrame) -> DataFrame:
+    """(start, best, ranges, holders) of each elementary interval.
+
+    ``best`` is the range that wins there, ``ranges`` how many hold. ``holders`` lists the institutions
+    that ranges name there, how many do, and the best current one of them as a claim. A range without a
+    known owner has no relationships.
+    """
+    owner = institutions.select(F.col("id").alias("_i"), F.col("display_name").alias("name"))
+    strategy = F.when(F.col("range_type") == "account_range", "account_range").otherwise("broader_range")
+    own = ranges.join(owner, F.col("institution_id") == F.col("_i"), "left").withColumn("strategy", strategy)
     one = F.struct(
-        F.col("institution_id").cast("bigint").alias("id"), F.col("_name").alias("name"), F.lit("issuer").alias("relationship"), F.lit(True).alias("is_primary"), F.lit(True).alias("is_current"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("timestamp").alias("effective_from")
+        (-_pick(F.col("strategy"), SPECIFICITY)).alias("neg"),
+        (F.col("range_high_int") - F.col("range_low_int") + 1).cast("bigint").alias("span"),
+        (~F.coalesce("is_current", F.lit(True))).alias("past"),
+        F.col("id").cast("bigint").alias("id"),
+        "strategy",
+        F.col("_i").cast("bigint").alias("institution"),
+        "name",
+        (F.col("confidence_pct") / 100.0).alias("confidence"),
+        F.col("effective_from").cast("timestamp").alias("effective_from"),
+        F.col("effective_to").cast("timestamp").alias("effective_to"),
+    )
+    own = own.select("range_low_int", "range_high_int", F.col("_i").cast("bigint").alias("institution"), one.alias("best"))
+    current = F.min(F.when(~F.col("best.past"), F.col("best")))
+    held = cut(
+        own,
+        "range_low_int",
+        "range_high_int",
+        ["institution"],
+        {"_best": F.min("best"), "_claim": current, "_n": F.count(F.lit(1))},
+        {"best": F.min("_best"), "claim": F.min("_claim"), "n": F.sum("_n")},
     )
-    owned = owned.withColumn("relations", F.when(F.col("_name").isNotNull(), F.array(one))).drop("_r", "_i", "_name", "institution_id")
-    both = prefixes.unionByName(owned).withColumn("relations", F.coalesce("relations", F.array().cast(f"array<{RELATION}>")))
-    return both.withColumns(
-        {
-            "specificity": _pick(F.col("strategy"), SPECIFICITY),
-            "is_current": (F.size("relations") == 0) | F.exists("relations", lambda r: r["is_current"]),
-        }
+    holder = F.struct(F.col("institution").alias("id"), "n", "claim")
+    return held.groupBy("start").agg(F.min("best").alias("best"), F.coalesce(F.sum("n"), F.lit(0)).alias("ranges"), F.collect_list(F.when(F.col("institution").isNotNull(), holder)).alias("holders"))
+
+
+def _covered(asked: DataFrame, ranges: DataFrame, institutions: DataFrame, *names: str) -> DataFrame:
+    """(q, *names): what ranges say about each distinct query of ``asked`` (q); several may have one value."""
+    valued = asked.select("q", digits.low(F.col("q")).cast("long").alias("value")).where("value is not null")
+    found = locate(valued.select("value").distinct(), "value", range_cover(ranges, institutions).select("start", *names))
+    return valued.join(found, "value").select("q", *names)
+
+
+def _range_struct(best: Column, relations_too: bool) -> Column:
+    """The best range as a candidate of the same shape as a prefix; ``bin`` is the query."""
+    fields = [best["neg"].alias("neg"), best["span"].alias("span"), best["past"].alias("past"), F.col("q").alias("bin"), F.lit("range").alias("kind"), best["id"].alias("id"), best["strategy"].alias("strategy")]
+    if relations_too:
+        fields.append(_range_relations(best).alias("relations"))
+    return F.when(best.isNotNull(), F.struct(*fields))
+
+
+def _range_relations(best: Column) -> Column:
+    one = F.struct(
+        best["institution"].alias("id"),
+        best["name"].alias("name"),
+        F.lit("issuer").alias("relationship"),
+        F.lit(True).alias("is_primary"),
+        (~best["past"]).alias("is_current"),
+        best["confidence"].alias("confidence"),
+        best["effective_from"].alias("effective_from"),
+        best["effective_to"].alias("effective_to"),
     )
+    return F.when(best["institution"].isNotNull(), F.array(one)).otherwise(F.array().cast(f"array<{RELATION}>"))
 
 
-def _order() -> Column:
-    """Most specific, narrowest, current, then by value and id."""
-    return F.struct(-F.col("specificity"), "span", ~F.col("is_current"), "bin", "kind", "id")
+def _prefix_struct(*more: str) -> Column:
+    """Most specific, narrowest, current, then by value and id: least first."""
+    return F.struct((-_pick(F.col("strategy"), SPECIFICITY)).alias("neg"), "span", (~F.col("is_current")).alias("past"), "bin", "kind", "id", "strategy", *more)
 
 
-def winners(found: DataFrame) -> DataFrame:
-    """One row per answered query: the winning allocation and the number of candidates (K3)."""
-    whole = F.struct("kind", "id", "bin", "strategy", "specificity", "span", "is_current", "relations")
-    best = found.groupBy("query_id", "q").agg(F.min_by(whole, _order()).alias("w"), F.count(F.lit(1)).alias("candidates"))
-    return best.select("query_id", "q", "w.*", "candidates")
+def winners(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataFrame, institutions: DataFrame) -> DataFrame:
+    """One row per answered query: the winning allocation, its relationships, and the number of candidates.
+
+    Relationships are met last, by the winner alone; before, a prefix carries only whether any is current.
+    """
+    asked = queries.select("q").distinct()
+    current = links.groupBy("bin_id").agg(F.max("is_current").alias("_any"))
+    found = prefix_candidates(asked.withColumn("query_id", F.col("q")), bins).join(current, F.col("id") == F.col("bin_id"), "left").withColumn("is_current", F.coalesce("_any", F.lit(True)))
+    own = found.groupBy("q").agg(F.min(_prefix_struct()).alias("_prefix"), F.count(F.lit(1)).alias("_prefixes"))
+    both = own.join(_covered(asked, ranges, institutions, "best", "ranges"), "q", "full")
+    # ``least`` orders structs by their fields and passes over nulls.
+    won = both.withColumn("w", F.least("_prefix", _range_struct(F.col("best"), False))).where("w is not null")
+    won = won.select("q", "w.*", "best", (F.coalesce("_prefixes", F.lit(0)) + F.coalesce("ranges", F.lit(0))).alias("candidates"))
+    held = relations(links, institutions).withColumnRenamed("relations", "_held")
+    won = won.join(held, (F.col("kind") == "prefix") & (F.col("id") == F.col("bin_id")), "left")
+    related = F.when(F.col("kind") == "range", _range_relations(F.col("best"))).otherwise(F.coalesce("_held", F.array().cast(f"array<{RELATION}>")))
+    won = won.select("q", "kind", "id", "bin", "strategy", (-F.col("neg")).alias("specificity"), "span", (~F.col("past")).alias("is_current"), related.alias("relations"), "candidates")
+    return queries.select("query_id", "q").join(won, "q")
 
 
 def is_issuing(relationship: Column) -> Column:
@@ -111,9 +174,10 @@ def ordered_relations(rel: Column) -> Column:
 
 
 def former_issuers(rel: Column) -> Column:
-    """Past issuers, those whose relation began last first."""
+    """Past issuers, the most recently ended first, those without an end last, then by name."""
     own = F.filter(rel, lambda r: (r["relationship"] == "former_issuer") | (is_issuing(r["relationship"]) & ~r["is_current"]))
-    return F.transform(F.reverse(F.array_sort(F.transform(own, lambda r: F.struct(r["effective_from"].alias("a"), r["name"].alias("b"), r.alias("r"))))), lambda x: x["r"])
+    keyed = F.array_sort(F.transform(own, lambda r: F.struct(r["effective_to"].isNull().alias("a"), (-F.unix_micros(r["effective_to"])).alias("b"), r["name"].alias("c"), r["id"].alias("d"), r.alias("r"))))
+    return F.transform(keyed, lambda x: x["r"])
 
 
 def _settle(claims: Column) -> Column:
@@ -127,14 +191,14 @@ def _settle(claims: Column) -> Column:
         gap = F.abs(b["confidence"] - c["confidence"]) >= CONFIDENCE_MARGIN
         rule = (
             F.when(same, "same_institution")
-            .when(b["specificity"] != c["specificity"], "more_specific")
+            .when(b["neg"] != c["neg"], "more_specific")
             .when(dated, "later_effective_date")
             .when(b["span"] != c["span"], "narrower_range")
             .when(gap, "better_evidenced")
             .otherwise("unresolved")
         )
         takes = (
-            F.when(rule == "more_specific", c["specificity"] > b["specificity"])
+            F.when(rule == "more_specific", c["neg"] < b["neg"])
             .when(rule == "later_effective_date", c["effective_from"] > b["effective_from"])
             .when(rule == "narrower_range", c["span"] < b["span"])
             .when(rule == "better_evidenced", c["confidence"] > b["confidence"])
@@ -154,38 +218,65 @@ def _settle(claims: Column) -> Column:
     )
 
 
-def resolve(found: DataFrame) -> DataFrame:
-    """The whole answer per query: winner, relationships with scores, conflicts and confidence (K3-K9).
+def evidence(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataFrame, institutions: DataFrame) -> DataFrame:
+    """(q, prefixes, best, ranges, holders): all that is known of each distinct query that anything answers.
 
-    Candidates of one query are one array; there are at most as many as prefix lengths and covering
-    ranges, so the group is bounded by the data model.
+    ``prefixes`` lists the prefixes that contain it, best first, with their relationships; the rest is
+    :func:`range_cover` of its interval.
     """
-    one = F.struct((-F.col("specificity")).alias("a"), F.col("span").alias("b"), (~F.col("is_current")).alias("c"), F.col("bin").alias("d"), "kind", "id", "strategy", "specificity", "is_current", "relations")
-    rows = found.groupBy("query_id", "q").agg(F.array_sort(F.collect_list(one)).alias("all")).withColumn("w", F.col("all")[0]).withColumn("losers", F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))))
+    asked = queries.select("q").distinct()
+    held = relations(links, institutions)
+    none = F.array().cast(f"array<{RELATION}>")
+    found = prefix_candidates(asked.withColumn("query_id", F.col("q")), bins).join(held, F.col("id") == F.col("bin_id"), "left").withColumn("relations", F.coalesce("relations", none))
+    found = found.withColumn("is_current", (F.size("relations") == 0) | F.exists("relations", lambda r: r["is_current"]))
+    own = found.groupBy("q").agg(F.array_sort(F.collect_list(_prefix_struct("relations"))).alias("prefixes"))
+    both = own.join(_covered(asked, ranges, institutions, "best", "ranges", "holders"), "q", "full").where("prefixes is not null or best is not null")
+    no_holders = F.array().cast(both.schema["holders"].dataType)
+    return both.select("q", F.coalesce("prefixes", F.array().cast(own.schema["prefixes"].dataType)).alias("prefixes"), "best", F.coalesce("ranges", F.lit(0)).alias("ranges"), F.coalesce("holders", no_holders).alias("holders"))
+
+
+def resolve(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataFrame, institutions: DataFrame) -> DataFrame:
+    """The whole answer per query: winner, relationships with scores, conflicts and confidence (K3-K9)."""
+    rows = evidence(queries, bins, ranges, links, institutions)
+    rows = rows.withColumn("w", F.least(F.get("prefixes", F.lit(0)), _range_struct(F.col("best"), True)))
+    by_range = F.col("w.kind") == "range"
+    rows = rows.withColumn("losers", F.when(by_range, F.col("prefixes")).otherwise(F.slice("prefixes", 2, F.greatest(F.size("prefixes") - 1, F.lit(1)))))
     rows = rows.withColumn("issuers", current_issuers(F.col("w.relations")))
-    rivals = F.concat(
-        F.slice("issuers", 2, F.greatest(F.size("issuers") - 1, F.lit(1))),
-        F.flatten(F.transform(F.filter("losers", lambda x: x["specificity"] == F.col("w.specificity")), lambda x: F.filter(current_issuers(x["relations"]), lambda r: ~F.array_contains(F.transform("issuers", lambda i: i["id"]), r["id"])))),
-    )
-    rows = rows.withColumn("rivals", F.array_distinct(F.transform(rivals, lambda r: r["id"])))
 
-    def claim(r: Column, c: Column) -> Column:
-        # Dates of relationships are not part of a claim here: only allocations' own dates are, and they carry none.
-        return F.struct(r["id"].alias("id"), c["specificity"].alias("specificity"), c["b"].alias("span"), F.coalesce(r["confidence"], F.lit(0.5)).alias("confidence"), F.lit(None).cast("timestamp").alias("effective_from"))
+    def claim(neg: Column, span: Column, past: Column, bin: Column, kind: Column, id: Column, place: Column, who: Column, confidence: Column, since: Column) -> Column:
+        return F.struct(
+            neg.alias("neg"), span.alias("span"), past.alias("past"), bin.alias("bin"), kind.alias("kind"), id.alias("allocation"), place.cast("int").alias("place"), who.alias("id"), F.coalesce(confidence, F.lit(0.5)).alias("confidence"), since.alias("effective_from")
+        )
+
+    def of_prefix(c: Column) -> Column:
+        return F.transform(current_issuers(c["relations"]), lambda r, i: claim(c["neg"], c["span"], c["past"], c["bin"], c["kind"], c["id"], i, r["id"], r["confidence"], r["effective_from"]))
 
-    every = F.concat(F.transform("issuers", lambda r: claim(r, F.col("w"))), F.flatten(F.transform("losers", lambda c: F.transform(current_issuers(c["relations"]), lambda r: claim(r, c)))))
-    firsts = F.filter(F.col("every"), lambda c, i: F.forall(F.slice("every", F.lit(1), i), lambda e: e["id"] != c["id"]))
-    rows = rows.withColumn("every", every).withColumn("claims", firsts)
-    rows = rows.withColumn("settled", F.when(F.size("rivals") > 0, _settle(F.col("claims"))))
+    # What the other allocations claim, in their order: each prefix's issuers, and each institution's best current range.
+    by_prefixes = F.flatten(F.transform("losers", of_prefix))
+    by_ranges = F.transform(
+        F.filter("holders", lambda h: h["claim"].isNotNull()),
+        lambda h: claim(h["claim"]["neg"], h["claim"]["span"], h["claim"]["past"], F.col("q"), F.lit("range"), h["claim"]["id"], F.lit(0), h["id"], h["claim"]["confidence"], h["claim"]["effective_from"]),
+    )
+    rows = rows.withColumn("others", F.array_sort(F.concat(by_prefixes, by_ranges))).withColumn("own", of_prefix(F.col("w")))
+    rivals = F.concat(
+        F.slice("issuers", 2, F.greatest(F.size("issuers") - 1, F.lit(1)))["id"],
+        F.filter("others", lambda c: (c["neg"] == F.col("w.neg")) & ~F.array_contains(F.col("issuers")["id"], c["id"]))["id"],
+    )
+    # An allocation without relationships says nothing that could be contradicted.
+    rivals = F.when(F.size("w.relations") > 0, F.array_distinct(rivals)).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("rivals", rivals).withColumn("every", F.concat("own", "others"))
+    firsts = F.filter("every", lambda c, i: F.array_position(F.col("every")["id"], c["id"]) == i + 1)
+    rows = rows.withColumn("settled", F.when(F.size("rivals") > 0, _settle(firsts)))
     # Nothing to settle where the winner's own issuers don't compete: then there is no conflict at all.
     open_rivals = F.when((F.size("rivals") > 0) & (F.col("settled.resolution") == "unresolved"), F.size("rivals")).otherwise(0)
     rows = rows.withColumn("conflicts", open_rivals)
 
     def score(r: Column) -> Column:
-        backing = F.size(F.filter("losers", lambda c: F.exists(c["relations"], lambda x: x["id"] == r["id"])))
+        named = F.coalesce(F.get(F.filter("holders", lambda h: h["id"] == r["id"]), F.lit(0))["n"], F.lit(0))
+        backing = F.size(F.filter("losers", lambda c: F.exists(c["relations"], lambda x: x["id"] == r["id"]))) + named - F.when(by_range, 1).otherwise(0)
         s = _pick(F.col("w.strategy"), BASE_SCORE) + F.least(F.lit(0.04), F.lit(0.02) * backing)
-        s = s - F.when(is_issuing(r["relationship"]), 0.0).otherwise(0.12) - F.when(r["is_current"] & F.col("w.is_current"), 0.0).otherwise(0.10)
-        s = s - F.when(F.col("w.specificity") <= SPECIFICITY["root_prefix"], 0.08).otherwise(0.0)
+        s = s - F.when(is_issuing(r["relationship"]), 0.0).otherwise(0.12) - F.when(r["is_current"] & ~F.col("w.past"), 0.0).otherwise(0.10)
+        s = s - F.when(-F.col("w.neg") <= SPECIFICITY["root_prefix"], 0.08).otherwise(0.0)
         s = F.when(r["confidence"].isNotNull(), F.least(s, F.greatest(F.lit(0.05), r["confidence"]))).otherwise(s)
         return F.greatest(F.lit(0.0), F.least(F.lit(0.99), s))
 
@@ -201,14 +292,13 @@ def resolve(found: DataFrame) -> DataFrame:
         .when(best > 0, "low")
         .otherwise("unknown")
     )
-    return rows.select(
-        "query_id",
+    done = rows.select(
         "q",
         F.col("w.kind").alias("kind"),
         F.col("w.id").alias("id"),
-        F.col("w.d").alias("bin"),
+        F.col("w.bin").alias("bin"),
         F.col("w.strategy").alias("strategy"),
-        F.col("w.specificity").alias("specificity"),
+        (-F.col("w.neg")).alias("specificity"),
         F.coalesce(best, F.lit(0.0)).alias("score"),
         level.alias("level"),
         "rivals",
@@ -216,8 +306,19 @@ def resolve(found: DataFrame) -> DataFrame:
         F.col("settled.resolution").alias("resolution"),
         F.col("settled.winner").alias("settled_for"),
         "relationships",
-        F.size("losers").alias("others"),
+        (F.size("prefixes") + F.col("ranges") - 1).alias("others"),
     )
+    return queries.select("query_id", "q").join(done, "q")
+
+
+def agreement(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataFrame, institutions: DataFrame) -> DataFrame:
+    """(query_id, institution_id, candidates): how many allocations that contain a query name each institution."""
+    rows = evidence(queries, bins, ranges, links, institutions)
+    one = F.lit(1).cast("bigint")
+    by_prefixes = F.flatten(F.transform("prefixes", lambda c: F.transform(F.array_distinct(c["relations"]["id"]), lambda i: F.struct(i.alias("id"), one.alias("n")))))
+    each = rows.select("q", F.explode(F.concat(by_prefixes, F.transform("holders", lambda h: F.struct(h["id"].alias("id"), h["n"].alias("n"))))).alias("e"))
+    counted = each.groupBy("q", F.col("e.id").alias("institution_id")).agg(F.sum("e.n").alias("candidates"))
+    return queries.select("query_id", "q").join(counted, "q").drop("q")
 
 
 def match_label(strategy: Column, length: Column) -> Column:

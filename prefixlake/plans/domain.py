@@ -45,11 +45,13 @@ VIEWS: dict[str, str] = {
                cast(50 + (l_partkey + l_suppkey) % 50 as int) as confidence_pct
         from {lineitem} group by l_partkey, l_suppkey""",
     "bx_ranges": """
-        select id, low_int as range_low_int, low_int + width - 1 as range_high_int, width - 1 as span, range_type, institution_id
+        select id, low_int as range_low_int, low_int + width - 1 as range_high_int, width - 1 as span, range_type, institution_id, is_current, effective_from, effective_to, confidence_pct
         from (select o_orderkey as id, cast((400000 + o_custkey) * 100 + (o_orderkey % 5) * 10 as int) as low_int,
                 case substr(o_orderpriority, 1, 1) when '1' then 10 when '2' then 10 when '3' then 100 else 1000 end as width,
                 case when substr(o_orderpriority, 1, 1) <= '2' then 'account_range' else 'issuer_range' end as range_type,
-                o_custkey % 10 as institution_id
+                case when o_orderkey % 7 = 0 then (o_custkey + 1) % 10 else o_custkey % 10 end as institution_id,
+                o_orderkey % 4 <> 1 as is_current, case when o_orderkey % 3 <> 0 then o_orderdate end as effective_from, case when o_orderkey % 4 = 1 then o_orderdate end as effective_to,
+                cast(case when o_orderkey % 5 <> 0 then 40 + o_orderkey % 60 end as int) as confidence_pct
               from {orders}) t""",
     "bx_queries": """
         select o_orderkey as query_id, case when o_orderkey % 3 = 0 then cast(400000 + o_custkey as string)

@@ -10,7 +10,7 @@ from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
 
 _CANDIDATES = """
-  rel as (select l.bin_id, l.institution_id, i.display_name, l.relationship_type, l.is_primary, l.is_current, l.confidence_pct from bx_links l join bx_institutions i on i.id = l.institution_id),
+  rel as (select l.bin_id, l.institution_id, i.display_name, l.relationship_type, l.is_primary, l.is_current, l.confidence_pct, l.effective_from from bx_links l join bx_institutions i on i.id = l.institution_id),
   cand as (
     select q.query_id, q.q, 'prefix' as kind, b.id, b.bin,
            case when length(b.bin) <> length(q.q) then 'root_prefix' when length(b.bin) >= 8 then 'exact_8_digit' when length(b.bin) = 6 then 'exact_6_digit' else 'exact_assigned_bin' end as strategy,
@@ -20,7 +20,7 @@ _CANDIDATES = """
       on b.span_low <= cast(rpad(substr(q.q, 1, 8), 8, '0') as int) and b.span_high >= cast(rpad(substr(q.q, 1, 8), 8, '0') as int) and b.prefix_length <= length(q.q)
     union all
     select q.query_id, q.q, 'range', r.id, q.q, case when r.range_type = 'account_range' then 'account_range' else 'broader_range' end,
-           r.range_high_int - r.range_low_int + 1, true
+           r.range_high_int - r.range_low_int + 1, r.is_current
     from bx_queries q join bx_ranges r on cast(rpad(substr(q.q, 1, 8), 8, '0') as int) between r.range_low_int and r.range_high_int
   ),
   ranked as (
@@ -31,8 +31,42 @@ _CANDIDATES = """
   )"""
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.candidates(*(frame(spark, sf_dir, n) for n in ("bx_queries", "bx_bins", "bx_ranges", "bx_links", "bx_institutions")))
+#: Every relationship of every candidate: those of prefixes, and a range's owner.
+_NAMED = """
+  named as (
+    select b.query_id, b.rn, b.kind, b.id, b.specificity, b.span, b.strategy, b.is_current, r.institution_id, r.display_name, r.relationship_type, r.is_primary, r.is_current as rel_current, r.confidence_pct / 100.0e0 as confidence, r.effective_from
+    from best b join rel r on b.kind = 'prefix' and r.bin_id = b.id
+    union all
+    select b.query_id, b.rn, b.kind, b.id, b.specificity, b.span, b.strategy, b.is_current, x.institution_id, i.display_name, 'issuer', true, x.is_current, x.confidence_pct / 100.0e0, x.effective_from
+    from best b join bx_ranges x on b.kind = 'range' and x.id = b.id join bx_institutions i on i.id = x.institution_id)"""
+
+_SCORED = """
+  backing as (
+    select w.query_id, w.institution_id, count(distinct l.rn) as n from named w join named l on l.query_id = w.query_id and l.rn > 1 and l.institution_id = w.institution_id where w.rn = 1 group by 1, 2),
+  scored as (
+    select w.query_id, w.institution_id,
+      (case w.strategy when 'account_range' then 0.93e0 when 'broader_range' then 0.76e0 when 'root_prefix' then 0.76e0 else 0.97e0 end
+        + least(0.04e0, 0.02e0 * coalesce(b.n, 0)) - case when w.relationship_type in ('issuer', 'program_issuer') then 0 else 0.12e0 end
+        - case when w.rel_current and w.is_current then 0 else 0.10e0 end - case when w.specificity <= 2 then 0.08e0 else 0 end) as s, w.confidence
+    from named w left join backing b on b.query_id = w.query_id and b.institution_id = w.institution_id where w.rn = 1),
+  total as (
+    select q.query_id, count(s.institution_id) as relationships,
+      coalesce(max(case when s.s is null then 0 else greatest(0, least(0.99e0, case when s.confidence is null then s.s else least(s.s, greatest(0.05e0, s.confidence)) end)) end), 0) as score
+    from best q left join scored s on s.query_id = q.query_id where q.rn = 1 group by q.query_id)"""
+
+#: Current issuers of every candidate, primary first, and those that contradict the winner's first one.
+_RIVAL = """
+  claimed as (
+    select *, row_number() over (partition by query_id, rn order by is_primary desc, display_name, institution_id) as place from named where rel_current and relationship_type in ('issuer', 'program_issuer')),
+  rival as (
+    select l.query_id, l.institution_id, min(l.rn * 1000 + l.place) as pos from claimed l join best w on w.query_id = l.query_id and w.rn = 1
+    where exists (select 1 from named n where n.query_id = l.query_id and n.rn = 1)
+      and (l.rn = 1 and l.place > 1 or l.rn > 1 and l.specificity = w.specificity and not exists (select 1 from claimed o where o.query_id = l.query_id and o.rn = 1 and o.institution_id = l.institution_id))
+    group by 1, 2)"""
+
+
+def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    return tuple(frame(spark, sf_dir, n) for n in ("bx_queries", "bx_bins", "bx_ranges", "bx_links", "bx_institutions"))
 
 
 @query(
@@ -67,12 +101,12 @@ def lookup_range_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     with {_CANDIDATES}
     select query_id, q, kind, cast(id as bigint) as id, bin, strategy, specificity, cast(span as bigint) as span, is_current, candidates, 
            coalesce(case when kind = 'prefix' then (select string_agg(display_name, '|' order by display_name) from rel r where r.bin_id = best.id and r.is_current and r.relationship_type in ('issuer', 'program_issuer'))
-                else (select i.display_name from bx_ranges x join bx_institutions i on i.id = x.institution_id where x.id = best.id) end, '') as issuers
+                else (select i.display_name from bx_ranges x join bx_institutions i on i.id = x.institution_id where x.id = best.id and x.is_current) end, '') as issuers
     from best where rn = 1"""),
 )
 def lookup_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The winning allocation of each query and its current issuers."""
-    won = lookup.winners(_found(spark, sf_dir))
+    won = lookup.winners(*_views(spark, sf_dir))
     names = F.array_join(F.array_sort(F.transform(lookup.current_issuers(F.col("relations")), lambda r: r["name"])), "|")
     return won.withColumn("issuers", names).drop("relations")
 
@@ -90,60 +124,46 @@ def lookup_more_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.more_specific(frame(spark, sf_dir, "bx_queries"), frame(spark, sf_dir, "bx_bins"))
 
 
-@query(
-    "lookup_confidence",
-    oracle(f"""
-    with {_CANDIDATES},
-    named as (
-      select query_id, b.rn, b.kind, b.id, b.specificity, r.institution_id, r.relationship_type, r.is_current as rel_current, r.confidence_pct / 100.0e0 as confidence, b.is_current, b.strategy
-      from best b join rel r on b.kind = 'prefix' and r.bin_id = b.id
-      union all
-      select query_id, b.rn, b.kind, b.id, b.specificity, x.institution_id, 'issuer', true, null, b.is_current, b.strategy
-      from best b join bx_ranges x on b.kind = 'range' and x.id = b.id join bx_institutions i on i.id = x.institution_id),
-    backing as (
-      select w.query_id, w.institution_id, count(distinct l.rn) as n from named w join named l on l.query_id = w.query_id and l.rn > 1 and l.institution_id = w.institution_id where w.rn = 1 group by 1, 2),
-    scored as (
-      select w.query_id, w.institution_id,
-        (case w.strategy when 'account_range' then 0.93e0 when 'broader_range' then 0.76e0 when 'root_prefix' then 0.76e0 else 0.97e0 end
-          + least(0.04e0, 0.02e0 * coalesce(b.n, 0)) - case when w.relationship_type in ('issuer', 'program_issuer') then 0 else 0.12e0 end
-          - case when w.rel_current and w.is_current then 0 else 0.10e0 end - case when w.specificity <= 2 then 0.08e0 else 0 end) as s, w.confidence
-      from named w left join backing b on b.query_id = w.query_id and b.institution_id = w.institution_id where w.rn = 1)
-    select q.query_id, cast(round(coalesce(max(case when s.s is null then 0 else greatest(0, least(0.99e0, case when s.confidence is null then s.s else least(s.s, greatest(0.05e0, s.confidence)) end)) end), 0) * 10000) as bigint) as score_e4,
-           count(s.institution_id) as relationships
-    from best q left join scored s on s.query_id = q.query_id where q.rn = 1 group by q.query_id"""),
-)
+@query("lookup_confidence", oracle(f"with {_CANDIDATES}, {_NAMED}, {_SCORED} select query_id, cast(round(score * 10000) as bigint) as score_e4, relationships from total"))
 def lookup_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K7-K9: how well the winner's best relationship is supported, in ten-thousandths."""
-    done = lookup.resolve(_found(spark, sf_dir))
+    done = lookup.resolve(*_views(spark, sf_dir))
     return done.select("query_id", F.round(F.col("score") * 10000).cast("bigint").alias("score_e4"), F.size("relationships").cast("bigint").alias("relationships"))
 
 
-@query("lookup_conflicts")
-def lookup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5, K6: rival institutions of each winner and how their claims settle (an ordered fold: no SQL oracle)."""
-    done = lookup.resolve(_found(spark, sf_dir))
-    return done.select("query_id", "level", F.array_join(F.transform("rivals", lambda r: r.cast("string")), ",").alias("rivals"), "conflicts", "resolution", "settled_for")
-
-
 @query(
-    "lookup_rivals",
+    "lookup_conflicts",
     oracle(f"""
-    with {_CANDIDATES},
-    named as (
-      select query_id, b.rn, b.specificity, r.institution_id, r.is_primary, r.display_name from best b join rel r on b.kind = 'prefix' and r.bin_id = b.id where r.is_current and r.relationship_type in ('issuer', 'program_issuer')
+    with recursive {_CANDIDATES}, {_NAMED}, {_SCORED}, {_RIVAL},
+    rivals as (select query_id, string_agg(cast(institution_id as varchar), ',' order by pos) as rivals, count(*) as n from rival group by 1),
+    firsts as (select *, row_number() over (partition by query_id, institution_id order by rn, place) as seen from claimed where query_id in (select query_id from rivals)),
+    claims as (select query_id, institution_id, specificity, span, coalesce(confidence, 0.5e0) as confidence, effective_from, row_number() over (partition by query_id order by rn, place) as k from firsts where seen = 1),
+    fold as (
+      select query_id, k, institution_id, specificity, span, confidence, effective_from, 'unresolved' as rule from claims where k = 1
       union all
-      select query_id, b.rn, b.specificity, x.institution_id, true, i.display_name from best b join bx_ranges x on b.kind = 'range' and x.id = b.id join bx_institutions i on i.id = x.institution_id),
-    own as (select *, row_number() over (partition by query_id order by is_primary desc, display_name) as k from named where rn = 1),
-    rival as (
-      select query_id, institution_id from own where k > 1
-      union
-      select l.query_id, l.institution_id from named l join best w on w.query_id = l.query_id and w.rn = 1 and w.specificity = l.specificity
-        where l.rn > 1 and exists (select 1 from rel x where w.kind = 'range' or x.bin_id = w.id) and not exists (select 1 from own o where o.query_id = l.query_id and o.institution_id = l.institution_id))
-    select query_id, count(*) as rivals from rival group by query_id"""),
+      select query_id, k, case when takes then c_id else institution_id end, case when takes then c_specificity else specificity end, case when takes then c_span else span end,
+             case when takes then c_confidence else confidence end, case when takes then c_from else effective_from end, rule
+      from (select *, case rule when 'more_specific' then c_specificity > specificity when 'later_effective_date' then c_from > effective_from when 'narrower_range' then c_span < span when 'better_evidenced' then c_confidence > confidence else false end as takes
+            from (select f.query_id, c.k, f.institution_id, f.specificity, f.span, f.confidence, f.effective_from, c.institution_id as c_id, c.specificity as c_specificity, c.span as c_span, c.confidence as c_confidence, c.effective_from as c_from,
+                         case when c.specificity <> f.specificity then 'more_specific' when c.effective_from <> f.effective_from then 'later_effective_date' when c.span <> f.span then 'narrower_range'
+                              when abs(c.confidence - f.confidence) >= 0.15e0 then 'better_evidenced' else 'unresolved' end as rule
+                  from fold f join claims c on c.query_id = f.query_id and c.k = f.k + 1 where f.k = 1 or f.rule <> 'unresolved') x) y),
+    ended as (select query_id, arg_max(rule, k) as rule, arg_max(institution_id, k) as institution_id, max(k) as k from fold group by 1),
+    settled as (select query_id, case when k = 1 then 'same_institution' else rule end as resolution, case when k = 1 or rule <> 'unresolved' then institution_id end as settled_for from ended)
+    select t.query_id, coalesce(r.rivals, '') as rivals, cast(case when s.resolution = 'unresolved' then r.n else 0 end as int) as conflicts, s.resolution, s.settled_for,
+           case when t.relationships = 0 then 'unknown' when s.resolution = 'unresolved' then 'conflicted' when score >= 0.95 then 'verified' when score >= 0.82 then 'high' when score >= 0.60 then 'medium' when score > 0 then 'low' else 'unknown' end as level
+    from total t left join rivals r on r.query_id = t.query_id left join settled s on s.query_id = t.query_id"""),
 )
+def lookup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5, K6: rival institutions of each winner, how their claims settle, and the level that follows."""
+    done = lookup.resolve(*_views(spark, sf_dir))
+    return done.select("query_id", "level", F.array_join(F.transform("rivals", lambda r: r.cast("string")), ",").alias("rivals"), "conflicts", "resolution", "settled_for")
+
+
+@query("lookup_rivals", oracle(f"with {_CANDIDATES}, {_NAMED}, {_RIVAL} select query_id, count(*) as rivals from rival group by query_id"))
 def lookup_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: how many institutions contradict the winner's account of who issues."""
-    done = lookup.resolve(_found(spark, sf_dir)).where((F.size("rivals") > 0) & (F.size("relationships") > 0))
+    done = lookup.resolve(*_views(spark, sf_dir)).where(F.size("rivals") > 0)
     return done.select("query_id", F.size("rivals").cast("bigint").alias("rivals"))
 
 
@@ -156,7 +176,7 @@ def lookup_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lookup_match_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers by how they were reached."""
-    won = lookup.winners(_found(spark, sf_dir))
+    won = lookup.winners(*_views(spark, sf_dir))
     return won.groupBy(lookup.match_label(F.col("strategy"), F.length("bin")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -171,8 +191,7 @@ def lookup_match_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agreement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidate allocations name each institution."""
-    each = _found(spark, sf_dir).select("query_id", F.explode("relations").alias("r"))
-    return each.groupBy("query_id", F.col("r.id").alias("institution_id")).agg(F.count(F.lit(1)).alias("candidates"))
+    return lookup.agreement(*_views(spark, sf_dir))
 
 
 @query(
@@ -189,10 +208,10 @@ def current_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "former_issuers",
-    oracle("""select l.bin_id, string_agg(i.display_name, '|' order by l.effective_from desc, i.display_name desc) as issuers from bx_links l join bx_institutions i on i.id = l.institution_id
+    oracle("""select l.bin_id, string_agg(i.display_name, '|' order by l.effective_to is null, l.effective_to desc, i.display_name) as issuers from bx_links l join bx_institutions i on i.id = l.institution_id
     where l.relationship_type = 'former_issuer' or not l.is_current group by l.bin_id"""),
 )
 def former_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Former issuers of each prefix, latest first."""
+    """Former issuers of each prefix, the last to end first."""
     held = lookup.relations(frame(spark, sf_dir, "bx_links"), frame(spark, sf_dir, "bx_institutions"))
     return held.select("bin_id", F.array_join(F.transform(lookup.former_issuers(F.col("relations")), lambda r: r["name"]), "|").alias("issuers")).where("issuers <> ''")

@@ -32,10 +32,11 @@ def answers(spark):
     def ask(*queries):
         inst = spark.createDataFrame(list(INSTITUTIONS.items()), "id long, display_name string")
         bins = spark.createDataFrame(list(BINS.items()), "id long, bin string").withColumns({"span_low": low(F.col("bin")), "span_high": high(F.col("bin"))})
-        links = spark.createDataFrame([(*x[:6], dt.datetime.fromisoformat(x[6])) for x in LINKS], "bin_id long, institution_id long, relationship_type string, is_current boolean, is_primary boolean, confidence_pct int, effective_from timestamp")
+        links = spark.createDataFrame([(*x[:6], dt.datetime.fromisoformat(x[6])) for x in LINKS], "bin_id long, institution_id long, relationship_type string, is_current boolean, is_primary boolean, confidence_pct int, effective_from timestamp").withColumn("effective_to", F.lit(None).cast("timestamp"))
         ranges = spark.createDataFrame(RANGES, "id long, range_low_int int, range_high_int int, range_type string, institution_id long")
+        ranges = ranges.selectExpr("*", "true as is_current", "cast(null as timestamp) as effective_from", "cast(null as timestamp) as effective_to", "cast(null as int) as confidence_pct")
         asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, q string")
-        return {r["q"]: r for r in lookup.resolve(lookup.candidates(asked, bins, ranges, links, inst)).collect()}
+        return {r["q"]: r for r in lookup.resolve(asked, bins, ranges, links, inst).collect()}
 
     return ask
 
