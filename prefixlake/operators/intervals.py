@@ -21,14 +21,19 @@ _LEVEL = 10**9
 
 def _run(start: Column, stop: Column, level: int) -> Column:
     """Keys of the blocks from ``start`` up to before ``stop`` at one power of ten."""
-    return F.when(start < stop, F.transform(F.sequence(start, stop - 1), lambda b: b + level * _LEVEL)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(start < stop, F.sequence(start + level * _LEVEL, stop - 1 + level * _LEVEL)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _div(a: Column, k: int) -> Column:
+    """Whole tens to the power ``k`` in ``a``."""
+    return F.call_function("div", a, F.lit(10**k).cast("long"))
 
 
 def blocks(low: Column, high: Column) -> Column:
     """Keys of the largest whole decimal blocks that make up ``low`` to ``high``, both included."""
     low, stop = low.cast("long"), high.cast("long") + 1
-    first = [F.floor((low + (10**k - 1)) / 10**k) for k in range(DIGITS + 1)]
-    last = [F.floor(stop / 10**k) for k in range(DIGITS + 1)]
+    first = [_div(low + (10**k - 1), k) for k in range(DIGITS + 1)]
+    last = [_div(stop, k) for k in range(DIGITS + 1)]
     parts = [_run(first[DIGITS], last[DIGITS], DIGITS)]
     for k in range(DIGITS):
         whole = first[k + 1] < last[k + 1]
@@ -39,7 +44,7 @@ def blocks(low: Column, high: Column) -> Column:
 
 def above(value: Column) -> Column:
     """Keys of the blocks that contain a value, one a power of ten."""
-    return F.array(*[F.floor(value.cast("long") / 10**k) + k * _LEVEL for k in range(DIGITS + 1)])
+    return F.array(*[_div(value.cast("long"), k) + k * _LEVEL for k in range(DIGITS + 1)])
 
 
 def cut(ranges: DataFrame, low: str, high: str, keys: list[str], per_block: dict[str, Column], per_interval: dict[str, Column]) -> DataFrame:
@@ -63,6 +68,6 @@ def locate(values: DataFrame, value: str, intervals: DataFrame) -> DataFrame:
     names = [c for c in intervals.columns if c != "start"]
     cuts = intervals.select(F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(values.schema[value].dataType).alias(value), F.struct("start", *names).alias("_found"))
     asked = values.select(F.col(value).cast("long").alias("_at"), F.lit(1).alias("_kind"), value, F.lit(None).cast(cuts.schema["_found"].dataType).alias("_found"))
-    order = Window.partitionBy(F.floor(F.col("_at") / BUCKET)).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(F.call_function("div", F.col("_at"), F.lit(BUCKET))).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     both = cuts.unionByName(asked).withColumn("_found", F.last("_found", ignorenulls=True).over(order))
     return both.where("_kind = 1").select(value, "_found.*")

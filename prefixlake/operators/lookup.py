@@ -65,12 +65,12 @@ def range_candidates(queries: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def range_cover(ranges: DataFrame, institutions: DataFrame) -> DataFrame:
+def range_cover(ranges: DataFrame, institutions: DataFrame, holders: bool = True) -> DataFrame:
     """(start, best, ranges, holders) of each elementary interval.
 
-    ``best`` is the range that wins there, ``ranges`` how many hold. ``holders`` lists the institutions
-    that ranges name there, how many do, and the best current one of them as a claim. A range without a
-    known owner has no relationships.
+    ``best`` is the range that wins there, ``ranges`` how many hold. ``holders``, if asked for, lists the
+    institutions that ranges name there, how many do, and the best current one of them as a claim. A
+    range without a known owner has no relationships.
     """
     owner = institutions.select(F.col("id").alias("_i"), F.col("display_name").alias("name"))
     strategy = F.when(F.col("range_type") == "account_range", "account_range").otherwise("broader_range")
@@ -88,6 +88,8 @@ def range_cover(ranges: DataFrame, institutions: DataFrame) -> DataFrame:
         F.col("effective_to").cast("timestamp").alias("effective_to"),
     )
     own = own.select("range_low_int", "range_high_int", F.col("_i").cast("bigint").alias("institution"), one.alias("best"))
+    if not holders:
+        return cut(own, "range_low_int", "range_high_int", [], {"_best": F.min("best"), "_n": F.count(F.lit(1))}, {"best": F.min("_best"), "ranges": F.coalesce(F.sum("_n"), F.lit(0))})
     current = F.min(F.when(~F.col("best.past"), F.col("best")))
     held = cut(
         own,
@@ -104,7 +106,7 @@ def range_cover(ranges: DataFrame, institutions: DataFrame) -> DataFrame:
 def _covered(asked: DataFrame, ranges: DataFrame, institutions: DataFrame, *names: str) -> DataFrame:
     """(q, *names): what ranges say about each distinct query of ``asked`` (q); several may have one value."""
     valued = asked.select("q", digits.low(F.col("q")).cast("long").alias("value")).where("value is not null")
-    found = locate(valued.select("value").distinct(), "value", range_cover(ranges, institutions).select("start", *names))
+    found = locate(valued.select("value").distinct(), "value", range_cover(ranges, institutions, "holders" in names).select("start", *names))
     return valued.join(found, "value").select("q", *names)
 
 
@@ -266,7 +268,8 @@ def resolve(queries: DataFrame, bins: DataFrame, ranges: DataFrame, links: DataF
     rivals = F.when(F.size("w.relations") > 0, F.array_distinct(rivals)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("rivals", rivals).withColumn("every", F.concat("own", "others"))
     firsts = F.filter("every", lambda c, i: F.array_position(F.col("every")["id"], c["id"]) == i + 1)
-    rows = rows.withColumn("settled", F.when(F.size("rivals") > 0, _settle(firsts)))
+    rows = rows.withColumn("claims", F.when(F.size("rivals") > 0, firsts))
+    rows = rows.withColumn("settled", F.when(F.size("rivals") > 0, _settle(F.col("claims"))))
     # Nothing to settle where the winner's own issuers don't compete: then there is no conflict at all.
     open_rivals = F.when((F.size("rivals") > 0) & (F.col("settled.resolution") == "unresolved"), F.size("rivals")).otherwise(0)
     rows = rows.withColumn("conflicts", open_rivals)
