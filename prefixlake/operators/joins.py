@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefixlake.session import checkpointed
+
 
 def prefix_join(queries: DataFrame, prefixes: DataFrame, q: str = "q", bin: str = "bin") -> DataFrame:
     """Every prefix that contains a query: no longer than it, and equal to its head over eight digits.
@@ -42,15 +46,19 @@ def range_join(values: DataFrame, ranges: DataFrame, value: Column, low: str, hi
     return asked.join(held, on).drop("_level", "_size", "_bucket", "_value", "_at", "_in")
 
 
-def expand_graph(roots: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
-    """(root, id, level): what each root reaches over (parent, child) edges in at most ``depth`` steps.
+def expand_graph(roots: DataFrame, edges: DataFrame, depth: int | None = 4) -> DataFrame:
+    """(root, id, level): what each root reaches over (parent, child) edges in at most ``depth`` steps.
 
-    Each level keeps only nodes its root has not met, so cycles end.
+    Semi-naive: a level joins only what the level before found, and keeps only nodes its root has not
+    met, so cycles end. Every frontier is checkpointed, so a level's plan is one join and one anti-join
+    whatever the depth; ``None`` goes on until nothing new is found.
     """
-    found = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("level"))
-    frontier = found
-    for level in range(1, depth + 1):
+    edges = checkpointed(edges.select("parent", "child").distinct())
+    frontier = checkpointed(roots.select("root", F.col("root").alias("id")).distinct())
+    found, levels = frontier, [frontier.withColumn("level", F.lit(0))]
+    while (depth is None or len(levels) <= depth) and not frontier.isEmpty():
         step = frontier.join(edges, frontier["id"] == edges["parent"]).select("root", F.col("child").alias("id")).distinct()
-        frontier = step.join(found.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(level))
+        frontier = checkpointed(step.join(found, ["root", "id"], "left_anti"))
+        levels.append(frontier.withColumn("level", F.lit(len(levels))))
         found = found.unionByName(frontier)
-    return found
+    return reduce(DataFrame.unionByName, levels)
