@@ -52,9 +52,11 @@ def build(records: DataFrame, countries: DataFrame) -> dict[str, DataFrame]:
 def rebuild(held: Releases, version: str, at: str, records: DataFrame, countries: DataFrame, allow_shrink: bool = False) -> DataFrame:
     """Build, write, verify and publish a release; returns its manifest.
 
-    A release that shrank to under half the live one, or that doesn't verify, raises and is not
-    published: the live one stays as it was, and :meth:`Releases.rollback` undoes a published one.
+    A release that shrank to under half the live one, that doesn't verify, or that was overtaken by
+    another publisher while it was built, raises and is not published: the live one stays as it was, and
+    :meth:`Releases.rollback` undoes a published one.
     """
+    seen = held.seen()
     held.write(version, build(records, countries), allow_shrink=allow_shrink)
-    held.publish(version, at)
+    held.publish(version, at, seen)
     return held.manifest(version)

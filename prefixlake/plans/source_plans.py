@@ -12,7 +12,7 @@ from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
 from prefixlake.session import shared_folder
 from prefixlake.sources import lists, readers, sinks
-from prefixlake.sources.release import Releases
+from prefixlake.sources.release import ReleaseConflict, Releases
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -95,3 +95,29 @@ def release_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         held.write(version, tables)
         held.publish(version, at)
     return held.info().select("version", "tables", F.col("rows").cast("long").alias("rows"), "healthy")
+
+
+@query(
+    "release_race",
+    oracle("""select number, action, version, rows, conflict from (values (1, 'publish', '1', 0, ''), (2, 'publish', '2', 1, 'release 3'), (3, 'rollback', '1', 0, '')) t(number, action, version, kind, conflict),
+    lateral (select case when kind = 0 then (select count(*) from bx_bins) else (select count(*) from bx_bins where status = 'active') end as rows) r"""),
+)
+def release_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishers build on the same release, one wins; what each entry of the log made live."""
+    held = Releases(spark, _place(spark, "race"))
+    bins = frame(spark, sf_dir, "bx_bins")
+    held.write("1", {"bins": bins})
+    held.publish("1", "2024-01-01")
+    seen = held.seen()
+    for version, status in (("2", "active"), ("3", "retired")):
+        held.write(version, {"bins": bins.where(F.col("status") == status)}, allow_shrink=True)
+    held.publish("2", "2024-02-01", seen)
+    try:
+        held.publish("3", "2024-02-01", seen)
+        lost = None
+    except ReleaseConflict as error:
+        lost = str(error).split(":")[0]
+    held.rollback("2024-03-01")
+    counted = held.manifest("1").unionByName(held.manifest("2")).where("table = 'bins'").select("version", "rows")
+    entries = held.log().select(F.col("number").cast("int").alias("number"), "action", "version", F.when(F.col("number") == seen + 1, F.lit(lost)).otherwise("").alias("conflict"))
+    return entries.join(counted, "version")
