@@ -1,8 +1,9 @@
 """Published prefix lists: commented, multi-section, self-describing text files.
 
 A list is read as lines with their numbers; what a line is (comment, directive, header, data) is a
-column, and the header in force is carried forward by a window inside each file. Files are the unit
-of parallelism, as a section's meaning depends on the lines above it.
+column. A line's meaning depends on those above it, yet a file is read by as many tasks as it has splits:
+each split carries its own directives and headers forward, and tells in one row what it hands on; those
+rows, one a split, are combined along the file, and every split gets what came before it.
 """
 
 from __future__ import annotations
@@ -59,16 +60,34 @@ def read_lists(spark: SparkSession, path: str) -> DataFrame:
     ``values`` maps canonical names to the first non-empty cell; ``original`` keeps the row under its
     own headers. ``unknown`` lists headers that no list may have: callers refuse such sections.
     """
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    lines = text.where("trim(text) <> ''").withColumn("line", F.col("line") + 1)
-    own = Window.partitionBy("file").orderBy("line")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    split, key = ["_path", "_block"], ["_path", "_block", "_id"]
+    read = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r$", "").alias("text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    # The id orders the lines of a split, which one task reads; it means nothing between splits.
+    lines = read.withColumn("_id", F.monotonically_increasing_id())
+    inside = Window.partitionBy(*split).orderBy("_id")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     comment = F.ltrim(F.regexp_replace("text", "^﻿", "")).startswith("#")
     said = F.when(comment & F.col("text").rlike("(?i)" + DIRECTIVE), F.struct(_canonical(F.regexp_extract("text", "(?i)" + DIRECTIVE, 1)).alias("k"), F.lower(F.regexp_extract("text", "(?i)" + DIRECTIVE, 2)).alias("v")))
-    lines = lines.withColumn("_said", said).withColumn("_content", ~comment)
-    lines = lines.withColumn("_rules", F.collect_list("_said").over(upto)).where("_content")
-    first = F.first("text").over(own)
-    lines = lines.withColumn("_d", _sniffed(first)).withColumn("_n", F.row_number().over(own))
+    lines = lines.withColumn("_said", said).withColumn("_content", ~comment & (F.trim("text") != ""))
+    lines = lines.withColumns({"_own_rules": F.collect_list("_said").over(upto), "_row": F.row_number().over(inside), "_own_n": F.count_if("_content").over(upto)})
+    handed = lines.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.count_if("_content").alias("_contents"),
+        F.min_by("text", F.when(F.col("_content"), F.col("_id"))).alias("_first"),
+        F.array_sort(F.collect_list(F.when(F.col("_said").isNotNull(), F.struct("_id", "_said")))).alias("_rules_here"),
+    )
+    handed = handed.select(
+        *split,
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines_before"),
+        F.coalesce(F.sum("_contents").over(before), F.lit(0)).alias("_contents_before"),
+        F.flatten(F.collect_list(F.col("_rules_here")["_said"]).over(before)).alias("_rules_before"),
+        F.first("_first", ignorenulls=True).over(whole).alias("_first"),
+    )
+    lines = lines.where("_content").join(handed, split)
+    lines = lines.withColumn("line", (F.col("_lines_before") + F.col("_row")).cast("int")).withColumn("_n", F.col("_contents_before") + F.col("_own_n"))
+    lines = lines.withColumn("_rules", F.concat("_rules_before", "_own_rules")).withColumn("_d", _sniffed(F.col("_first")))
     cells = _cells(F.col("text"), F.col("_d"))
     lines = lines.withColumn("cells", F.when(F.size(cells) > 1, cells).otherwise(_cells(F.col("text"), _sniffed(F.col("text")))))
     meanings = F.filter("_rules", lambda r: ~r["k"].isin("confidence", "pad_short_bins"))
@@ -84,7 +103,12 @@ def read_lists(spark: SparkSession, path: str) -> DataFrame:
     digits = F.exists("cells", lambda c: F.regexp_replace(c, "[ -]", "").rlike("^[0-9]{3,}$"))
     header = (F.col("_n") == 1) | (~digits & (known >= 2) & (known * 2 >= F.size(filled)))
     lines = lines.withColumn("_head", F.when(header, F.struct(F.col("cells").alias("raw"), names.alias("names"))))
-    lines = lines.withColumn("_in", F.last("_head", ignorenulls=True).over(upto)).where("_head is null")
+    lines = lines.select("file", "line", "cells", "_rules", "_head", *key)
+    # The same once more for headers, whose names need the directives before them.
+    handed = lines.groupBy(*split).agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("_id"))).alias("_last_head"))
+    handed = handed.select(*split, F.last("_last_head", ignorenulls=True).over(before).alias("_head_before"))
+    lines = lines.withColumn("_own_head", F.last("_head", ignorenulls=True).over(upto)).where("_head is null").join(handed, split)
+    lines = lines.withColumn("_in", F.coalesce("_own_head", "_head_before"))
     zipped = F.arrays_zip(F.col("_in.names").alias("n"), F.col("_in.raw").alias("h"), F.col("cells").alias("c"))
     ordered = F.filter(zipped, lambda z: z["n"].isin(*KNOWN) & (F.coalesce(z["c"], F.lit("")) != ""))
     once = F.filter(ordered, lambda z, i: F.forall(F.slice(ordered, F.lit(1), i), lambda y: y["n"] != z["n"]))
