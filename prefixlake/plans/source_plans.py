@@ -11,7 +11,7 @@ from prefixlake.operators import search
 from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
 from prefixlake.session import shared_folder
-from prefixlake.sources import lists, readers, sinks
+from prefixlake.sources import batch, lists, readers, sinks
 from prefixlake.sources.release import ReleaseConflict, Releases
 
 
@@ -121,3 +121,32 @@ def release_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = held.manifest("1").unionByName(held.manifest("2")).where("table = 'bins'").select("version", "rows")
     entries = held.log().select(F.col("number").cast("int").alias("number"), "action", "version", F.when(F.col("number") == seen + 1, F.lit(lost)).otherwise("").alias("conflict"))
     return entries.join(counted, "version")
+
+
+@query(
+    "batch_import",
+    oracle("""select bin, cast(id % 50 as varchar) as issuer, cast(null as varchar) as error from bx_bins
+    union all select null, null, 'no heading names a prefix' union all select null, null, 'no document of records' union all select bin, 'nested', null from bx_bins where id % 10 = 0"""),
+)
+def batch_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of delimited feeds and documents, two of them broken, as records and errors."""
+    path, bins = _place(spark, "batch"), frame(spark, sf_dir, "bx_bins")
+    bins.select(F.col("bin").alias("IIN"), (F.col("id") % 50).cast("string").alias("Issuing Bank")).write.csv(f"{path}/a", header=True, sep=";")
+    spark.range(1).select(F.lit("what\nis this").alias("value")).write.text(f"{path}/b")
+    spark.range(1).select(F.lit("not").alias("a")).union(spark.range(1).select(F.lit("one"))).coalesce(1).write.json(f"{path}/c")
+    nested = bins.where("id % 10 = 0").select(F.struct("bin", F.struct(F.lit("nested").alias("name")).alias("bank")).alias("r"))
+    nested.groupBy(F.spark_partition_id()).agg(F.collect_list("r").alias("data")).select("data").repartition(4, F.expr("uuid()")).write.option("maxRecordsPerFile", 1).json(f"{path}/d")
+    return batch.read_batch(spark, path).select("bin", "issuer", "error")
+
+
+@query(
+    "list_report",
+    oracle("""select sum(n) as read, cast(0 as bigint) as rejected, sum(n) as accepted, count(distinct bin) as prefixes, sum(shared) as shared, cast(0 as bigint) as duplicates
+    from (select bin, count(*) as n, case when count(distinct id % 50) > 1 then 1 else 0 end as shared from bx_bins group by bin) t"""),
+)
+def list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading a list of every prefix counts."""
+    path = _place(spark, "report")
+    frame(spark, sf_dir, "bx_bins").select("bin", F.concat(F.lit("Bank "), (F.col("id") % 50).cast("string")).alias("bank")).write.csv(path, header=True)
+    report = lists.list_report(lists.list_records(lists.read_lists(spark, path)))
+    return report.select("read", "rejected", "accepted", "prefixes", "shared", "duplicates")

@@ -1,18 +1,18 @@
-"""Feeds as DataFrames: CSV, JSON, JSON Lines, SQLite, directories, and the mapping onto one record shape.
+"""Feeds as DataFrames: CSV, JSON, JSON Lines, SQLite, and the mapping onto one record shape.
 
 Everything is read as text, so leading zeros stay; values are typed later, by column expressions.
 """
 
 from __future__ import annotations
 
-import sqlite3
 from collections.abc import Callable
-from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefixlake.session import on_workers
+
 DELIMITERS = (",", "\t", ";", "|")
 ARRAY_KEYS = ("records", "data", "bins", "results", "items", "rows")
 
@@ -134,25 +134,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """The best-matching table of a SQLite file.
+    """The best-matching table of a SQLite file, read in tasks by intervals of its row numbers."""
+    from prefixlake.sources.sqlite import NAME, register
 
-    A single local file has no splits; the driver streams it in batches through Arrow. Larger
-    databases are read by ``spark.read.jdbc`` with a partition column.
-    """
-    import pandas as pd
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        known = {n for names in FIELD_NAMES.values() for n in names}
-        names = [r[0] for r in db.execute("select name from sqlite_master where type = 'table' order by name")]
-        columns = {t: {folded(r[1]) for r in db.execute(f'pragma table_info("{t}")')} for t in names}
-        score = {t: len(c & known) + 5 * bool(c & {"bin", "iin", "bin_number"}) for t, c in columns.items()}
-        best = table or next((t for t in ("bins", "bin_list", "binlist") if t in names and score[t]), None) or max(names, key=lambda t: score[t], default=None)
-        if best is None or not score.get(best):
-            raise ValueError("no table looks like a list of prefixes")
-        parts = [spark.createDataFrame(p.astype("string").astype(object).where(p.notna(), None)) for p in pd.read_sql_query(f'select * from "{best}"', db, chunksize=50_000) if len(p)]
-    if not parts:
-        raise ValueError("the table is empty")
-    return reduce(DataFrame.unionByName, parts)
+    reader = register(on_workers(spark)).read.format(NAME)
+    return (reader.option("table", table) if table else reader).load(path)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {".csv": read_csv, ".tsv": read_csv, ".txt": read_csv, ".json": read_json, ".jsonl": read_jsonl, ".ndjson": read_jsonl, ".db": read_sqlite, ".sqlite": read_sqlite}
@@ -171,23 +157,6 @@ def reader_for(path: str, kind: str | None = None) -> Callable[[SparkSession, st
     return READERS[suffix]
 
 
-def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """Every supported file below a folder, by Spark's own file listing."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").collect()
-    return sorted(r[0] for r in found if PurePosixPath(r[0]).suffix.lower() in READERS)
-
-
-def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame | None, dict[str, str]]:
-    """All feeds below a folder as records with their ``source_file``; one bad file is reported, not fatal."""
-    parts, failed = [], {}
-    for path in list_files(spark, folder):
-        try:
-            parts.append(map_record(reader_for(path)(spark, path)).withColumn("source_file", F.lit(PurePosixPath(path).name)))
-        except Exception as error:  # noqa: BLE001  reported per file
-            failed[path] = str(error).splitlines()[0]
-    return (reduce(DataFrame.unionByName, parts) if parts else None), failed
-
-
 def reading_differences(held: DataFrame, readings: DataFrame, fields: list[str], key: str = "bin") -> DataFrame:
     """(key, field, held, reading) where an outside reading says something else (S11): both said, not equal ignoring case and spaces."""
     both = held.select(key, F.struct(*fields).alias("h")).join(readings.select(key, F.struct(*fields).alias("r")), key)

@@ -33,20 +33,12 @@ def test_json_shapes(spark, tmp_path):
     assert sorted(r["bin"] for r in readers.map_record(readers.read_jsonl(spark, lines)).collect()) == ["414720", "510001"]
 
 
-def test_sqlite_and_folder(spark, tmp_path):
+def test_sqlite_and_formats(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x.sqlite") as db:
         db.execute("create table other (a text)")
         db.execute("create table things (bin text, bank text)")
         db.execute("insert into things values ('041472', 'A'), ('510001', null)")
     assert sorted((r["bin"], r["issuer"]) for r in readers.map_record(readers.read_sqlite(spark, str(tmp_path / "x.sqlite"))).collect()) == [("041472", "A"), ("510001", None)]
-    folder = tmp_path / "feeds"
-    folder.mkdir()
-    put(folder, "a.csv", "bin,bank\n414720,A\n")
-    put(folder, "b.jsonl", '{"bin": "510001"}\n')
-    put(folder, "c.db", "not a database, only text")
-    df, failed = readers.read_folder(spark, f"file://{folder}")
-    assert sorted((r["bin"], r["source_file"]) for r in df.collect()) == [("414720", "a.csv"), ("510001", "b.jsonl")]
-    assert len(failed) == 1
     with pytest.raises(ValueError, match="no reader"):
         readers.reader_for("x.bin")
 
