@@ -54,7 +54,11 @@ def compare(before: DataFrame, after: DataFrame, fields: dict[str, str], target:
         before, after = before.join(keys, target, "left_semi"), after.join(keys, target, "left_semi")
     old = before.select(target, F.struct(*fields).alias("_old"))
     new = after.select(target, F.struct(*fields).alias("_new"))
-    both = old.join(new, target, "full_outer")
+    return events(old.join(new, target, "full_outer"), fields, target)
+
+
+def events(both: DataFrame, fields: dict[str, str], target: str = "bin", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events of rows that hold a target's state before and after (``_old``, ``_new``; null where it is absent), with the columns ``keep``."""
     subject = F.concat(F.lit("BIN "), F.col(target)) if target == "bin" else F.col(target)
     noun = "bin" if target == "bin" else "institution"
 
@@ -78,8 +82,8 @@ def compare(before: DataFrame, after: DataFrame, fields: dict[str, str], target:
     first = next(iter(fields))
     found.append(F.when(F.col("_new").isNull(), event(F.lit(f"{noun}_removed"), none, F.to_json(F.struct(F.col(f"_old.{first}").cast("string").alias("was"))), none, F.concat(subject, F.lit(" is no longer present in the database.")))))
     found.append(F.when(F.col("_old").isNull(), event(F.lit(f"{noun}_added"), none, none, F.coalesce(F.col(f"_new.{first}").cast("string"), F.lit("")), F.concat(subject, F.lit(" has been added to the database.")))))
-    rows = both.select(target, F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e"))
-    return rows.select(target, "e.*")
+    rows = both.select(target, *keep, F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e"))
+    return rows.select(target, *keep, "e.*")
 
 
 def alerts(events: DataFrame, watch: DataFrame, target: str = "bin") -> DataFrame:
