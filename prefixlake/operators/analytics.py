@@ -184,3 +184,44 @@ def statistics(bins: DataFrame) -> DataFrame:
     one = one.agg(F.count(F.lit(1)).alias("bins"), F.countDistinct("network_id").alias("networks"), F.count_if("is_prepaid").alias("prepaid"), F.count_if(F.col("status") == "active").alias("active"))
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in one.columns[1:]]))
     return one.select("scope", rows.alias("r")).select("scope", "r.*")
+
+
+def partials(bins: DataFrame) -> DataFrame:
+    """(scope, measure, value, n): what :func:`statistics` is made of, in parts that add up.
+
+    A distinct count is kept as the multiset it counts, so rows can leave it as well as come.
+    """
+    scopes = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("country:"), F.col("country_id").cast("string"))))
+    none = F.lit(None).cast("string")
+
+    def part(measure: str, counts: Column, value: Column = none) -> Column:
+        return F.struct(F.lit(measure).alias("measure"), value.alias("value"), F.when(F.coalesce(counts, F.lit(False)), 1).otherwise(0).cast("long").alias("n"))
+
+    each = F.array(
+        part("bins", F.lit(True)), part("networks", F.col("network_id").isNotNull(), F.col("network_id").cast("string")), part("prepaid", F.col("is_prepaid")), part("active", F.col("status") == "active")
+    )
+    rows = bins.select(F.explode(scopes).alias("scope"), each.alias("each")).select("scope", F.explode("each").alias("p")).select("scope", "p.*")
+    return rows.groupBy("scope", "measure", "value").agg(F.sum("n").alias("n"))
+
+
+def delta(before: DataFrame, after: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(added, removed) rows between two releases; a changed row is both."""
+    gone = [F.xxhash64(*before.columns).alias("_h"), F.col(key).alias("_k")]
+    same = ["_k", "_h"]
+    old, new = before.select("*", *gone), after.select(*before.columns).select("*", *gone)
+    return new.join(old.select(*same), same, "left_anti").drop(*same), old.join(new.select(*same), same, "left_anti").drop(*same)
+
+
+def maintained(state: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The parts after rows came and went: only the delta is aggregated, then added to ``state``."""
+    change = partials(added).unionByName(partials(removed).withColumn("n", -F.col("n")))
+    return state.unionByName(change).groupBy("scope", "measure", "value").agg(F.sum("n").alias("n")).where("n <> 0 or measure <> 'networks'")
+
+
+def figures(state: DataFrame) -> DataFrame:
+    """(scope, key, value) of maintained parts: what :func:`statistics` gives. A scope without prefixes is gone."""
+    value = F.when(F.first("measure") == "networks", F.count_if((F.col("n") > 0) & F.col("value").isNotNull())).otherwise(F.sum("n"))
+    rows = state.groupBy("scope", F.col("measure").alias("key")).agg(value.alias("value"))
+    living = state.where("measure = 'bins' and n > 0").select("scope")
+    keys = living.select("scope", F.explode(F.array(*[F.lit(k) for k in ("bins", "networks", "prepaid", "active")])).alias("key"))
+    return keys.join(rows, ["scope", "key"], "left").select("scope", "key", F.coalesce("value", F.lit(0)).alias("value"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.operators import changes, pipeline
+from prefixlake.operators import analytics, changes, learning, paging, pipeline, search
 from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
+from prefixlake.session import shared_folder
+from prefixlake.streaming import watch
 
 _SNAPSHOTS = """
   old as (select bin_id, field, arg_max(value, (observed_at, id)) as value from bx_claims where observed_at < timestamp '2024-01-16' group by 1, 2),
@@ -293,3 +297,89 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = feed.select(F.col("event_id").alias("id"), F.col("user_id").alias("bin_id"), F.col("event_type").alias("field"), F.floor("value").cast("int").cast("string").alias("value"), F.col("ts").alias("observed_at"))
     rows = facade.drained(facade.latest_claims(claims), f"{shared_folder(spark)}/stream-{uuid4().hex}")
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "bin_id", "field", "value")
+
+
+_FACTS = """
+  said as (
+    select c.id, b.bin as subject_key, case c.field when 'view' then 'country' when 'click' then 'network' when 'signup' then 'card_type' when 'error' then 'notes' else 'funding_type' end as field, c.value
+    from bx_claims c join bx_bins b on b.id = c.bin_id),
+  once as (select subject_key, field, value, min(id) as id from said group by 1, 2, 3),
+  facts as (select *, lead(id) over (partition by subject_key, field order by id) is null and id % 3 <> 0 as approved from once),
+  meant as (
+    select f.*, case field when 'country' then (select cast(c.id as varchar) from bx_countries c where c.iso2 = chr(65 + cast(f.value as int) % 26) || 'X')
+                           when 'network' then (select cast(n.id as varchar) from bx_networks n where n.id = cast(f.value as int) % 60) when 'notes' then null else 'kind ' || value end as v
+    from facts f where approved)"""
+
+
+@query(
+    "learning_applied",
+    oracle(f"""with {_FACTS}, won as (select subject_key, arg_max(v, id) filter (field = 'country') as country, arg_max(v, id) filter (field = 'network') as network, arg_max(v, id) filter (field = 'card_type') as card_type,
+      arg_max(v, id) filter (field = 'funding_type') as funding_type, count(v) as applied from meant where v is not null group by 1)
+    select b.bin, coalesce(cast(w.country as int), b.country_id) as country_id, coalesce(cast(w.network as int), b.network_id) as network_id, coalesce(w.card_type, b.card_type) as card_type,
+           coalesce(w.funding_type, b.funding_type) as funding_type, coalesce(w.applied, 0) as applied from bx_bins b left join won w on w.subject_key = b.bin"""),
+)
+def learning_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What feeds claim goes through the ledger, is decided, and is written into every prefix, with a provenance row a fact."""
+    bins, countries, networks = (frame(spark, sf_dir, n) for n in ("bx_bins", "bx_countries", "bx_networks"))
+    fields = {"view": "country", "click": "network", "signup": "card_type", "error": "notes"}
+    name = F.coalesce(*[F.when(F.col("field") == k, v) for k, v in fields.items()], F.lit("funding_type"))
+    n = F.col("value").cast("int")
+    text = F.when(name == "country", F.concat(F.char(F.lit(65) + n % 26), F.lit("X"))).when(name == "network", F.concat(F.lit("Net "), (n % 60).cast("string"))).otherwise(F.concat(F.lit("kind "), F.col("value")))
+    rows = frame(spark, sf_dir, "bx_claims").join(bins.select(F.col("id").alias("bin_id"), "bin"), "bin_id")
+    # The proposal carries the raw value, so that repeats are told by it.
+    rows = rows.select("id", F.col("bin").alias("subject_key"), name.alias("field"), F.lit("feed").alias("source_code"), F.lit(None).cast("string").alias("current_value"), "value", text.alias("text"))
+    ledger = pipeline.ledger(rows.withColumn("proposed_value", F.col("value")), "id")
+    decisions = ledger.where("status = 'pending' and id % 3 <> 0").select("id", F.lit(True).alias("approved"))
+    decided = pipeline.decide(ledger, decisions, learning.BIN_FIELDS).withColumn("proposed_value", F.col("text")).withColumn("confidence", F.lit(0.6)).drop("value", "text")
+    meanings = countries.select(F.lit("country").alias("field"), F.col("iso2").alias("name"), F.col("id").alias("value")).union(networks.select(F.lit("network"), F.concat(F.lit("Net "), F.col("id").cast("string")), "id"))
+    table, _, provenance = learning.apply_approved(bins, decided, meanings)
+    counted = provenance.groupBy(F.col("entity_key").alias("bin")).agg(F.count(F.lit(1)).alias("applied"))
+    return table.join(counted, "bin", "left").select("bin", "country_id", "network_id", "card_type", "funding_type", F.coalesce("applied", F.lit(0)).alias("applied"))
+
+
+@query(
+    "watch_scans",
+    oracle("""with seen as (select r.r, bin_id, arg_max(value, (observed_at, id)) as status from bx_claims, (values (1), (2), (3)) r(r) where field = 'click' and id % 4 <> r.r group by 1, 2),
+    watched as (select distinct cast(bin_id as varchar) as bin, bin_id from bx_claims where bin_id % 3 > 0),
+    steps as (select w.bin, r.r as release, a.status as before, b.status as after, a.bin_id is not null as was, b.bin_id is not null as is_now from watched w cross join (values (2), (3)) r(r)
+      left join seen a on a.r = r.r - 1 and a.bin_id = w.bin_id left join seen b on b.r = r.r and b.bin_id = w.bin_id)
+    select bin, cast(release as bigint) as release, case when not was then 'bin_added' when not is_now then 'bin_removed' else 'status_changed' end as change_type, after as current_value
+    from steps where (was or is_now) and (was <> is_now or before <> after)"""),
+)
+def watch_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three releases in sequence, each scanned by a new stream from the state the last one left."""
+    claims = frame(spark, sf_dir, "bx_claims").select(F.col("bin_id").cast("string").alias("bin"), "field", F.col("value").alias("status"), "observed_at", "id")
+    watched = claims.where("bin % 3 > 0").select("bin").distinct()
+    place, fields, found = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}", {"status": "status_changed"}, None
+    for number in (1, 2, 3):
+        release = changes.latest(claims.where((F.col("field") == "click") & (F.col("id") % 4 != number)), ["bin"], ["observed_at", "id"])
+        rows = watch.watched_rows(release, watched, number, fields)
+        rows.write.mode("append").parquet(f"{place}/feed")
+        found = watch.scan(spark.readStream.schema(rows.schema).parquet(f"{place}/feed"), fields, place)
+    return found.select("bin", "release", "change_type", "current_value")
+
+
+@query("seek_pages", oracle("select bin, country, cast((row_number() over (order by country desc nulls last, bin, id) - 1) // 20 + 1 as bigint) as page from (select b.id, b.bin, c.name as country from bx_bins b left join bx_countries c on c.id = b.country_id) t qualify page in (1, 4, 9)"))
+def seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, L2: three pages of all prefixes by country, descending, each read from the parts that hold it."""
+    countries = frame(spark, sf_dir, "bx_countries").select(F.col("id").alias("country_id"), F.col("name").alias("country"))
+    pages = paging.paged(frame(spark, sf_dir, "bx_bins").join(countries, "country_id", "left").select("id", "bin", "country"), "country", descending=True)
+    one, four, nine = (pages.page(n, 20).select("bin", "country", F.lit(n).cast("long").alias("page")) for n in (1, 4, 9))
+    return one.unionByName(four).unionByName(nine)
+
+
+@query(
+    "maintained_statistics",
+    oracle("""with after as (select id, case when id % 7 = 0 then 3 else network_id end as network_id, case when id % 6 = 0 then null else country_id end as country_id, is_prepaid, status from bx_bins where id % 5 <> 0),
+    e as (select 'all' as scope, * from after union all select 'country:' || cast(country_id as varchar), * from after where country_id is not null),
+    g as (select scope, count(*) as bins, count(distinct network_id) as networks, count(*) filter (is_prepaid) as prepaid, count(*) filter (status = 'active') as active from e group by 1)
+    select scope, 'bins' as key, bins as value from g union all select scope, 'networks', networks from g union all select scope, 'prepaid', prepaid from g union all select scope, 'active', active from g"""),
+)
+def maintained_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures kept as parts that add up, carried from one release to the next by what came and went."""
+    bins = frame(spark, sf_dir, "bx_bins").select("id", "network_id", "country_id", "is_prepaid", "status")
+    before = bins.where("id % 4 <> 1")
+    after = bins.where("id % 5 <> 0").withColumn("network_id", F.when(F.col("id") % 7 == 0, 3).otherwise(F.col("network_id"))).withColumn("country_id", F.when(F.col("id") % 6 != 0, F.col("country_id")))
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    analytics.partials(before).write.parquet(path)
+    return analytics.figures(analytics.maintained(spark.read.parquet(path), *analytics.delta(before, after)))

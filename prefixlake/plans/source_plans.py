@@ -150,3 +150,16 @@ def list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame(spark, sf_dir, "bx_bins").select("bin", F.concat(F.lit("Bank "), (F.col("id") % 50).cast("string")).alias("bank")).write.csv(path, header=True)
     report = lists.list_report(lists.list_records(lists.read_lists(spark, path)))
     return report.select("read", "rejected", "accepted", "prefixes", "shared", "duplicates")
+
+
+@query("origin_rows", oracle("select bin, id % 3 as part, 1 + row_number() over (partition by id % 3 order by bin, id) as line, 'Bank ' || cast(id % 50 as varchar) as bank, cast(null as varchar) as nothing from bx_bins"))
+def origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every prefix of three lists came from, read back from the archive of their rows."""
+    path, part = _place(spark, "origins"), (F.col("id") % 3).cast("int").alias("part")
+    rows = frame(spark, sf_dir, "bx_bins").select(part, F.col("bin").alias("iin"), F.concat(F.lit("Bank "), (F.col("id") % 50).cast("string")).alias("Issuing Bank"), "id")
+    kept = None
+    for i in range(3):
+        rows.where(F.col("part") == i).coalesce(1).sortWithinPartitions("iin", "id").drop("part", "id").write.csv(f"{path}/{i}", header=True)
+        one = lists.archive(lists.list_records(lists.read_lists(spark, f"{path}/{i}")), f"{path}-kept/{i}").withColumn("part", F.lit(i))
+        kept = one if kept is None else kept.unionByName(one)
+    return kept.select("bin", F.col("part").cast("long").alias("part"), F.col("line").cast("long").alias("line"), lists.said("Issuing Bank").alias("bank"), lists.said("no such").alias("nothing"))

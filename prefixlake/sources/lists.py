@@ -183,8 +183,24 @@ def list_report(records: DataFrame) -> DataFrame:
     return one.join(F.broadcast(shared)).withColumn("duplicates", F.col("read") - F.col("accepted"))  # one row each
 
 
+def archive(records: DataFrame, place: str) -> DataFrame:
+    """Every source row as it was, kept once as a variant beside its prefix, place and error.
+
+    Columns differ from list to list, so a row keeps its own headings; :func:`said` reads one of them.
+    """
+    rows = records.select("file", "line", "bin", "error", F.to_variant_object("original").alias("original"))
+    rows.write.parquet(place)
+    return records.sparkSession.read.parquet(place)
+
+
+def said(heading: str) -> Column:
+    """What an archived row says under one of its headings; null if it has none such."""
+    path = heading.replace("'", "\\'")
+    return F.try_variant_get("original", f"$['{path}']", "string")
+
+
 def origin(records: DataFrame, prefix: str) -> DataFrame:
-    """The rows that a prefix came from, in order."""
+    """The rows that a prefix came from, in order (I18); ``records`` may be the archive."""
     return records.where(F.col("bin") == prefix).select("file", "line", "original").orderBy("file", "line")
 
 
