@@ -14,7 +14,8 @@ The fingerprint is the whole 64-bit hash, so probing is as exact as counting was
 
 Defined results: a null or empty text is one empty line, and comes back empty; empty keys are never
 dropped; repeated rows are separate documents; an empty table gives an empty table; other columns
-pass through unchanged, whatever their names.
+pass through unchanged, whatever their names: where one is called ``n_lines`` or ``n_dropped``, the count
+of that name gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from prefixlake.llm.shared import written
+from prefixlake.llm.shared import free_name, packed, unpacked, written
 from prefixlake.llm.textarrays import _LOWER, _SPACE, chunks, mix, span_hashes
 
 SHARD_KEYS = 1 << 16
@@ -160,8 +162,8 @@ def build_index(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int, int]:
     return index, shards, total
 
 
-def _rewritten(batch: pa.RecordBatch, dropped: list[np.ndarray | None], parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """``batch`` with the marked lines cut out of its texts, and n_lines and n_dropped after its columns."""
+def _rewritten(batch: pa.RecordBatch, names: list[str], dropped: list[np.ndarray | None], parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """``batch`` with the marked lines cut out of its texts, and the two counts after its columns, all called ``names``."""
     texts: list[bytes] = []
     n_lines, n_dropped = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
     for (first, data, offsets), drop in zip(parts, dropped, strict=True):
@@ -178,27 +180,28 @@ def _rewritten(batch: pa.RecordBatch, dropped: list[np.ndarray | None], parts: l
                 texts.append(raw[offsets[i] : offsets[i + 1]])
     at = batch.schema.get_field_index("text")
     columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], names=[*batch.schema.names, "n_lines", "n_dropped"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], names=names)
 
 
 def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``documents`` (with a ``text``) without lines whose key at least ``min_docs`` documents hold.
 
     A line's key is the line without white space at its ends, A-Z folded; keys shorter than
-    ``min_chars`` code points stay. Adds n_lines (before) and n_dropped; the other columns pass
-    through. ``doc_id`` is used only beyond the broadcast bound.
+    ``min_chars`` code points stay. Adds n_lines (before) and n_dropped behind the other columns.
+    ``doc_id`` is used only beyond the broadcast bound.
     """
     spark = documents.sparkSession
     index, shards, size = build_index(line_counts(documents, min_chars), min_docs)
-    clash = [c for c in documents.columns if c in ("n_lines", "n_dropped", "_hits")]
-    documents = documents.drop(*clash)
-    schema = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes) + ", n_lines long, n_dropped long"
+    own_names = documents.columns
+    names = [*own_names, *(free_name(own_names, n) for n in ("n_lines", "n_dropped"))]
+    schema = StructType([*documents.schema.fields, *(StructField(n, LongType()) for n in names[-2:])])
     if size <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast({r["shard"]: (bytes(r["sizes"]), bytes(r["bits"]), bytes(r["fingerprints"]), bytes(r["counts"])) for r in index.toLocalIterator()})
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             built = {k: Shard(*v) for k, v in arrays.value.items()}
             for batch in batches:
+                batch = unpacked(batch.column("row"), own_names)
                 parts, dropped = list(chunks(batch.column("text"))), []
                 for _, data, offsets in parts:
                     _, _, _, h, length = line_keys(data, offsets)
@@ -207,9 +210,9 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
                         if k in built:
                             found[shard == k] = built[k].probe(h[shard == k])
                     dropped.append((found >= min_docs) & (length >= min_chars))
-                yield _rewritten(batch, dropped, parts)
+                yield _rewritten(batch, names, dropped, parts)
 
-        return documents.mapInArrow(rewrite, schema)
+        return packed(documents).mapInArrow(rewrite, schema)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +234,12 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
         return left.select(["doc_id", "h"]).filter(pa.array(n >= min_docs))
 
     hits = probes.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInArrow(look, "doc_id long, h long")
-    hits = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_hits"))
-    joined = documents.join(hits, documents["doc_id"].eqNullSafe(hits["_id"]), "left").drop("_id")
+    hits = hits.groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    joined = packed(documents).join(hits, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").select("row", "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, hit = batch.select([n for n in batch.schema.names if n != "_hits"]), batch.column("_hits").to_pylist()
+            own, hit = unpacked(batch.column("row"), own_names), batch.column("hits").to_pylist()
             parts, dropped = list(chunks(own.column("text"))), []
             for first, data, offsets in parts:
                 _, _, doc, h, length = line_keys(data, offsets)
@@ -245,6 +248,6 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
                     if hit[first + i]:
                         drop[line[i] : line[i + 1]] = np.isin(h[line[i] : line[i + 1]], np.array(hit[first + i], np.int64).view(np.uint64))
                 dropped.append(drop & (length >= min_chars))
-            yield _rewritten(own, dropped, parts)
+            yield _rewritten(own, names, dropped, parts)
 
     return joined.mapInArrow(cut, schema)

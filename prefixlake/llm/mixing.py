@@ -4,18 +4,22 @@ The whole mix is cut into blocks of ``block`` words. Sources get blocks by highe
 (target / 1, / 3, / 5 ...), up to ``cap`` times what they hold; the blocks of a source go to its
 shards by the same rule over shard sizes, so every shard has an integer quota. Inside a shard the
 documents stand in a seeded order on one line of words: whole laps are repeats, and the rest of the
-quota is one run of blocks that begins at a seeded block and wraps around the end.
+quota is one run of blocks that begins at a seeded block and wraps around the end, so that only the
+documents at its ends are cut.
 
 Only one row per source reaches the driver. Shards hold about ``SHARD_DOCS`` documents, so a source
-with a third of all rows is many shards; the running sums are windows inside one shard.
+with a third of all rows is many shards; the running sums are windows inside one shard. Shards get their
+quotas through a tree of at most ``FANOUT`` children a node, so no task sees all shards of a source.
 
 Defined results: a null text has size 0; sources without words have target 0; an empty table gives
-an empty result; repeated rows are separate documents; null is a source of its own, ordered last.
+an empty result; repeated rows are separate documents; null is a source of its own, ordered last; equal
+quotients go to the earlier source or shard; other columns keep their names and values, whatever they are.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixlake.llm.shared import written
+from prefixlake.llm.shared import packed, unpacked, written
 from prefixlake.llm.textarrays import chunks, word_spans
 
 SHARD_DOCS = 4096
-BLOCK = 64
-FINE = 1 << 16
+BLOCK = 16
+FANOUT = 4096
 
 
 def words(text: Column) -> Column:
@@ -42,17 +46,18 @@ def targets(sizes: Sequence[int], weights: Sequence[float], cap: float, share: f
 
     What a capped source can't take is shared again among the others by weight, until none is above.
     """
-    total, out, free = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
+    left, out, free = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
     while free:
-        left, weight = total - sum(out[i] for i in range(len(sizes)) if i not in set(free)), sum(weights[i] for i in free)
-        above = [i for i in free if left * weights[i] / weight > cap * sizes[i]]
+        weight = sum(weights[i] for i in free)
+        above = {i for i in free if left * weights[i] / weight > cap * sizes[i]}
         if not above:
             for i in free:
                 out[i] = left * weights[i] / weight
             break
         for i in above:
             out[i] = float(cap * sizes[i])
-        free = [i for i in free if i not in set(above)]
+        left -= sum(out[i] for i in above)
+        free = [i for i in free if i not in above]
     return out
 
 
@@ -75,7 +80,41 @@ def apportion(votes: Sequence[float], seats: int, most: Sequence[int]) -> list[i
     return out
 
 
-def plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, share: float = 1.0, seed: int = 17) -> DataFrame:
+def most_blocks(size: float, cap: float, block: int) -> int:
+    """Blocks up to ``cap`` times a size; the last may be part of one."""
+    return math.ceil(cap * size / block)
+
+
+def shard_quotas(shards: DataFrame, cap: float, block: int) -> DataFrame:
+    """``shards`` (source, shard, shard_size, blocks of the source) with the quota of each, from the source down a tree.
+
+    The nodes of a level are the shards' numbers without their last digits to the base ``FANOUT``; each
+    node deals what it got to its children by the same rule.
+    """
+    count = shards.agg(F.max("shard")).first()[0] or 0
+    base, top = FANOUT, 1
+    while count // top >= base:
+        top *= base
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        most = [most_blocks(s, cap, block) for s in rows.node_size]
+        return rows.assign(quota=apportion(rows.node_size.tolist(), int(rows.blocks.iloc[0]), most))[["source", "node", "quota"]]
+
+    above = None
+    while top:
+        nodes = shards.groupBy("source", F.call_function("div", F.col("shard"), F.lit(top)).alias("node")).agg(F.sum("shard_size").alias("node_size"), F.max("blocks").alias("blocks"))
+        nodes = nodes.withColumn("parent", F.call_function("div", F.col("node"), F.lit(base)))
+        if above is not None:
+            got = above.select(F.col("source").alias("_source"), F.col("node").alias("_node"), "quota")
+            nodes = nodes.join(got, F.col("source").eqNullSafe(F.col("_source")) & (F.col("parent") == F.col("_node"))).withColumn("blocks", F.col("quota")).drop("_source", "_node", "quota")
+        above = nodes.groupBy("source", "parent").applyInPandas(deal, "source string, node long, quota long")
+        top //= base
+    done = above.select(F.col("source").alias("_source"), "node", "quota")
+    return shards.join(done, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("node"))).select("source", "shard", "shard_size", "quota")
+
+
+def plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, share: float = 1.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken, laps, from1, to1, from2, to2) for every document.
 
     ``taken`` = laps * size plus the words in [from1, to1) and [from2, to2) of the document. Weights
@@ -87,26 +126,19 @@ def plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in stats]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(stats))], cap, share)
-    block = max(1, min(BLOCK, sum(sizes) // FINE))
-    blocks = apportion(goal, round(share * sum(sizes) / block), [int(cap * s / block) for s in sizes])
+    blocks = apportion(goal, round(share * sum(sizes) / block), [most_blocks(s, cap, block) for s in sizes])
     rows = [(r["source"], s, g, b, max(1, -(-r["docs"] // SHARD_DOCS))) for r, s, g, b in zip(stats, sizes, goal, blocks, strict=True)]
     sources = spark.createDataFrame(rows, "source string, source_size long, target double, blocks long, shards long")
     order = F.xxhash64(F.lit(seed), "doc_id")
     dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("shard", F.pmod(order, F.col("shards")))
 
-    def quotas(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        most = [int(cap * s // block) for s in rows.shard_size]
-        return rows.assign(quota=apportion(rows.shard_size.tolist(), int(rows.blocks.iloc[0]), most))
-
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    shards = shards.groupBy("source").applyInPandas(quotas, "source string, shard long, shard_size long, blocks long, quota long")
-    shards = shards.select(
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
+    shards = shard_quotas(shards, cap, block).select(
         F.col("source").alias("_source"),
         F.col("shard").alias("_shard"),
         "shard_size",
-        (F.col("quota") * block).alias("words"),
+        F.least(F.col("quota") * block, F.floor(F.col("shard_size") * cap)).alias("words"),
         (F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))) * block).alias("begin"),
     )
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size")
@@ -133,17 +165,17 @@ def materialise(documents: DataFrame, mix: DataFrame) -> DataFrame:
 
     ``documents`` needs a unique ``doc_id``; its other columns pass through, ``n_chars`` follows the text.
     """
-    mix = mix.select(F.col("doc_id").alias("_id"), "size", "laps", "from1", "to1", "from2", "to2").where("taken > 0" if "taken" in mix.columns else "true")
+    mix = mix.select("doc_id", "size", "laps", "from1", "to1", "from2", "to2").where("taken > 0" if "taken" in mix.columns else "true")
     full = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("laps").cast("int"))
     parts = F.array(F.struct(F.col("from1").alias("a"), F.col("to1").alias("b")), F.struct(F.col("from2").alias("a"), F.col("to2").alias("b")))
-    runs = mix.select("_id", F.col("size").alias("_size"), F.explode(F.concat(full, F.filter(parts, lambda p: p["b"] > p["a"]))).alias("_run"))
-    runs = runs.select("_id", "_size", F.col("_run.a").alias("_a"), F.col("_run.b").alias("_b"))
-    joined = documents.join(runs, documents["doc_id"].eqNullSafe(runs["_id"])).drop("_id")
+    runs = mix.select("doc_id", "size", F.explode(F.concat(full, F.filter(parts, lambda p: p["b"] > p["a"]))).alias("run")).select("doc_id", "size", "run.a", "run.b")
+    joined = packed(documents).join(runs, F.col("row.doc_id").eqNullSafe(F.col("doc_id"))).select("row", "a", "b", "size")
     names = documents.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, size = (batch.column(n).to_numpy() for n in ("_a", "_b", "_size"))
+            a, b, size = (batch.column(n).to_numpy() for n in ("a", "b", "size"))
+            batch = unpacked(batch.column("row"), names)
             texts: list[bytes] = []
             for first, data, offsets in chunks(batch.column("text")):
                 raw = data.tobytes()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefixlake.llm.shared import packed, unpacked
 from prefixlake.llm.subword import Buckets, SubwordModel, sparse_bags, train
 
 UNDETERMINED = "und"
@@ -160,12 +161,13 @@ def accepted_language(documents: DataFrame, model: SubwordModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.asarray(batch.column(len(names)))
+            keep = np.asarray(batch.column("letters"))
+            batch = unpacked(batch.column("row"), names)
             if model.classes:
                 keep = keep & model.judged(batch.column(names.index("text")))[2]
             else:
                 keep = np.zeros(batch.num_rows, bool)
-            yield batch.select(list(range(len(names)))).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return documents.select("*", letters.alias("_letters")).mapInArrow(run, schema)
+    letters = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
+    return packed(documents).select("row", letters.alias("letters")).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefixlake.llm import linededup
 from tests.llm.conftest import ODD
@@ -40,8 +41,21 @@ def test_against_brute_force(spark, documents, bound, chars):
 def test_empty_and_clashing_columns(spark, documents):
     assert linededup.drop_repeated_lines(documents([])).count() == 0
     docs = documents(["a\nb"] * 12).selectExpr("*", "1 as n_lines", "'k' as h", "2 as shard")
-    r = linededup.drop_repeated_lines(docs).first()
-    assert (r["n_lines"], r["n_dropped"], r["text"], r["h"], r["shard"]) == (2, 2, "", "k", 2)
+    for bound in (linededup.BROADCAST_BYTES, 0):
+        out = linededup.drop_repeated_lines(docs, broadcast_bytes=bound)
+        r = out.first()
+        assert out.columns == [*docs.columns, "_n_lines", "n_dropped"]
+        assert (r["_n_lines"], r["n_dropped"], r["text"], r["h"], r["shard"], r["n_lines"]) == (2, 2, "", "k", 2, 1)
+
+
+@pytest.mark.parametrize("bound", [linededup.BROADCAST_BYTES, 0])
+def test_no_name_is_taken(spark, documents, bound):
+    names = ["_id", "id", "row", "hits", "_hits", "h", "salt", "n", "N_Dropped", "doc.id", "odd `name`", "size"]
+    docs = documents([*["a\nb\nc"] * 12, None]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = linededup.drop_repeated_lines(docs, broadcast_bytes=bound)
+    assert out.columns == [*docs.columns, "n_lines", "_n_dropped"]
+    rows = out.collect()
+    assert len(rows) == 13 and all([r[c] for c in names] == list(range(len(names))) and r["text"] == "" for r in rows)
 
 
 def test_perfect_hash_finds_all_and_only_its_keys():

@@ -32,4 +32,18 @@ def test_odd_and_empty_documents(spark, documents):
         docs = documents(texts)
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), "odd")
-        assert docs.count() >= 0
+        assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_take_any_names_and_texts(spark, documents):
+    """Each stage alone, over odd texts, a null id and columns called like its own."""
+    names = ["_id", "_a", "_b", "_size", "n_lines", "n_dropped", "sequence_id", "offset", "hits", "row", "_letters", "kept", "component_id", "shard", "label"]
+    docs = documents(ODD).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id"))).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    kept = {"line_dedup": len(ODD), "near_dedup": len(ODD) - 2}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert out.columns == docs.columns and all([r[c] for c in names] == list(range(len(names))) for r in rows), name
+        assert len(rows) == kept.get(name, len(rows)), name
+    pieces = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert len({r["doc_id"] for r in pieces}) == len(ODD) and all(r["length"] >= 1 for r in pieces)
