@@ -1,8 +1,8 @@
-"""Countries, regions, places and postal codes (F13-F17). Country tables are parameters, not constants."""
+"""Countries, regions, places and postal codes (F13-F17). The table of countries is a parameter, not a constant."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlake.functions.text import collapse, squash, strip_accents
@@ -18,6 +18,7 @@ COUNTRY_ALIASES = {
     "CESKO": "CZ", "MAGYARORSZAG": "HU", "ELLADA": "GR", "HELLAS": "GR", "PORTUGAL": "PT", "EIRE": "IE",
     "BOLIVIA PLURINATIONAL STATE OF": "BO", "MOLDOVA REPUBLIC OF": "MD", "TANZANIA UNITED REPUBLIC OF": "TZ", "MICRONESIA FEDERATED STATES OF": "FM",
 }
+# Words that stay small inside a place's name.
 PARTICLES = ("of", "the", "de", "del", "la", "le", "du", "van", "der", "am", "an")
 # Postal formats, as a pattern over letters and digits and its layout.
 POSTAL_FORMATS = {
@@ -30,6 +31,31 @@ POSTAL_FORMATS = {
     "BR": (r"^([0-9]{5})([0-9]{3})$", "$1-$2"),
     "PT": (r"^([0-9]{4})([0-9]{3})$", "$1-$2"),
 }
+# Subdivisions by ISO 3166-2 code, of the countries whose addresses name them by code.
+SUBDIVISIONS = {
+    "US": {
+        "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "DC": "District of Columbia",
+        "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine",
+        "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada",
+        "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon",
+        "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
+        "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "PR": "Puerto Rico", "VI": "U.S. Virgin Islands", "GU": "Guam", "AS": "American Samoa",
+        "MP": "Northern Mariana Islands",
+    },
+    "CA": {
+        "AB": "Alberta", "BC": "British Columbia", "MB": "Manitoba", "NB": "New Brunswick", "NL": "Newfoundland and Labrador", "NS": "Nova Scotia", "NT": "Northwest Territories",
+        "NU": "Nunavut", "ON": "Ontario", "PE": "Prince Edward Island", "QC": "Quebec", "SK": "Saskatchewan", "YT": "Yukon",
+    },
+    "AU": {
+        "ACT": "Australian Capital Territory", "NSW": "New South Wales", "NT": "Northern Territory", "QLD": "Queensland", "SA": "South Australia", "TAS": "Tasmania", "VIC": "Victoria",
+        "WA": "Western Australia",
+    },
+}
+
+
+def subdivisions(spark: SparkSession) -> DataFrame:
+    """(country, code, name): the known subdivisions as a dimension."""
+    return spark.createDataFrame([(land, code, name) for land, table in SUBDIVISIONS.items() for code, name in table.items()], "country string, code string, name string")
 
 
 def resolve_countries(values: DataFrame, column: str, countries: DataFrame) -> DataFrame:
@@ -82,11 +108,21 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
-def region(c: Column, code: Column | None = None, name: Column | None = None) -> Column:
-    """struct(code, name): the subdivision's, where a joined dimension gave them, else the words as they are."""
-    raw = collapse(c)
+def region(c: Column, country: Column | None = None) -> Column:
+    """struct(code, name): the subdivision that a code or a name means in ``country`` (iso2), else the words as they are.
+
+    Names are compared without accents and in capitals. Blank text has neither code nor name.
+    """
+    raw = F.nullif(collapse(c), F.lit(""))
     own = F.struct(F.when(F.length(raw) <= 3, F.upper(raw)).alias("code"), title(raw).alias("name"))
-    return own if code is None else F.when(code.isNotNull(), F.struct(code.alias("code"), name.alias("name"))).otherwise(own)
+    if country is not None:
+        names = F.create_map(*[F.lit(x) for land, table in SUBDIVISIONS.items() for code, name in table.items() for x in (f"{land} {code}", name)])
+        codes = F.create_map(*[F.lit(x) for land, table in SUBDIVISIONS.items() for code, name in table.items() for x in (f"{land} {name.upper()}", code)])
+        said = F.concat(F.upper(country), F.lit(" "), F.upper(raw))
+        code = F.coalesce(F.when(F.try_element_at(names, said).isNotNull(), F.upper(raw)), F.try_element_at(codes, F.concat(F.upper(country), F.lit(" "), strip_accents(F.upper(raw)))))
+        name = F.try_element_at(names, F.concat(F.upper(country), F.lit(" "), code))
+        own = F.when(code.isNotNull(), F.struct(code.alias("code"), name.alias("name"))).otherwise(own)
+    return F.when(raw.isNotNull(), own).otherwise(F.struct(F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name")))
 
 
 def normalized_postal(c: Column) -> Column:

@@ -91,6 +91,9 @@ def portfolio_counts(held: DataFrame) -> DataFrame:
     )
 
 
+HOLDERS = 256
+
+
 def duplicate_groups(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, null a value like any other."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -141,11 +144,16 @@ def ratio_score(count: Column, total: Column, tolerance: float) -> Column:
 def shared_bins(links: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of institutions that hold the same prefixes.
 
-    The pairs are the result itself: a prefix with n holders stands for n (n - 1) / 2 of them.
+    Prefixes with the same holders are counted as one set with a weight. A set's holders are paired in
+    runs of ``HOLDERS``, each a row of its own dealt to any task, so a prefix that very many hold is many
+    small tasks; the pairs are made and counted where they are made, and only sums are shuffled.
     """
-    own = links.select("bin_id", "institution_id").distinct()
-    left, right = own.withColumnRenamed("institution_id", "a"), own.withColumnRenamed("institution_id", "b")
-    return left.join(right, "bin_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sets = links.groupBy("bin_id").agg(F.array_sort(F.collect_set("institution_id")).alias("held")).where(F.size("held") > 1).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+    runs = sets.select("held", "n", F.explode(F.sequence(F.lit(1), F.size("held"), F.lit(HOLDERS))).alias("first"))
+    runs = runs.repartition(F.xxhash64("held"), "first")
+    ones = runs.select("held", "n", "first", F.posexplode(F.slice("held", F.col("first"), F.lit(HOLDERS))).alias("at", "a"))
+    pairs = ones.select("n", "a", F.explode(F.slice("held", F.col("first") + F.col("at") + 1, F.size("held"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def status_counts(staging: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions import names
 from prefixlake.operators.lookup import BASE_SCORE, is_issuing
+from prefixlake.operators.numbering import numbered
 
 # The least score of a candidate, and how many candidates a name can have before it is too generic.
 CANDIDATE, CANDIDATES = 0.55, 200
@@ -206,9 +207,9 @@ def upsert_addresses(state: DataFrame, rows: DataFrame, order: list[str]) -> Dat
 def upsert_dimension(held: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """``held`` (id, key columns) with a new row for every value it lacks, ids after the greatest.
 
-    Ids follow the values' order; a dimension's values are few, so one window numbers the new ones.
+    Ids follow the values' order.
     """
     top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     new = values.select(key).where(~_blank(F.col(key))).distinct().join(held.select(key), key, "left_anti")
-    new = new.withColumn("_n", F.row_number().over(Window.orderBy(key))).join(F.broadcast(top))  # one row
+    new = numbered(new, [F.col(key)], "_n").join(F.broadcast(top))  # one row
     return held.unionByName(new.select((F.col("_top") + F.col("_n")).cast(held.schema["id"].dataType).alias("id"), key), allowMissingColumns=True)

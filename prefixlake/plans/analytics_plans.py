@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlake.operators import analytics as an
-from prefixlake.operators import search
+from prefixlake.operators import health, search
 from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
+from prefixlake.session import shared_folder
+from prefixlake.sources.release import Releases
 
 
 @query(
@@ -179,30 +183,35 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "health_checks",
-    oracle("""with t as (select count(*) as records, count(network_id) as n, count(country_id) as c, count(*) filter (card_type <> 'unknown') as k, count(*) filter (funding_type <> 'unknown') as f from bx_bins),
-    d as (select count(*) as dup from (select 1 from bx_bins group by bin having count(*) > 1)), l as (select count(distinct bin_id) as linked from bx_links),
-    o as (select count(*) as orphan from bx_addresses where institution_id not in (select id from bx_institutions))
-    select 'duplicates' as key, cast(round(case when dup = 0 then 1 else greatest(0, 1 - dup / records / 0.001e0) end * 1000000) as bigint) as score_ppm, dup as count from t, d
-    union all select 'orphans', cast(round(case when orphan = 0 then 1 else greatest(0, 1 - orphan / records / 0.002e0) end * 1000000) as bigint), orphan from t, o
-    union all select 'relationships', cast(round(linked / records * 1000000) as bigint), greatest(0, records - linked) from t, l
-    union all select 'completeness', cast(round((n + c + k + f) / 4e0 / records * 1000000) as bigint), 4 * records - n - c - k - f from t"""),
+    oracle("""with al as (select id as institution_id, normalized_name as normalized_alias from bx_institutions union all select id + 3, normalized_name from bx_institutions where id % 5 = 0),
+    t as (select count(*) as records, count(network_id) + count(b.country_id) + count(*) filter (card_type <> 'unknown') + count(*) filter (funding_type <> 'unknown') + count(c.currency_code) as filled from bx_bins b left join bx_countries c on c.id = b.country_id),
+    d as (select (select count(*) from (select 1 from bx_bins group by bin having count(*) > 1)) + (select count(*) from (select 1 from al group by institution_id, normalized_alias having count(*) > 1)) as dup),
+    o as (select (select count(*) from bx_links where bin_id not in (select id from bx_bins)) + (select count(*) from bx_links where institution_id not in (select id from bx_institutions))
+      + (select count(*) from bx_addresses where institution_id not in (select id from bx_institutions)) + (select count(*) from al where institution_id not in (select id from bx_institutions))
+      + (select count(*) from bx_ranges where institution_id not in (select id from bx_institutions)) as lost),
+    l as (select count(distinct bin_id) as linked from bx_links), x as (select count(*) as opened from bx_staging where status = 'conflicted'),
+    c as (
+      select 'integrity' as key, 1.0e0 as score, 3.0e0 as weight, 0 as count union all select 'indexes', 1.0e0, 2.0e0, 0
+      union all select 'duplicates', case when dup = 0 then 1 else greatest(0, 1 - dup / records / 0.001e0) end, 1.0e0, dup from t, d
+      union all select 'orphans', case when lost = 0 then 1 else greatest(0, 1 - lost / records / 0.002e0) end, 1.0e0, lost from t, o
+      union all select 'conflicts', case when opened = 0 then 1 else greatest(0, 1 - opened / records / 0.02e0) end, 0.6e0, opened from t, x
+      union all select 'relationships', linked / records, 1.5e0, greatest(0, records - linked) from t, l
+      union all select 'completeness', filled / 5e0 / records, 1.0e0, 5 * records - filled from t),
+    w as (select * from c union all select 'overall', sum(score * weight) / 10.1e0, 10.1e0, null from c)
+    select key, cast(round(score * 1000000) as bigint) as score_ppm, cast(round(weight * 10) as bigint) as weight_tenths, cast(count as bigint) as count,
+           case when score >= 0.95 then 'excellent' when score >= 0.85 then 'good' when score >= 0.70 then 'fair' else 'poor' end as grade, score >= 0.85 as passed from w"""),
 )
 def health_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health checks over what the views hold."""
-    bins, links, inst, addresses = (frame(spark, sf_dir, n) for n in ("bx_bins", "bx_links", "bx_institutions", "bx_addresses"))
-    one = bins.agg(
-        F.count(F.lit(1)).alias("records"), (F.count("network_id") + F.count("country_id") + F.count_if(F.col("card_type") != "unknown") + F.count_if(F.col("funding_type") != "unknown")).alias("filled")
-    )
-    for part in (an.duplicate_groups(bins, "bin").agg(F.count(F.lit(1)).alias("dup")), an.orphans(addresses, "institution_id", inst).agg(F.count(F.lit(1)).alias("orphan")), links.agg(F.countDistinct("bin_id").alias("linked"))):
-        one = one.join(F.broadcast(part))  # one row each
-    score = {
-        "duplicates": (an.ratio_score(F.col("dup"), F.col("records"), 0.001), F.col("dup")),
-        "orphans": (an.ratio_score(F.col("orphan"), F.col("records"), 0.002), F.col("orphan")),
-        "relationships": (F.col("linked") / F.col("records"), F.greatest(F.lit(0), F.col("records") - F.col("linked"))),
-        "completeness": (F.col("filled") / 4.0 / F.col("records"), 4 * F.col("records") - F.col("filled")),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.round(s * 1000000).cast("bigint").alias("score_ppm"), n.cast("bigint").alias("count")) for k, (s, n) in score.items()])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """The seven checks of a release, written and verified, with their weighted mean and grades."""
+    bins, inst, land = (frame(spark, sf_dir, n) for n in ("bx_bins", "bx_institutions", "bx_countries"))
+    aliases = inst.select(F.col("id").alias("institution_id"), F.col("normalized_name").alias("normalized_alias"))
+    aliases = aliases.unionByName(inst.where("id % 5 = 0").select((F.col("id") + 3).alias("institution_id"), F.col("normalized_name").alias("normalized_alias")))
+    made = bins.join(land.select(F.col("id").alias("country_id"), "currency_code"), "country_id", "left")
+    held = Releases(spark, f"{shared_folder(spark)}/health-{uuid.uuid4().hex}")
+    held.write("1", {"bins": made, "institutions": inst, "links": frame(spark, sf_dir, "bx_links"), "addresses": frame(spark, sf_dir, "bx_addresses"), "aliases": aliases, "ranges": frame(spark, sf_dir, "bx_ranges")})
+    opened = frame(spark, sf_dir, "bx_staging").where("status = 'conflicted'").agg(F.count(F.lit(1)))
+    rows = health.health(held.tables("1"), opened, held.verify("1"))
+    return rows.select("key", F.round(F.col("score") * 1000000).cast("bigint").alias("score_ppm"), F.round(F.col("weight") * 10).cast("bigint").alias("weight_tenths"), "count", "grade", "passed")
 
 
 @query(

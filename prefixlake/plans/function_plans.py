@@ -266,3 +266,24 @@ def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     register(spark)
     return spark.sql("select query_id, prefix_low(q) as lo, prefix_high(q) as hi, scheme_of(clean_digits(q)) as scheme from {queries} where q like '4%'", queries=frame(spark, sf_dir, "bx_queries"))
+
+
+@query(
+    "region_resolve",
+    oracle("""select c_custkey, case c_custkey % 6 when 0 then 'CA' when 1 then 'NY' when 2 then 'QC' when 3 then 'NSW' when 4 then null else 'NW' end as code,
+    case c_custkey % 6 when 0 then 'California' when 1 then 'New York' when 2 then 'Quebec' when 3 then 'New South Wales' when 4 then upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Bavaria' else 'Nw' end as name from customer"""),
+)
+def region_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subdivisions by code, by name and by accented name; elsewhere the words as they are."""
+    said = {0: ("us", F.lit("ca")), 1: ("US", F.lit(" new  york ")), 2: ("CA", F.lit("Québec")), 3: ("AU", F.lit("nsw")), 4: ("DE", F.concat(F.lower("c_mktsegment"), F.lit(" bavaria"))), 5: (None, F.lit("nw"))}
+    k = F.col("c_custkey") % 6
+    raw, land = (F.coalesce(*[F.when(k == i, v) for i, v in enumerate(values)]) for values in ([x for _, x in said.values()], [F.lit(x) for x, _ in said.values()]))
+    return frame(spark, sf_dir, "customer").select("c_custkey", geo.region(raw, land).alias("r")).select("c_custkey", "r.*")
+
+
+@query("brand_labels", oracle("select p_partkey, case p_partkey % 3 when 0 then 'Visa' when 1 then p_name else 'Mastercard' end as label from part"))
+def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a brand as its source spells it, or as the catalogue does where it names the network itself."""
+    k = F.col("p_partkey") % 3
+    text, code = F.when(k == 0, "VISA").when(k == 1, F.col("p_name")), F.when(k == 2, "mastercard").otherwise("visa")
+    return frame(spark, sf_dir, "part").select("p_partkey", cards.brand_label(text, code).alias("label"))

@@ -224,3 +224,30 @@ def rebuild_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = Releases(spark, f"{shared_folder(spark)}/rebuilt-{uuid.uuid4().hex}")
     manifest = rebuild.rebuild(held, "1", "2024-01-01", text, frame(spark, sf_dir, "bx_countries"))
     return manifest.where(F.col("table").isin("bins", "institutions", "links", "staging")).select("table", "rows")
+
+
+@query("duplicate_queries", oracle("select q, count(*) as n from bx_queries group by q having count(*) > 1"))
+def duplicate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that occur more than once."""
+    return analytics.duplicate_groups(frame(spark, sf_dir, "bx_queries"), "q")
+
+
+@query(
+    "saved_searches",
+    oracle("""with s as (select 'Search ' || cast(bin_id as varchar) as name, max(id) as query, bin_id % 4 = 0 as pinned from bx_claims where id % 2 = 0 group by bin_id),
+    n as (select 'search ' || cast(bin_id as varchar) as name, max(id) as query, true as pinned from bx_claims where id % 2 = 1 and bin_id % 3 = 0 group by bin_id)
+    select * from s where lower(name) not in (select name from n) union all select * from n"""),
+)
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.Q: saved searches after others of the same names, whatever their case, were saved."""
+    rows = frame(spark, sf_dir, "bx_claims")
+    name = F.col("bin_id").cast("string")
+    state = rows.where("id % 2 = 0").groupBy("bin_id").agg(F.max("id").alias("query")).select(F.concat(F.lit("Search "), name).alias("name"), "query", (F.col("bin_id") % 4 == 0).alias("pinned"))
+    new = rows.where("id % 2 = 1 and bin_id % 3 = 0").groupBy("bin_id").agg(F.max("id").alias("query")).select(F.concat(F.lit("search "), name).alias("name"), "query", F.lit(True).alias("pinned"))
+    return workspace.saved_searches(workspace.upsert(state, new, ["name"]))
+
+
+@query("pruned_history", oracle("select id, bin_id, observed_at from bx_claims where observed_at >= timestamp '2024-01-10 00:00:00'"))
+def pruned_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.Q: what is left when everything older than a day is let go."""
+    return workspace.prune(frame(spark, sf_dir, "bx_claims").select("id", "bin_id", "observed_at"), "observed_at", "2024-01-10 00:00:00")

@@ -38,6 +38,8 @@ _search("search_attributes", AdvancedQuery(card_type="debit", status="active", p
 _search("search_geography", AdvancedQuery(country_code="bx", region="build"), "country_code = 'BX' and region ilike '%build%'", "P10: country and region of the row's own address.")
 _search("search_seen_between", AdvancedQuery(seen_after="2023-03-01", seen_before="2023-06-30"), "first_seen >= timestamp '2023-03-01' and first_seen <= timestamp '2023-06-30'", "P9: time criteria.")
 _search("table_filter_current", TableFilters(is_current=False, card_type="credit"), "not is_current and card_type = 'credit'", "P6: rows not current.")
+_search("table_filter_length", TableFilters(prefix_length=8, funding_type="debit"), "prefix_length = 8 and funding_type = 'debit'", "P6: rows of one length and funding.")
+_search("table_filter_city", TableFilters(text="customer#00000000", is_current=True), "is_current and (starts_with(bin, 'customer#00000000') or institution ilike '%customer#00000000%' or city ilike '%customer#00000000%')", "P6: text that only cities hold.")
 _search("table_filter_text", TableFilters(text="400010"), "starts_with(bin, '400010') or institution ilike '%400010%' or city ilike '%400010%'", "P6: text over prefix, institution and city.")
 
 

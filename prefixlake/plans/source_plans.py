@@ -12,7 +12,7 @@ from prefixlake.plans.domain import frame, oracle
 from prefixlake.plans.registry import query
 from prefixlake.session import shared_folder
 from prefixlake.sources import batch, lists, readers, sinks
-from prefixlake.sources.release import ReleaseConflict, Releases
+from prefixlake.sources.release import ReleaseConflict, Releases, backfill
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -163,3 +163,19 @@ def origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = lists.archive(lists.list_records(lists.read_lists(spark, f"{path}/{i}")), f"{path}-kept/{i}").withColumn("part", F.lit(i))
         kept = one if kept is None else kept.unionByName(one)
     return kept.select("bin", F.col("part").cast("long").alias("part"), F.col("line").cast("long").alias("line"), lists.said("Issuing Bank").alias("bank"), lists.said("no such").alias("nothing"))
+
+
+@query("split_table", oracle("select id, case id % 3 when 0 then 'GOLD' when 1 then 'CLASSIC' else 'WORLD ELITE' end as level, 'BANK ' || cast(id % 50 as varchar) as bank from bx_bins"))
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and banks printed together, told apart by two vocabularies that teach each other from one known level."""
+    bins = frame(spark, sf_dir, "bx_bins")
+    level = F.when(F.col("id") % 3 == 0, "GOLD").when(F.col("id") % 3 == 1, "CLASSIC").otherwise("WORLD ELITE")
+    rows = bins.select("id", F.concat_ws(" ", level, F.lit("BANK"), (F.col("id") % 50).cast("string")).alias("text"))
+    known = bins.limit(1).select(F.lit("GOLD").alias("level"))
+    return lists.split_fused(rows, known, known.where("false")).select("id", "level", "bank")
+
+
+@query("backfilled", oracle("select bin, prefix_length, span_low, span_high from bx_bins"))
+def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.M: columns that an old release lacks, derived from its prefixes."""
+    return backfill(frame(spark, sf_dir, "bx_bins").select("id", "bin"), 1).select("bin", "prefix_length", "span_low", "span_high")
