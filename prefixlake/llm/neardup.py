@@ -8,7 +8,8 @@
    and walked as sorted streams, so a region, which is a run with a common prefix, is never gathered.
    Neighbours with the longest common prefix are candidates first. A region starts at ``DEPTH``
    minima; where its neighbours leave parts apart, the parts are compared if that takes no more than
-   ``WORK`` comparisons, else the region deepens by one label, each subregion for itself.
+   ``WORK`` comparisons, else the region deepens by one label, each subregion for itself. A region of
+   more than ``HELD`` rows deepens likewise, as the stream passes; its subregions are runs of the order.
 3. Depth costs recall, so a document whose regions deepened in ``DEEP_TREES`` trees or more goes into
    ``MORE_TREES`` further trees, which start at ``MORE_DEPTH`` labels and deepen alike. Two documents at
    Jaccard 0.8 share no region with probability (1 - 0.8 ** 3) ** 20 < 1e-6 in the first trees, and
@@ -50,7 +51,7 @@ DEEP_TREES, MORE_TREES, MORE_DEPTH = 3, 44, 6
 LABELS = 64
 LIKELY = 38
 WORK = 1 << 20
-HELD = 1 << 16  # rows of one region that a task holds at once; a longer region is walked in pieces
+HELD = 1 << 16  # rows of one region that a task holds at once; a longer region deepens by its next label
 BLOCK = 2048
 LEADERS = 16
 BROADCAST_ROWS = 1_000_000
@@ -251,8 +252,10 @@ def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         last, first_row = None, True
+        # The region that the stream is in, and how many labels its rows must share to be walked together.
+        region, level = None, depth
 
-        def walked(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        def walked(rows: pa.RecordBatch, starts: np.ndarray, levels: np.ndarray) -> pa.RecordBatch:
             ids, labels = rows.column("id").to_numpy(), _label_matrix(rows.column("seq"))
             inside = np.ones(rows.num_rows, bool)
             inside[starts[:-1]] = False
@@ -262,10 +265,10 @@ def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
             parts = np.cumsum(~near)
             least = np.minimum.reduceat(ids, np.flatnonzero(~near))[parts - 1]
             a, b, deep, trees = [ids[ids != least]], [least[ids != least]], [], []
-            loose = np.add.reduceat((inside & ~near).astype(np.int64), starts[:-1])
-            for g in np.flatnonzero(loose).tolist():
+            loose = np.add.reduceat((inside & ~near).astype(np.int64), starts[:-1]) > 0
+            for g in np.flatnonzero(loose | (levels > depth)).tolist():
                 i, j = int(starts[g]), int(starts[g + 1])
-                links, deepest = _walk(ids[i:j], labels[i:j], parts[i:j], depth, WORK)
+                links, deepest = _walk(ids[i:j], labels[i:j], parts[i:j], int(levels[g]), WORK)
                 for x, y in links:
                     a.append(x[x != y])
                     b.append(y[x != y])
@@ -288,15 +291,28 @@ def forest_links(ordered: DataFrame, depth: int) -> DataFrame:
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             tree, grp = batch.column("tree").to_numpy(), batch.column("grp").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (grp[1:] != grp[:-1])]))
+            while True:
+                own = (tree[0], grp[0])
+                if own != region:
+                    region, level = own, depth
+                fresh = (tree[1:] != tree[:-1]) | (grp[1:] != grp[:-1])
+                deeper = np.zeros(len(fresh), bool)
+                if level > depth:
+                    labels = _label_matrix(batch.column("seq"))[:, :level]
+                    deeper = ((tree[1:] == own[0]) & (grp[1:] == own[1])) & (labels[1:] != labels[:-1]).any(axis=1)
+                starts = np.flatnonzero(np.concatenate([[True], fresh | deeper]))
+                if batch.num_rows - int(starts[-1]) <= HELD or level == LABELS or (tree[-1], grp[-1]) != own:
+                    break
+                level += 1  # too long to hold: its rows part by the next label
             if len(starts) > 1:
-                yield walked(batch.slice(0, int(starts[-1])), starts)
+                levels = np.where((tree[starts] == own[0]) & (grp[starts] == own[1]), level, depth)
+                yield walked(batch.slice(0, int(starts[-1])), starts, levels[:-1])
             held = batch.slice(int(starts[-1]))
-            if held.num_rows > HELD:
-                yield walked(held, np.array([0, held.num_rows]))
+            if level == LABELS and held.num_rows > HELD:  # all labels alike: one part, whatever its length
+                yield walked(held, np.array([0, held.num_rows]), np.array([level]))
                 held = held.slice(held.num_rows - 1)
         if held is not None:
-            yield walked(held, np.array([0, held.num_rows]))
+            yield walked(held, np.array([0, held.num_rows]), np.array([level if (held.column("tree")[0].as_py(), held.column("grp")[0].as_py()) == region else depth]))
             yield _found(2, last.column("id").to_numpy(), np.zeros(1, np.int64), last)
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
