@@ -5,10 +5,10 @@ Leaves of it that more than ``CELL`` points reach are split further inside the e
 a bounded sample of its own points, into about ``FANOUT`` leaves, so the number of leaves follows the
 rows up to a fixed bound, and every row is placed in a leaf. A query walks the tree with a priority
 queue of unvisited branches by distance to their centres, and so orders the leaves it would visit.
-How many it visits is calibrated: ``PROBES`` queries that the tree was not fitted on are compared
-with all rows exactly, and visits widen until that share ``RECALL`` of their true neighbours lies in
-visited leaves. Another ``PROBES`` queries then measure the recall of that width; it is a column of
-the result.
+How many it visits is calibrated: twice ``PROBES`` vectors, drawn by hash from all rows, those first that
+the tree was not fitted on, are compared with all rows exactly, and visits widen until the share
+``RECALL`` of the true neighbours lies in visited leaves for either half of them. What all of them found
+at that width is a column of the result.
 
 Equal vectors are one point with its smallest ids, so copies cost nothing however many there are.
 Points of a leaf are dealt to blocks of bounded size. A block meets its queries as a sorted stream,
@@ -27,6 +27,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,7 +196,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score, measured_recall): the ``k`` nearest rows found for every row with ``is_query``.
 
     ``vectors`` has vec_id and embedding; ``is_query`` may use vec_id. Score is Euclidean distance.
-    ``measured_recall`` is what fresh queries found in this run; null where there were none.
+    ``measured_recall`` is what the probes found in this run.
     """
     rows, dims = usable(vectors)
     rows = written(rows, "vectors")
@@ -238,8 +239,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     large = {leaf: n for leaf, (n, _) in sizes.items() if n > CELL}
     if large:
         scale = 1 << 30
-        share = F.create_map(*[F.lit(x).cast("long") for leaf, n in large.items() for x in (leaf, min(scale, scale * FANOUT * LEAF // n))])
-        some = points.where(F.pmod(F.xxhash64(F.lit(31), "v"), F.lit(scale)) < share[F.col("leaf")])
+        # One row a leaf, whose number ``SAMPLE`` and ``FANOUT`` bound.
+        shares = spark.createDataFrame([(leaf, min(scale, scale * FANOUT * LEAF // n)) for leaf, n in large.items()], "leaf long, share long")
+        some = points.join(F.broadcast(shares), "leaf").where(F.pmod(F.xxhash64(F.lit(31), "v"), F.lit(scale)) < F.col("share")).select("v", "leaf", "ids")
 
         def split(key: tuple, own: pa.Table) -> pa.Table:
             x = _matrix(own["v"].combine_chunks(), dims) - middle
@@ -258,9 +260,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     blocks = {leaf: -(-n // BLOCK) for leaf, (n, _) in sizes.items()}
 
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    fresh = rows.where(is_query).where(~fitted).select("v").distinct().orderBy(F.xxhash64(F.lit(37), "v"), "v").limit(2 * PROBES).toArrow()["v"].combine_chunks()
-    probes = _matrix(fresh, dims)
-    width, recall = calibrate(points, tree, probes, middle, keep) if len(probes) else (tree.leaves, None)
+    known = F.exists("ids", lambda i: F.pmod(F.xxhash64(F.lit(29), i), F.lit(total)) < min(SAMPLE, max(1, total // 2)))
+    probes = _matrix(points.orderBy(known, F.xxhash64(F.lit(37), "v"), "v").limit(2 * PROBES).select("v").toArrow()["v"].combine_chunks(), dims)
+    width, recall = calibrate(points, tree, probes, middle, keep)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,8 +283,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     own_block = F.lit(0).cast("long")
     if max(blocks.values()) > 1:
-        many = F.create_map(*[F.lit(x).cast("long") for leaf, n in blocks.items() if n > 1 for x in (leaf, n)])
-        own_block = F.pmod(F.xxhash64("v"), F.coalesce(many[F.col("leaf")], F.lit(1).cast("long")))
+        many = spark.createDataFrame([(leaf, n) for leaf, n in blocks.items() if n > 1], "leaf long, many long")
+        points = points.join(F.broadcast(many), "leaf", "left")
+        own_block = F.pmod(F.xxhash64("v"), F.coalesce("many", F.lit(1).cast("long")))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     visits = asked.select("v").distinct().repartition(tasks, "v").mapInArrow(visit, "v binary, leaf long, block long, ids array<long>")
     dealt = visits.union(points.select("v", "leaf", own_block.alias("block"), "ids")).withColumn("asks", F.col("ids").isNull())
@@ -325,7 +328,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 
 def calibrate(points: DataFrame, tree: Tree, probes: np.ndarray, middle: np.ndarray, keep: int) -> tuple[int, float | None]:
-    """How many leaves a query visits, and the recall measured with probes that did not set it."""
+    """How many leaves a query visits so that either half of the probes reaches ``RECALL``, and what all of them reach."""
     dims = probes.shape[1]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +347,8 @@ def calibrate(points: DataFrame, tree: Tree, probes: np.ndarray, middle: np.ndar
         at = {leaf: n for n, leaf in enumerate(tree.visits(probes[r["p"]] - middle))}
         places[r["p"]] = [at[x["leaf"]] for x in r["x"][1:]]  # the first is the probe itself
     half = -(-len(probes) // 2)
-    setting = np.array([x for p, own in places.items() if p < half for x in own])
-    checking = np.array([x for p, own in places.items() if p >= half for x in own])
-    width = 1
-    while len(setting) and (setting < width).mean() < RECALL:
-        width += 1
-    return width, float((checking < width).mean()) if len(checking) else None
+    halves = [np.sort([x for p, own in places.items() if (p < half) == first for x in own]) for first in (True, False)]
+    halves = [h for h in halves if len(h)]
+    # The visit at which the share is reached is the order statistic of that share.
+    width = max((int(h[math.ceil(RECALL * len(h)) - 1]) + 1 for h in halves), default=1)
+    return width, float((np.concatenate(halves) < width).mean()) if halves else None
