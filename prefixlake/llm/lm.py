@@ -382,7 +382,8 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarra
         def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             found = list(pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), shards))
             held.clear()
-            own = [[key] * len(found), *([None] * len(found) for _ in range(4)), *([x[k] for x in found] for k in range(4))]
+            none = [None] * len(found)
+            own = [[key] * len(found), none, none, [len(x[3]) // 4 for x in found], none, *([x[k] for x in found] for k in range(4))]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -424,8 +425,12 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarra
     found = written(documents.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(run, SCORED), "scored")
     known = spark.read.schema("h long, n long").parquet(*vocabulary.words) if vocabulary.words else spark.createDataFrame([], "h long, n long")
     shard = F.shiftright(F.shiftrightunsigned("h", 40) * shards, 24).cast("int")
-    packs = found.where("shard is not null").select("shard", "key", "words", "times", "rows")
-    sums = packs.groupBy("shard").cogroup(known.select(shard.alias("shard"), "h", "n").groupBy("shard")).applyInArrow(parts, "key long, part long")
+    packs = found.where("shard is not null")
+    # A shard with a frequent word is dealt to several groups by pack; each gets the shard's counts, nothing else is copied.
+    salts = packs.groupBy("shard").agg(F.ceil(F.sum("n_tokens") / (2 * SHARE_TOKENS)).alias("salts"))
+    packs = packs.select("shard", "key", "words", "times", "rows").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).drop("salts")
+    counted = known.select(shard.alias("shard"), "h", "n").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    sums = packs.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInArrow(parts, "key long, part long")
     sums = sums.groupBy("key").agg((F.sum("part") / SCALE).alias("part"))
     out = found.where("shard is null").select("key", "doc_id", "digest", "n_tokens", "log_prob").join(sums, "key", "left")
     out = out.withColumn("log_prob", F.col("log_prob") + F.coalesce("part", F.lit(0.0)))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from prefixlake.llm import lm
 from tests.llm.conftest import ODD
@@ -59,16 +61,24 @@ def test_empty(documents):
     assert lm.score(docs, *lm.fit(docs)).count() == 0
 
 
-def test_every_distinct_word_has_its_own_probability(spark, documents):
-    """Rarer words share ids in the network, but not their probability."""
+@pytest.mark.parametrize("tokens", [1 << 23, 64])
+def test_every_distinct_word_has_its_own_probability(spark, documents, monkeypatch, tokens):
+    """Rarer words share ids in the network, but not their probability, however their shards are dealt to groups."""
+    monkeypatch.setattr(lm, "SHARE_TOKENS", tokens)
     count = {f"common{i}": 5 for i in range(lm.TOP - 1)} | {f"rare{i}": 1 + i % 3 for i in range(5000)}
     vocabulary = lm.fit_vocabulary(documents([" ".join([w] * n) for w, n in count.items()]))
     words = list(count)
-    got = lm.score(documents([*words, "rare1 rare1 unheard"]), vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").sort_index().log_prob
+    asked = documents([*words, "rare1 rare1 unheard"]).repartition(8)
+    if tokens == 64:  # one word in a third of all texts: its shard is many groups
+        asked = asked.unionByName(documents(["rare2"] * 2000).withColumn("doc_id", F.col("doc_id") + 1_000_000).repartition(40))
+    got = lm.score(asked, vocabulary, lm.initial(vocabulary)).toPandas().set_index("doc_id").sort_index().log_prob
     ((_, ids, begins, _),) = lm.hashed_tokens(pa.array(words), vocabulary)
     net = lm.Scorer(lm.initial(vocabulary)).log_probabilities(ids, begins[:-1])
     own = ids[begins[:-1]]
     part = np.array([np.log(count[w] / vocabulary.counts[i]) for w, i in zip(words, own, strict=True)])
+    if tokens == 64:
+        assert np.allclose(got[got.index >= 1_000_000], got[words.index("rare2")], atol=1e-6)
+        got = got[got.index < 1_000_000]
     assert np.allclose(got[: len(words)], net + part, atol=1e-6)
     assert (part[: lm.TOP - 1] == 0).all() and part.min() < -1
     assert abs(np.exp(got[: len(words)]).sum() - np.exp(net[np.unique(own, return_index=True)[1]]).sum()) < 1e-6
