@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefixlake.functions import names
 from prefixlake.operators.lookup import BASE_SCORE, is_issuing
 from prefixlake.operators.numbering import numbered
+from prefixlake.session import checkpointed
 
 # The least score of a candidate, and how many candidates a name can have before it is too generic.
 CANDIDATE, CANDIDATES = 0.55, 200
@@ -37,6 +38,7 @@ def resolve_names(raw: DataFrame, institutions: DataFrame, aliases: DataFrame, m
     keyed = _with(raw, DETAILS).withColumn("_ask", F.to_json(F.struct(*asked)))
     once = keyed.groupBy("_ask").agg(*[F.first(c).alias(c) for c in asked])
     once = once.withColumn("_n", names.name_struct(F.col("issuer"))).withColumn("_scope", F.coalesce(F.col("country_id").cast("string"), F.lit("")))
+    once = checkpointed(once)  # three branches go on from the distinct questions
     legal = names.name_struct(F.col("legal_name"))["normalized"]
     wanted = once.where("_n.display <> ''").select("_ask", "_scope", F.posexplode(F.array(legal, F.col("_n.normalized"), F.col("_n.normalized"))).alias("_rung", "_key")).where("_key <> ''")
     known = _with(institutions, {"normalized_legal_name": "string", "short_name": "string", **DETAILS})
@@ -51,7 +53,7 @@ def resolve_names(raw: DataFrame, institutions: DataFrame, aliases: DataFrame, m
     met = met.agg(*[F.max(F.when(F.col("_rung") == i, single)).alias(n) for i, n in enumerate(("_exact", "_canonical", "_alias"))], F.max((F.col("_rung") == 1) & single.isNull()).alias("_twins"))
     once = once.join(met, "_ask", "left")
     kind = F.when(F.col("_n.display") == "", "unknown").when(F.col("_exact").isNotNull(), "exact").when(F.col("_canonical").isNotNull(), "canonical").when(F.col("_twins"), "conflict").when(F.col("_alias").isNotNull(), "alias")
-    once = once.withColumn("_kind", F.when(F.col("_n").isNull() | F.col("issuer").isNull(), "unknown").otherwise(kind))
+    once = checkpointed(once.withColumn("_kind", F.when(F.col("_n").isNull() | F.col("issuer").isNull(), "unknown").otherwise(kind)))
     scored = candidates(once.where("_kind is null"), known, most)
     best = scored.groupBy("_ask").agg(F.max_by(F.struct("id", "score", "can_merge"), F.struct("score", -F.col("id"))).alias("_b"), F.count_if("can_merge").alias("_strong"))
     done = once.join(best, "_ask", "left")

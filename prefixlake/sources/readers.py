@@ -5,6 +5,7 @@ Everything is read as text, so leading zeros stay; values are typed later, by co
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from prefixlake.session import on_workers
 
 DELIMITERS = (",", "\t", ";", "|")
+SNIFFED = 8192
 ARRAY_KEYS = ("records", "data", "bins", "results", "items", "rows")
 
 # Names that feeds use for each field of a record.
@@ -103,11 +105,15 @@ def split_aliases(c: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited feed (S1): the delimiter is sniffed from the first line alone."""
-    first = spark.read.text(path).where("trim(value) <> ''").head()
-    if first is None:
+    """A delimited feed (S1): the delimiter is sniffed from the first lines, ``SNIFFED`` characters at most, else from the header."""
+    lines = [r[0] for r in spark.read.text(path).where("trim(value) <> ''").head(SNIFFED // 16)]
+    if not lines:
         raise ValueError("the feed has no header")
-    return spark.read.csv(path, header=True, sep=sniff_delimiter(first[0]), quote='"', escape='"', enforceSchema=False, mode="PERMISSIVE")
+    try:
+        sep = csv.Sniffer().sniff("\n".join(lines)[:SNIFFED], delimiters="".join(DELIMITERS)).delimiter
+    except csv.Error:
+        sep = sniff_delimiter(lines[0])
+    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', enforceSchema=False, mode="PERMISSIVE")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

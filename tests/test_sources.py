@@ -23,6 +23,11 @@ def test_csv_and_mapping(spark, tmp_path):
     assert [(r["bin"], r["issuer"], r["country"], r["aliases"]) for r in got] == [("041472", "Alpha, Inc", "US", ["x", "y"]), ("510001", None, "GB", None)]
 
 
+def test_the_delimiter_is_sniffed_from_more_than_the_header(spark, tmp_path):
+    path = put(tmp_path, "b.csv", 'bin|note, with, commas, and, more\n414720|a\n414721|b\n414722|c\n414723|d\n')
+    assert readers.read_csv(spark, path).columns[0] == "bin"
+
+
 def test_json_shapes(spark, tmp_path):
     nested = put(tmp_path, "n.json", '{"data": [{"bin": "414720", "scheme": "visa", "bank": {"name": "A"}, "country": {"alpha2": "US"}}]}')
     r = readers.map_record(readers.read_json(spark, nested)).first()
