@@ -37,6 +37,7 @@ GENERIC = (
     "national", "international", "federal", "state", "first", "commercial", "cooperative", "mutual", "card", "cards", "services", "solutions",
     "payments", "payment", "sparkasse", "raiffeisen", "volksbank",
 )
+# Fixed value: words that name a place of business, not the institution.
 BRANCH_WORDS = r"\b(branch|bank branch|head office|main office|hq|headquarters|division|dept|department)\b"
 
 MERGE, REVIEW, GENERIC_WEIGHT = 0.92, 0.78, 0.35

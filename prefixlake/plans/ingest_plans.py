@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixlake.functions.display import version_key
@@ -47,6 +47,29 @@ def institution_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", F.when(F.col("match_type").isin("exact", "canonical", "conflict", "alias"), F.col("match_type")).otherwise("other").alias("match_type"), F.when(F.col("match_type") != "strong", F.col("institution_id")).alias("institution_id"))
 
 
+@query(
+    "resolution_scored",
+    oracle("""select c_custkey, case i % 4 when 0 then 'strong' when 1 then 'possible' when 2 then 'unknown' else 'conflict' end as match_type, case when i % 4 = 0 then i end as institution_id,
+    cast(case i % 4 when 0 then 10000 when 1 then 9700 else 0 end as bigint) as confidence_e4, case when i % 4 <> 2 then i end as candidate_id from (select c_custkey, c_custkey % 10 as i from customer) t"""),
+)
+def resolution_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6, M5: names alike but for their legal form: backed by a website, by a country alone, in another country, and two that are as good."""
+
+    def named(i: Column, form: str) -> Column:
+        return F.concat(F.reverse(F.lpad(i.cast("string"), 6, "0")), F.lit(f"q trust {form}"))
+
+    i = F.col("c_custkey") % 10
+    site = F.when(i % 4 != 1, F.concat(F.lit("http://H"), i.cast("string"), F.lit(".example/about")))
+    raw = frame(spark, sf_dir, "customer").select("c_custkey", named(i, "ltd").alias("issuer"), F.when(i % 4 == 2, (i + 1) % 3).otherwise(i % 3).cast("int").alias("country_id"), F.when(i % 4 != 2, site).alias("website"))
+    k = F.col("id")
+    website = F.concat(F.lit("https://www.h"), k.cast("string"), F.lit(".example"))
+    one = frame(spark, sf_dir, "bx_institutions").select("id", named(k, "plc").alias("display_name"), (k % 3).cast("int").alias("country_id"), website.alias("website"))
+    twin = one.where("id % 4 = 3").select((k + 1_000_000).alias("id"), F.replace("display_name", F.lit("plc"), F.lit("inc")).alias("display_name"), "country_id", "website")
+    known = one.unionByName(twin).withColumn("normalized_name", F.lower("display_name"))
+    done = institutions.resolve_names(raw, known, known.select(k.alias("institution_id"), F.lit("nobody").alias("normalized_alias")).where("false"))
+    return done.select("c_custkey", "match_type", "institution_id", F.round(F.col("confidence") * 10000).cast("bigint").alias("confidence_e4"), "candidate_id")
+
+
 _MERGED = """
   s as (select id as old, id - id % 3 as kept from bx_institutions where id % 3 > 0 and id > 3),
   i as (select id, display_name, normalized_name, case when id % 4 = 0 then null else 'L' || cast(id % 7 as varchar) end as legal, country_id, parent_id from bx_institutions),
