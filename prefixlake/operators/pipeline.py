@@ -165,12 +165,12 @@ def resolver_ladder(raw: DataFrame, institutions: DataFrame, aliases: DataFrame)
     return out.withColumn("match_type", kind).withColumn("institution_id", F.when(kind == "canonical", F.col("_i")).when(kind == "alias", F.col("_ai"))).withColumn("confidence", score).drop("_n", "_c", "_i", "_ac", "_ai")
 
 
-def name_pairs(institutions: DataFrame, links: DataFrame) -> DataFrame:
+def name_pairs(institutions: DataFrame, links: DataFrame, weak_block: int | None = WEAK_BLOCK) -> DataFrame:
     """Scored pairs of institutions that share a block key.
 
     Keys are the core name, its first word, and acronyms of three letters and more. A weak key that
-    more than ``WEAK_BLOCK`` institutions share no longer discriminates and is not compared, as its
-    definition says. Core keys always are, at any size: as whether two names merge depends on their
+    more than ``weak_block`` institutions share no longer discriminates and is not compared, as its
+    definition says; None compares them at any size. Core keys always are, at any size: as whether two names merge depends on their
     countries and shared prefixes, every holder is compared with the least one of the name, of the name
     in its country, of the name without country and of the name on each of its prefixes, which connects
     whatever any pair of holders would connect. The sequence ratio runs once per distinct pair of core names.
@@ -187,7 +187,7 @@ def name_pairs(institutions: DataFrame, links: DataFrame) -> DataFrame:
     on_bins = on_bins.join(on_bins.groupBy("k", "bin_id").agg(F.min("id").alias("least")), ["k", "bin_id"])
     reach = [core.join(sizes.select("k", "least"), "k"), core.join(nowhere, "k"), core.join(placed, ["k", "country_id"]), on_bins]
     strong = reduce(DataFrame.union, [x.select("least", "id") for x in reach]).where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
-    weak = blocks.join(sizes.where((F.col("n") <= WEAK_BLOCK) & (F.col("n") > 1) & ~F.col("k").like("core:%")).select("k"), "k", "left_semi")
+    weak = blocks.join(sizes.where((F.lit(True) if weak_block is None else F.col("n") <= weak_block) & (F.col("n") > 1) & ~F.col("k").like("core:%")).select("k"), "k", "left_semi")
     weak = weak.select("k", F.col("id").alias("a")).join(weak.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b")
     pairs = strong.union(weak).distinct()
     left, right = own.select(*[F.col(c).alias(f"{c}_a") for c in own.columns]), own.select(*[F.col(c).alias(f"{c}_b") for c in own.columns])

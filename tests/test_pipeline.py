@@ -109,3 +109,10 @@ def test_merge_keeps_one_key_with_very_many_rows(spark):
     df = spark.range(20000).selectExpr("0 as bin", "id as line", "cast(id % 3 as string) as network", "50.0 as confidence", "false as current")
     (r,) = pipeline.merge_fields(df, "bin", ["line"], ["network"]).collect()
     assert r["network"] == "0" and {(c["value_a"], c["value_b"]) for c in r["conflicts"]} == {("0", "1"), ("0", "2")}
+
+
+def test_weak_blocks_of_any_size_on_demand(spark):
+    inst = spark.createDataFrame([(i, f"Granite {chr(97 + i // 9)}{chr(97 + i % 9)} House", 1) for i in range(70)], "id long, display_name string, country_id int")
+    links = spark.createDataFrame([], "bin_id long, institution_id long")
+    assert pipeline.name_pairs(inst, links).count() == 273  # those that share an acronym
+    assert pipeline.name_pairs(inst, links, weak_block=None).count() == 70 * 69 // 2
