@@ -43,13 +43,13 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def sampled_bags(documents: DataFrame, labels: DataFrame, spec: Buckets, sample: Sample) -> DataFrame:
     """(doc_id, label, length, ids, weights): sparse bags of at most ``sample.rows`` documents that ``labels`` (doc_id, label) marks.
 
-    The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable. Only ids
-    are ordered: texts are met in one scan behind a broadcast of the drawn ids, whose number is the
+    The rows are those of least hash of (seed, doc_id), so the draw is even and repeatable; of several
+    labels of one document the least counts. Only ids are ordered: texts are met in one scan behind a broadcast of the drawn ids, whose number is the
     bound, and only drawn documents are shuffled (to take one of each id).
     """
     order = F.xxhash64(F.lit(sample.seed), "doc_id")
     drawn = labels.select("doc_id", F.col("label").cast("string").alias("label")).dropna().orderBy(order, "doc_id", "label").limit(sample.rows)
-    drawn = drawn.dropDuplicates(["doc_id"])
+    drawn = drawn.groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,3 +75,9 @@ def test_languages_never_learnt_are_rejected(spark):
         share = quality.score_language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy(F.col("lang") == left_out).agg(F.avg(F.col("accepted").cast("double"))).collect()
         accepted = dict(tuple(r) for r in share)
         assert accepted[True] < 0.3 and accepted[False] > 0.98, (left_out, accepted)
+
+
+def test_of_two_labels_the_least_counts(spark, documents):
+    labels = spark.createDataFrame([(i, x) for i in range(30) for x in (str(i % 3), "9")], "doc_id long, label string")
+    rows = quality.sampled_bags(documents(["a b"] * 30), labels.repartition(7), quality.QUALITY, quality.Sample()).collect()
+    assert {r["doc_id"]: r["label"] for r in rows} == {i: str(i % 3) for i in range(30)}
