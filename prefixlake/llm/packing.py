@@ -11,7 +11,9 @@ exchange is left. A shard loses less than one sequence against the bound, so lar
 trade parallelism for the last fraction of a percent.
 
 Defined results: a null or empty text is the one id ``END``; repeated rows are separate documents;
-an empty table gives an empty result.
+pieces of equal length go in the order of their columns, so ties don't depend on partitions; an empty
+table gives an empty result. ``tokenized`` reads doc_id and text alone, whatever else the table holds;
+``pack`` keeps the columns of its pieces, but ``sequence_id`` and ``offset`` are its own.
 """
 
 from __future__ import annotations
