@@ -45,6 +45,7 @@ BATCH = 8192
 SHARD = 8192
 FAN = 32  # copies merged at once
 PART_TOKENS = 1 << 21  # words a copy is trained on in a round
+BROADCAST_ROWS = 1_000_000
 SHARES, SHARE_TOKENS, PACK = 16, 1 << 23, 1 << 20  # least shards of rarer words, tokens a shard, tokens packed at once
 SCALE = 1 << 24  # parts are summed as whole numbers, so that no order of rows changes a sum
 EDGE = 0  # the id of what lies beyond a text's ends; never predicted
@@ -428,6 +429,8 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarra
     packs = found.where("shard is not null")
     # A shard with a frequent word is dealt to several groups by pack; each gets the shard's counts, nothing else is copied.
     salts = packs.groupBy("shard").agg(F.ceil(F.sum("n_tokens") / (2 * SHARE_TOKENS)).alias("salts"))
+    if shards <= BROADCAST_ROWS:  # one row a shard; more than that are joined as the planner likes
+        salts = F.broadcast(salts)
     packs = packs.select("shard", "key", "words", "times", "rows").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).drop("salts")
     counted = known.select(shard.alias("shard"), "h", "n").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     sums = packs.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInArrow(parts, "key long, part long")
