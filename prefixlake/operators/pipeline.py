@@ -94,12 +94,12 @@ def merge_fields(rows: DataFrame, key: str, order: list[str], fields: list[str])
     return sorted_rows.mapInArrow(fold, schema)
 
 
-def enrich(bins: DataFrame, links: DataFrame, institutions: DataFrame, addresses: DataFrame, countries: DataFrame, networks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def enrich(bins: DataFrame, links: DataFrame, institutions: DataFrame, addresses: DataFrame, countries: DataFrame, networks: DataFrame | None = None, ranges: tuple[tuple[str, str, str], ...] = digits.SCHEME_RANGES, rest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Four fills in order, blanks only (I10, J15): returns (bins, events).
 
     Institution country from its first address; prefix country from its current issuer (the least
-    institution id where several); network from the digits where one scheme publishes them; currency
-    from the country.
+    institution id where several); network from the digits where one scheme of ``ranges`` publishes
+    them (with ``rest``, the last scheme has all other digits); currency from the country.
     """
     first = addresses.where("country_id is not null").groupBy("institution_id").agg(F.min_by("country_id", "id").alias("_address"))
     inst = institutions.join(first, institutions["id"] == first["institution_id"], "left").select(F.col("id").alias("institution_id"), F.coalesce("country_id", "_address").alias("_country"))
@@ -107,13 +107,13 @@ def enrich(bins: DataFrame, links: DataFrame, institutions: DataFrame, addresses
     own = own.groupBy("bin_id").agg(F.min_by("_country", "institution_id").alias("_issuer_country"))
     out = bins.join(own, bins["id"] == own["bin_id"], "left").drop("bin_id")
     out = out.withColumn("_had", F.col("country_id")).withColumn("country_id", F.coalesce("country_id", "_issuer_country"))
-    out = out.withColumn("scheme", F.when(F.col("network_id").isNull(), digits.scheme_of(F.col("bin"))))
+    out = out.withColumn("scheme", F.when(F.col("network_id").isNull(), digits.scheme_of(F.col("bin"), ranges, rest)))
     land = countries.select(F.col("id").alias("country_id"), F.col("currency_code").alias("currency"))
     out = out.join(land, "country_id", "left")
     events = F.filter(
         F.array(
             F.when(F.col("_had").isNull() & F.col("country_id").isNotNull(), F.struct(F.lit("country_id").alias("field"), F.col("country_id").cast("string").alias("value"), F.lit("bin:issuer-country").alias("rule"))),
-            F.when(F.col("scheme").isNotNull(), F.struct(F.lit("network").alias("field"), F.col("scheme").alias("value"), digits.scheme_rule(F.col("bin")).alias("rule"))),
+            F.when(F.col("scheme").isNotNull(), F.struct(F.lit("network").alias("field"), F.col("scheme").alias("value"), digits.scheme_rule(F.col("bin"), ranges, rest).alias("rule"))),
             F.when(F.col("currency").isNotNull(), F.struct(F.lit("currency_code").alias("field"), F.col("currency").alias("value"), F.lit("bin:country-currency").alias("rule"))),
         ),
         lambda e: e.isNotNull(),

@@ -45,3 +45,8 @@ def same(name, spark, folder):
 
 def test_nine_digits_are_shown_in_two_groups(spark, moved):
     same("display_forms", spark, moved[650_000])
+
+
+@pytest.mark.parametrize("by", [119_900, 650_000])
+def test_all_digits_have_a_scheme_of_the_catalogue(by, spark, moved):
+    same("enrich_currency", spark, moved[by])
