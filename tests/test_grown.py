@@ -50,3 +50,8 @@ def test_nine_digits_are_shown_in_two_groups(spark, moved):
 @pytest.mark.parametrize("by", [119_900, 650_000])
 def test_all_digits_have_a_scheme_of_the_catalogue(by, spark, moved):
     same("enrich_currency", spark, moved[by])
+
+
+@pytest.mark.parametrize("by", [119_900, 650_000])
+def test_events_name_the_scheme_of_the_catalogue(by, spark, moved):
+    same("enrich_events", spark, moved[by])
