@@ -27,8 +27,8 @@ class ReleaseConflict(RuntimeError):
 
 
 def _checksum(df: DataFrame) -> list:
-    """Rows and an order-free checksum: the sum of row hashes, combined map-side."""
-    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum")]
+    """Rows and an order-free checksum: the sum of row hashes, combined map-side; hashes pass over nulls, so those are told apart."""
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns]).cast("decimal(38,0)")).cast("string").alias("checksum")]
 
 
 @dataclass(frozen=True)

@@ -67,3 +67,8 @@ def test_lists_of_nine_digits_are_counted(spark, moved):
 
 def test_rows_of_nine_digits_keep_their_origin(spark, moved):
     same("origin_rows", spark, moved[650_000])
+
+
+def test_a_value_that_moves_between_columns_is_a_change(spark, moved):
+    # Prefix 9828 loses country 3 and gains network 3.
+    same("maintained_statistics", spark, moved[9_800])
