@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from prefixlake.plans import all_queries
 
 
@@ -17,3 +19,8 @@ def top_join(df):
 def test_agreement_is_counted_after_the_last_move(spark, sf_dir):
     plan = all_queries.queries()["agreement_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("name", ["lookup_confidence"])
+def test_queries_meet_answers_without_arrays(name, spark, sf_dir):
+    assert "array" not in sum(top_join(all_queries.queries()[name](spark, sf_dir)), [])
