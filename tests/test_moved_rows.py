@@ -21,6 +21,6 @@ def test_agreement_is_counted_after_the_last_move(spark, sf_dir):
     assert plan.index("Generate") < plan.index("Exchange")
 
 
-@pytest.mark.parametrize("name", ["lookup_confidence", "lookup_conflicts"])
+@pytest.mark.parametrize("name", ["lookup_confidence", "lookup_conflicts", "lookup_rivals"])
 def test_queries_meet_answers_without_arrays(name, spark, sf_dir):
     assert "array" not in sum(top_join(all_queries.queries()[name](spark, sf_dir)), [])
