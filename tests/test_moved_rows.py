@@ -24,3 +24,8 @@ def test_agreement_is_counted_after_the_last_move(spark, sf_dir):
 @pytest.mark.parametrize("name", ["lookup_confidence", "lookup_conflicts", "lookup_rivals"])
 def test_queries_meet_answers_without_arrays(name, spark, sf_dir):
     assert "array" not in sum(top_join(all_queries.queries()[name](spark, sf_dir)), [])
+
+
+def test_winners_meet_relationships_last(spark, sf_dir):
+    sides = top_join(all_queries.queries()["lookup_winner"](spark, sf_dir))
+    assert [len(s) for s in sides if "array" in s] == [3]
