@@ -29,3 +29,7 @@ def test_queries_meet_answers_without_arrays(name, spark, sf_dir):
 def test_winners_meet_relationships_last(spark, sf_dir):
     sides = top_join(all_queries.queries()["lookup_winner"](spark, sf_dir))
     assert [len(s) for s in sides if "array" in s] == [3]
+
+
+def test_labels_need_no_institutions(spark, sf_dir):
+    assert "s_suppkey" not in all_queries.queries()["lookup_match_label"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
