@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from prefixlake.operators import analytics
+from prefixlake.plans import domain
 
 
 def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
@@ -38,3 +39,12 @@ def test_portfolios_are_dealt_by_their_rows(spark, monkeypatch):
                 was = want.get(at, (False, 9))
                 want[at] = (was[0] or b % 3 == 0, min(was[1], b % 5))
     assert {(r["root"], r["bin"]): (r["is_current"], r["network_id"]) for r in held.collect()} == want
+
+
+def test_links_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(domain, "EACH", 500, raising=False)
+    links = domain.frame(spark, sf_dir, "bx_links")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert links.rdd.getNumPartitions() == -(-rows // 500)
+    monkeypatch.undo()
+    assert links.exceptAll(domain.frame(spark, sf_dir, "bx_links")).count() == 0
