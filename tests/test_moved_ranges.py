@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefixlake.operators.intervals import cut
+from prefixlake.plans import all_queries
 
 
 def test_blocks_are_made_where_they_are_summed(spark):
@@ -26,3 +27,10 @@ def test_long_ranges_hold_whole_cells(spark):
             if a <= s <= b:
                 want[s, o] = want.get((s, o), 0) + 1
     assert got == want
+
+
+def test_relationships_of_winners_stay_at_their_prefix(spark, sf_dir):
+    node = all_queries.queries()["lookup_winner"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "Union" not in node.children().apply(1).toString()
