@@ -3,16 +3,18 @@
 The top of the tree is fitted on the driver from a bounded sample (``SAMPLE`` vectors drawn by hash).
 Leaves of it that more than ``CELL`` points reach are split further inside the executors, each from
 a bounded sample of its own points, into about ``FANOUT`` leaves, so the number of leaves follows the
-rows up to a fixed bound, and every row is placed in a leaf. A query walks the tree with a priority
-queue of unvisited branches by distance to their centres, and so orders the leaves it would visit.
+rows up to a fixed bound, and every row is placed in a leaf. Neighbouring leaves are gathered to bins of about
+``GATHER`` points, larger ones dealt to bins of about ``BLOCK``. Best bin first comes to a leaf by the greatest distance to
+a centre on the way to it, and so orders the bins that a query would visit.
 How many it visits is calibrated: twice ``PROBES`` vectors, drawn by hash from all rows, those first that
 the tree was not fitted on, are compared with all rows exactly, and visits widen until the share
-``RECALL`` of the true neighbours lies in visited leaves for either half of them. What all of them found
+``RECALL`` of the true neighbours lies in visited bins for either half of them. What all of them found
 at that width is a column of the result.
 
 Equal vectors are one point with its smallest ids, so copies cost nothing however many there are.
-Points of a leaf are dealt to blocks of bounded size. A block meets its queries as a sorted stream,
-so a task holds one block and one batch of queries, however many queries visit it.
+Runs of bins make pieces of at most ``PIECE`` bytes, one a task. A query moves to a piece once, with the bins that it visits there,
+and leaves one list there. A task holds its piece and ``CHUNK`` queries, however many visit it, and one that tells queries
+where to go holds the bins of a few of them.
 
 Distances are prefiltered by a matrix product of vectors less the sample's mean, with a bound on its
 rounding error, and whatever may be among the nearest is measured again on the original vectors.
@@ -26,7 +28,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 from collections.abc import Iterator
@@ -45,7 +46,11 @@ LEAF = 48
 CELL, FANOUT = 1024, 256  # points a top leaf holds before it is split, and into about how many leaves
 PROBES = 96
 RECALL = 0.96
-BLOCK = 4096
+GATHER = 1024  # points up to which neighbouring leaves share a bin
+BLOCK = 4096  # points of a bin, about, where a leaf has more
+PIECE = 32 << 20  # bytes of the points that one task searches
+CHUNK = 512  # queries that are compared with a bin at once
+NUMBERS = 1 << 20  # numbers in an array that a task makes on its way
 
 
 @dataclass
@@ -73,18 +78,64 @@ class Tree:
                     waiting.append((child, own))
         return out
 
+    def reach(self, queries: np.ndarray, bins: Bins) -> np.ndarray:
+        """When best bin first comes to each bin: its least leaf's greatest distance on the way from the root."""
+        out = np.full((len(queries), len(bins.like)), np.inf)
+        waiting = [(0, np.zeros(len(queries)))]
+        while waiting:
+            node, so_far = waiting.pop()
+            away = np.maximum(_squared(queries, self.centres[node]), so_far[:, None])
+            for i, child in enumerate(self.children[node]):
+                if child < 0:
+                    at = bins.first[-1 - child]
+                    np.minimum(out[:, at], away[:, i], out=out[:, at])
+                else:
+                    waiting.append((child, away[:, i]))
+        return out[:, bins.like]
+
     def visits(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
-        queue, tick = [(0.0, 0, 0)], 0
-        while queue:
-            _, _, node = heapq.heappop(queue)
-            if node < 0:
-                yield -1 - node
-                continue
-            away = _squared(query[None], self.centres[node])[0]
-            for i, child in enumerate(self.children[node]):
-                tick += 1
-                heapq.heappush(queue, (float(away[i]), tick, child))
+        one = np.ones(self.leaves, np.int64)
+        return iter(self.reach(query[None], deal(one, one, self.leaves, gather=0))[0].argsort(kind="stable").tolist())
+
+
+@dataclass
+class Bins:
+    """Where the points of leaves lie."""
+
+    first: np.ndarray  # of a leaf: its only bin, or the first of ``many``
+    many: np.ndarray
+    like: np.ndarray  # of a bin: itself, or the first bin of its leaf
+    ids: np.ndarray  # of a bin: how many candidates it holds, about
+    piece: np.ndarray  # of a bin: the piece that it is part of
+    pieces: int
+
+
+def deal(points: np.ndarray, ids: np.ndarray, most: int, gather: int | None = None) -> Bins:
+    """Bins of leaves with so many points and candidates, in the order of leaves, and pieces of about ``most`` points."""
+    gather = GATHER if gather is None else gather
+    first, many, size, like, held = np.zeros(len(points), np.int64), np.ones(len(points), np.int64), [], [], []
+    room = -1
+    for leaf, (n, m) in enumerate(zip(points.tolist(), ids.tolist(), strict=True)):
+        alone = n > gather
+        if alone or room < n:
+            several = max(1, -(-n // BLOCK)) if alone else 1
+            first[leaf], many[leaf], at = len(size), several, len(size)
+            size += [-(-n // several)] * several
+            like += [at] * several
+            held += [m // several] * several
+            room = -1 if alone else gather - n
+        else:
+            first[leaf], room = len(size) - 1, room - n
+            size[-1] += n
+            held[-1] += m
+    piece, filled, pieces = [], 0, 0
+    for n in size:
+        if filled and filled + n > most:
+            filled, pieces = 0, pieces + 1
+        filled += n
+        piece.append(pieces)
+    return Bins(first, many, np.array(like, np.int64), np.array(held, np.int64), np.array(piece, np.int64), pieces + 1)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,42 +205,75 @@ def fit_tree(vectors: np.ndarray, seed: int = 3, leaf: int = LEAF) -> Tree:
     return tree
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+def _matrix(column: pa.Array, dims: int, form: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), form).astype(np.float64).reshape(-1, dims)
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v) with v the little-endian doubles of every usable vector, and their length."""
+def usable(vectors: DataFrame) -> tuple[DataFrame, int, str]:
+    """(vec_id, v) with v the little-endian components of every usable vector, their number, and their numpy form."""
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    form, kind = ("<f4", "array<float>") if single else ("<f8", "array<double>")
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
-    some = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where(F.col("e").isNotNull() & fine)
+    some = vectors.select("vec_id", F.col("embedding").cast(kind).alias("e")).where(F.col("e").isNotNull() & fine)
     common = some.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = common["n"] if common else 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("e").flatten().to_numpy().astype(np.float64) + 0.0
+            flat = batch.column("e").flatten().to_numpy().astype(form)
+            flat = flat + flat.dtype.type(0)
             rows = [r.tobytes() for r in flat.reshape(-1, dims)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(rows, pa.binary())], names=["vec_id", "v"])
 
-    return some.where(F.size("e") == dims).mapInArrow(pack, "vec_id long, v binary"), dims
+    return some.where(F.size("e") == dims).mapInArrow(pack, "vec_id long, v binary"), dims, form
 
 
-def closest(query: np.ndarray, points: np.ndarray, query_at: np.ndarray, points_at: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query: the points that may be among the ``most`` nearest with all ties, and their exact distances.
+def closest(query: np.ndarray, points: np.ndarray, query_at: np.ndarray, points_at: np.ndarray, most: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, exact distance) of all that may be among the ``most`` nearest of a query, with all ties, and are no farther than its ``bound``.
 
     ``query_at`` and ``points_at`` are the same vectors less a common offset; they serve the matrix product.
     """
-    size, own = (points_at * points_at).sum(1), (query_at * query_at).sum(1)
+    size, own, eps = (points_at * points_at).sum(1), (query_at * query_at).sum(1), np.finfo(np.float64).eps
     # Rounding of three sums over the components, each of terms no larger than these.
-    slack = np.finfo(np.float64).eps * (2 * query.shape[1] + 8) * (own[:, None] + size[None])
-    away = own[:, None] - 2 * (query_at @ points_at.T) + size[None]
-    most, found = min(most, len(points)), []
-    for q, d, e in zip(query, away, slack, strict=True):
-        near = np.flatnonzero(d - e <= np.partition(d + e, most - 1)[most - 1])
-        exact = np.sqrt(((points[near] - q) ** 2).sum(axis=1))
-        tie = exact <= np.partition(exact, most - 1)[most - 1]
-        found.append((near[tie], exact[tie]))
-    return found
+    slack = eps * (2 * query.shape[1] + 8) * (own[:, None] + size[None])
+    low = own[:, None] - 2 * (query_at @ points_at.T) + size[None] - slack
+    limit = bound * bound * (1 + eps * (query.shape[1] + 8))
+    new = np.flatnonzero(np.isinf(bound))
+    if len(new) and len(points) > most:
+        limit[new] = np.partition(low[new] + 2 * slack[new], most - 1, axis=1)[:, most - 1]
+    q, p = np.nonzero(~(low > limit[:, None]))
+    # Few as a rule; vectors that lie closer together than rounding can tell may all come here.
+    step = max(1, NUMBERS // query.shape[1])
+    exact = [np.sqrt(((points[p[at : at + step]] - query[q[at : at + step]]) ** 2).sum(axis=1)) for at in range(0, len(q), step)]
+    d = np.concatenate([np.zeros(0), *exact])
+    near = d <= bound[q]
+    return q[near], p[near], d[near]
+
+
+class Found:
+    """The ``keep`` nearest so far of some queries, by distance and id."""
+
+    none = np.iinfo(np.int64).max
+
+    def __init__(self, queries: int, keep: int) -> None:
+        self.d, self.ids, self.keep = np.full((queries, keep), np.inf), np.full((queries, keep), self.none), keep
+
+    @property
+    def bound(self) -> np.ndarray:
+        return self.d[:, -1]
+
+    def add(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        own, at = np.unique(rows, return_inverse=True)
+        at, d, ids = np.concatenate([np.repeat(np.arange(len(own)), self.keep), at]), np.concatenate([self.d[own].ravel(), d]), np.concatenate([self.ids[own].ravel(), ids])
+        order = np.lexsort((ids, d, at))
+        place = np.arange(len(at)) - np.searchsorted(at[order], np.arange(len(own)))[at[order]]
+        first = order[place < self.keep]
+        self.d[own], self.ids[own] = d[first].reshape(-1, self.keep), ids[first].reshape(-1, self.keep)
+
+    def lists(self, id_name: str = "id") -> pa.ListArray:
+        some = self.ids < self.none
+        ends = np.concatenate([[0], some.sum(axis=1).cumsum()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.d[some]), pa.array(self.ids[some])], names=["d", id_name]))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -198,7 +282,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     ``vectors`` has vec_id and embedding; ``is_query`` may use vec_id. Score is Euclidean distance.
     ``measured_recall`` is what the probes found in this run.
     """
-    rows, dims = usable(vectors)
+    rows, dims, form = usable(vectors)
     rows = written(rows, "vectors")
     spark, total = rows.sparkSession, rows.count()
     schema = "query_id long, rank int, vec_id long, score double, measured_recall double"
@@ -208,7 +292,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     drawn_share = F.pmod(F.xxhash64(F.lit(29), "vec_id"), F.lit(total))
     fitted = drawn_share < min(SAMPLE, max(1, total // 2))
     drawn = rows.where(fitted).limit(2 * SAMPLE).orderBy("vec_id").select("v").toArrow()["v"].combine_chunks()
-    sample = np.unique(_matrix(drawn, dims), axis=0)
+    sample = np.unique(_matrix(drawn, dims, form), axis=0)
     sample = sample[np.random.default_rng(3).permutation(len(sample))] if len(sample) else np.zeros((1, dims))
     middle = sample.mean(axis=0)
     tree = fit_tree(sample - middle)
@@ -229,14 +313,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                     if seen < keep:
                         own.append(i)
                 part = batch.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.place(_matrix(part.column("v"), dims) - middle))], names=["vec_id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.place(_matrix(part.column("v"), dims, form) - middle))], names=["vec_id", "v", "leaf"])
 
         found = rows.mapInArrow(place, "vec_id long, v binary, leaf long")
         return found.groupBy("v").agg(F.first("leaf").alias("leaf"), F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
 
+    def counted(points: DataFrame, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many points and candidates each leaf has; the number of leaves is bounded."""
+        found = points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).toArrow()
+        out = np.zeros((2, leaves), np.int64)
+        out[:, found["leaf"].to_numpy()] = found["n"].to_numpy(), found["m"].to_numpy()
+        return out[0], out[1]
+
     points = written(placed(rows, tree), "points")
-    sizes = {r["leaf"]: (r["n"], r["m"]) for r in points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
-    large = {leaf: n for leaf, (n, _) in sizes.items() if n > CELL}
+    sizes, held = counted(points, tree.leaves)
+    large = {int(leaf): int(sizes[leaf]) for leaf in np.flatnonzero(sizes > CELL)}
     if large:
         scale = 1 << 30
         # One row a leaf, whose number ``SAMPLE`` and ``FANOUT`` bound.
@@ -244,7 +335,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         some = points.join(F.broadcast(shares), "leaf").where(F.pmod(F.xxhash64(F.lit(31), "v"), F.lit(scale)) < F.col("share")).select("v", "leaf", "ids")
 
         def split(key: tuple, own: pa.Table) -> pa.Table:
-            x = _matrix(own["v"].combine_chunks(), dims) - middle
+            x = _matrix(own["v"].combine_chunks(), dims, form) - middle
             part = fit_tree(x[np.lexsort(x.T)], seed=5, leaf=max(LEAF, 4 * len(x) // FANOUT))
             return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([pickle.dumps(part)], pa.binary())})
 
@@ -253,99 +344,110 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(tree.place(_matrix(batch.column("v"), dims) - middle)), batch.column("ids")], names=["v", "leaf", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(tree.place(_matrix(batch.column("v"), dims, form) - middle)), batch.column("ids")], names=["v", "leaf", "ids"])
 
         points = written(points.select("v", "leaf", "ids").mapInArrow(again, "v binary, leaf long, ids array<long>"), "points")
-        sizes = {r["leaf"]: (r["n"], r["m"]) for r in points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
-    blocks = {leaf: -(-n // BLOCK) for leaf, (n, _) in sizes.items()}
+        sizes, held = counted(points, tree.leaves)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bins = deal(sizes, held, max(1, min(PIECE // (8 * dims), max(GATHER, int(sizes.sum()) // (2 * tasks)))))
+    # One row a leaf and one a bin.
+    leaves = spark.createDataFrame(pa.table({"leaf": np.arange(tree.leaves), "first": bins.first, "many": bins.many}))
+    parts_of = spark.createDataFrame(pa.table({"bin": np.arange(len(bins.piece)), "piece": bins.piece}))
+    points = points.join(F.broadcast(leaves), "leaf").withColumn("bin", F.col("first") + F.pmod(F.xxhash64("v"), F.col("many"))).join(F.broadcast(parts_of), "bin")
 
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     known = F.exists("ids", lambda i: F.pmod(F.xxhash64(F.lit(29), i), F.lit(total)) < min(SAMPLE, max(1, total // 2)))
-    probes = _matrix(points.orderBy(known, F.xxhash64(F.lit(37), "v"), "v").limit(2 * PROBES).select("v").toArrow()["v"].combine_chunks(), dims)
-    width, recall = calibrate(points, tree, probes, middle, keep)
+    probes = _matrix(points.orderBy(known, F.xxhash64(F.lit(37), "v"), "v").limit(2 * PROBES).select("v").toArrow()["v"].combine_chunks(), dims, form)
+    width, recall = calibrate(points, tree, bins, probes, middle, keep, form)
+    moved = max(1, NUMBERS // dims)  # queries moved at once
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, row, leaf, block = batch.column("v").to_pylist(), [], [], []
-            for i, q in enumerate(v):
-                met, reach = 0, 0
-                for n in tree.visits(np.frombuffer(q, np.float64) - middle):
-                    if met >= width and reach > k:
-                        break
-                    met += 1
-                    reach += sizes.get(n, (0, 0))[1]
-                    for b in range(blocks.get(n, 0)):
-                        row.append(i)
-                        leaf.append(n)
-                        block.append(b)
-            none = pa.nulls(len(row), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(row, pa.int64())), pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), none], names=["v", "leaf", "block", "ids"])
-
-    own_block = F.lit(0).cast("long")
-    if max(blocks.values()) > 1:
-        many = spark.createDataFrame([(leaf, n) for leaf, n in blocks.items() if n > 1], "leaf long, many long")
-        points = points.join(F.broadcast(many), "leaf", "left")
-        own_block = F.pmod(F.xxhash64("v"), F.coalesce("many", F.lit(1).cast("long")))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    visits = asked.select("v").distinct().repartition(tasks, "v").mapInArrow(visit, "v binary, leaf long, block long, ids array<long>")
-    dealt = visits.union(points.select("v", "leaf", own_block.alias("block"), "ids")).withColumn("asks", F.col("ids").isNull())
+            v, ask, step = batch.column("v"), batch.column("ask"), max(1, NUMBERS // len(bins.like))
+            for at in range(0, batch.num_rows, step):
+                away = tree.reach(_matrix(v.slice(at, step), dims, form) - middle, bins)
+                order = away.argsort(axis=1, kind="stable")
+                enough = (bins.ids[order].cumsum(axis=1) <= k).sum(axis=1) + 1
+                met = np.zeros(away.shape, bool)
+                np.put_along_axis(met, order, np.arange(away.shape[1]) < np.maximum(width, enough)[:, None], axis=1)
+                row, own = np.nonzero(met)
+                piece = bins.piece[own]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])]))
+                ends = np.concatenate([new, [len(row)]])
+                for i in range(0, len(new), moved):
+                    some, edge = new[i : i + moved], ends[i : i + moved + 1]
+                    which = pa.array(at + row[some])
+                    lists = pa.ListArray.from_arrays(pa.array(edge - edge[0], pa.int32()), pa.array(own[edge[0] : edge[-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(piece[some]), ask.take(which), v.take(which), lists], names=["piece", "ask", "v", "ids"])
+
+    # A vector asks once, in the name of its smallest query id.
+    asks = asked.groupBy("v").agg(F.min("query_id").alias("ask"))
+    visits = asks.repartition(tasks, "ask").mapInArrow(visit, "piece long, ask long, v binary, ids array<long>")
+    visits = visits.withColumn("asks", F.lit(True)).withColumn("bin", F.lit(None).cast("long"))
+    dealt = visits.unionByName(points.select("piece", F.lit(None).cast("long").alias("ask"), "v", "ids", F.lit(False).alias("asks"), "bin"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of points, each followed by the queries that visit it."""
-        here, held, ready = None, [], None
+        """The points of a piece in the order of bins, followed by the queries that visit it, whose ``ids`` are bins."""
+        held, ready = [], None
         for batch in batches:
-            keys = np.stack([batch.column(n).to_numpy() for n in ("leaf", "block")], axis=1)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | (asks[1:] != asks[:-1])])).tolist()
-            for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                key, part = tuple(keys[i].tolist()), batch.slice(i, j - i)
-                if key != here:
-                    here, held, ready = key, [], None
-                if not asks[i]:
-                    held.append(part)
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    p = np.concatenate([_matrix(x.column("v"), dims) for x in held])
-                    ready = (p, p - middle, [x for y in held for x in y.column("ids").to_pylist()])
-                p, p_at, ids = ready
-                q = _matrix(part.column("v"), dims)
-                for at in range(0, len(q), 128):
-                    found = closest(q[at : at + 128], p, q[at : at + 128] - middle, p_at, keep)
-                    lists = [sorted((float(x), n) for x, m in zip(d, near, strict=True) for n in ids[m])[:keep] for near, d in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("v").slice(at, len(lists)), pa.array([[{"d": d, "id": n} for d, n in x] for x in lists], pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))], names=["v", "found"]
-                    )
-
-    pieces = max(tasks, sum(blocks.values()) // 64)
-    lists = dealt.repartition(pieces, "leaf", "block").sortWithinPartitions("leaf", "block", "asks", "v").mapInArrow(search, "v binary, found array<struct<d: double, id: long>>")
-    merged = lists.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
+            n = batch.num_rows - batch.column("asks").true_count
+            if n:
+                own = batch.slice(0, n)
+                held.append((_matrix(own.column("v"), dims, form), own.column("bin").to_numpy(), own.column("ids").value_lengths().to_numpy(), own.column("ids").flatten().to_numpy()))
+            if n == batch.num_rows or not held:
+                continue
+            if ready is None:
+                p, bin, many, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                cuts = np.flatnonzero(np.concatenate([[True], bin[1:] != bin[:-1]]))
+                places = dict(zip(bin[cuts].tolist(), zip(cuts.tolist(), [*cuts[1:].tolist(), len(bin)], strict=True), strict=True))
+                held, ready = [0], (p, places, many, many.cumsum() - many, ids)
+            p, places, many, begins, ids = ready
+            for at in range(n, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                q, found = _matrix(part.column("v"), dims, form), Found(part.num_rows, keep)
+                q_at = q - middle
+                visited = part.column("ids").flatten().to_numpy()
+                order = visited.argsort(kind="stable")
+                row = np.repeat(np.arange(part.num_rows), part.column("ids").value_lengths().to_numpy())[order]
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(visited[order]) != 0])).tolist()
+                for i, j in zip(cuts, [*cuts[1:], len(row)], strict=True):
+                    a, b = places.get(int(visited[order[i]]), (0, 0))
+                    if a == b:
+                        continue
+                    own = row[i:j]
+                    near, point, d = closest(q[own], p[a:b], q_at[own], p[a:b] - middle, keep, found.bound[own])
+                    every = np.repeat(np.arange(len(point)), many[a + point])
+                    nth = np.arange(len(every)) - np.repeat(many[a + point].cumsum() - many[a + point], many[a + point])
+                    found.add(own[near[every]], d[every], ids[begins[a + point[every]] + nth])
+                yield pa.RecordBatch.from_arrays([part.column("ask"), found.lists()], names=["ask", "found"])
+
+    lists = dealt.repartitionById(bins.pieces, F.col("piece").cast("int")).sortWithinPartitions("asks", "bin", "ask").mapInArrow(search, "ask long, found array<struct<d: double, id: long>>")
+    merged = lists.groupBy("ask").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
     merged = written(merged, "found")
-    answers = asked.join(merged, "v").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
+    answers = asked.join(asks, "v").join(merged, "ask").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
     answers = answers.select("query_id", F.posexplode("found").alias("rank", "x"))
     return answers.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"), F.lit(recall).cast("double").alias("measured_recall"))
 
 
-def calibrate(points: DataFrame, tree: Tree, probes: np.ndarray, middle: np.ndarray, keep: int) -> tuple[int, float | None]:
-    """How many leaves a query visits so that either half of the probes reaches ``RECALL``, and what all of them reach."""
+def calibrate(points: DataFrame, tree: Tree, bins: Bins, probes: np.ndarray, middle: np.ndarray, keep: int, form: str) -> tuple[int, float | None]:
+    """How many bins a query visits so that either half of the probes reaches ``RECALL``, and what all of them reach."""
     dims = probes.shape[1]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in probes]
+        best = Found(len(probes), keep)
         for batch in batches:
-            own, leaf = _matrix(batch.column("v"), dims), batch.column("leaf").to_numpy()
-            for i, (near, d) in enumerate(closest(probes, own, probes - middle, own - middle, keep)) if len(own) else ():
-                best[i] = sorted([*best[i], *zip(d.tolist(), leaf[near].tolist(), strict=True)])[:keep]
-        rows = [(i, d, leaf) for i, own in enumerate(best) for d, leaf in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["p", "d", "leaf"])
-
-    near = points.select("v", "leaf").mapInArrow(exact, "p long, d double, leaf long")
-    near = near.groupBy("p").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leaf"))), 1, keep).alias("x")).collect()
-    places: dict[int, list[int]] = {}
-    for r in near:
-        at = {leaf: n for n, leaf in enumerate(tree.visits(probes[r["p"]] - middle))}
-        places[r["p"]] = [at[x["leaf"]] for x in r["x"][1:]]  # the first is the probe itself
+            own, bin = _matrix(batch.column("v"), dims, form), batch.column("bin").to_numpy()
+            for at in range(0, len(own), BLOCK):
+                part = own[at : at + BLOCK]
+                probe, near, d = closest(probes, part, probes - middle, part - middle, keep, best.bound)
+                best.add(probe, d, bin[at + near])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(probes))), best.lists("bin")], names=["p", "x"])
+
+    near = points.select("v", "bin").mapInArrow(exact, "p long, x array<struct<d: double, bin: long>>")
+    near = near.groupBy("p").agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, keep).alias("x")).collect()
+    at = tree.reach(probes - middle, bins).argsort(axis=1, kind="stable").argsort(axis=1)
+    # The first is the probe itself.
+    places = {r["p"]: [int(at[r["p"], x["bin"]]) for x in r["x"][1:]] for r in near}
     half = -(-len(probes) // 2)
     halves = [np.sort([x for p, own in places.items() if (p < half) == first for x in own]) for first in (True, False)]
     halves = [h for h in halves if len(h)]

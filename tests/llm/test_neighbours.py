@@ -73,3 +73,42 @@ def test_graft_keeps_every_leaf_reachable():
     grown = neighbours.graft(tree, parts)
     assert sorted(grown.visits(x[0])) == list(range(grown.leaves)) and grown.leaves > tree.leaves
     assert next(iter(grown.visits(x[0]))) == grown.place(x[:1])[0] or len(set(grown.place(x))) > tree.leaves
+
+
+def test_queries_move_once_to_a_piece_not_once_to_a_leaf(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(2000, 12)))], "vec_id long, embedding array<double>")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    known = set(stages())
+    assert neighbours.nearest(df, F.lit(True)).count() == 20_000
+    assert max(n for s, n in stages().items() if s not in known) <= 8 * 2000
+
+
+def test_bins_and_pieces_hold_every_leaf_and_stay_small(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    points = np.array([3, 0, 400, 8, 9, 0, 12, 51, 1, 30])
+    bins = neighbours.deal(points, 2 * points, 100, gather=20)
+    held = np.zeros(len(bins.piece), int)
+    for leaf, n in enumerate(points):
+        for i in range(bins.many[leaf]):
+            held[bins.first[leaf] + i] += -(-n // bins.many[leaf])
+    assert held.max() <= 51 and list(bins.like[bins.first]) == list(bins.first) and (np.diff(bins.piece) >= 0).all() and bins.piece[-1] == bins.pieces - 1
+    assert np.bincount(bins.piece, held).max() <= 102
+
+
+def test_vectors_closer_together_than_rounding_can_tell():
+    rng = np.random.default_rng(7)
+    points = 1e6 + np.round(rng.normal(size=(300, 6)) * 4) * 2.0**-33
+    found = neighbours.Found(20, 11)
+    for at in range(0, 300, 100):
+        q, p, d = neighbours.closest(points[:20], points[at : at + 100], points[:20] - 5.0, points[at : at + 100] - 5.0, 11, found.bound)
+        found.add(q, d, at + p)
+    for i in range(20):
+        d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        want = np.lexsort((np.arange(300), d))[:11]
+        assert list(found.ids[i]) == list(want) and list(found.d[i]) == list(d[want])
