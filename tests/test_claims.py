@@ -15,6 +15,11 @@ def test_claims_are_folded_once(spark, sf_dir):
     assert plan.count("aggregate(") == 1
 
 
+def test_rivals_are_not_made_again_by_a_filter(spark, sf_dir):
+    plan = all_queries.queries()["lookup_rivals"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.strip(" +-:").startswith("Filter") and "transform(" in line for line in plan.split("\n"))
+
+
 def test_many_issuers_are_ordered_in_linear_time(spark):
     one = F.expr("transform(sequence(1L, 30000L), i -> struct(i as id, cast(i % 7 as string) as name, 'issuer' as relationship, i % 3 = 0 as is_primary, i % 5 <> 0 as is_current))")
     rows = spark.range(2).select(one.alias("r"))
